@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .byte_bpe import byte_bpe_digests
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .token_files import token_files_round_trip
+from .warc import archive_round_trip
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer file; any other path may be passed to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,4 +26,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op9_mix_sources, op10_byte_bpe)}
