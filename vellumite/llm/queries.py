@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import byte_bpe_digests
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .quality import quality_rules
 from .token_files import token_files_round_trip
+from .toxicity import toxicity
 from .warc import archive_round_trip
 
 
@@ -34,6 +36,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"))
 
@@ -42,4 +52,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
