@@ -242,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = sample.mapInArrow(traits, "toxic int, x array<double>").toPandas()
     x, y = np.array(seen["x"].tolist(), float).reshape(-1, 3), seen["toxic"].to_numpy(float)
     order = np.lexsort([*x.T, y])
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    # as often as among all labelled documents, whatever the sample took of each kind
+    weight = np.where(y == 1, counts[1] / max(1, y.sum()), counts[0] / max(1, (1 - y).sum())) * len(y) / (counts[0] + counts[1])
     lexicon.curve = tuple(float(v) for v in _logistic(x[order], y[order], weight[order]))
     return lexicon
 
