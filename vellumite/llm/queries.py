@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_digests
+from .embedding_dedup import near_duplicate_vectors
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality import quality_rules
+from .suffix_dedup import suffix_dedup
 from .token_files import token_files_round_trip
 from .toxicity import toxicity
 from .warc import archive_round_trip
@@ -36,6 +39,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -52,4 +64,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
