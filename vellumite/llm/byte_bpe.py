@@ -22,7 +22,7 @@ from . import kernels as K
 from .pretokens import Memo
 from .store import only
 
-PORTION = 4 << 20
+PORTION = 1 << 20
 
 
 def byte_characters() -> list[str]:

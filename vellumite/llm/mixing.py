@@ -85,31 +85,24 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     return ranked.join(counts, "number").join(edges.select("number", "words"), "number").select("slot", "number", "rank", cut("rank").alias("block_start"), cut("rank + 1").alias("block_end"), "of", "words")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
-    """``(id, size, source_size, target, taken)``: the words that the mix takes of each document.
-
-    Size is the number of words, 0 for a null text. A null source is a source of its own, the last.
-    ``taken`` counts repeats; a source's taken words add up to its target rounded down, and no
-    document is taken over ``most`` times. The order is a hash of the id, so reruns agree; rows of an
-    equal id and size are interchangeable. Documents without words take nothing.
-    """
-    ws = Workspace(docs.sparkSession, "mixing")
-    src = only(docs, id=id_col, text=text_col, source=source_col)
-    sizes = ws.table(src.select("id", "source", word_count(F.col("text")).alias("size")), "sizes")
+def _mixed(src: DataFrame, weights: tuple[int, ...], most: int, slots: int, seed: int) -> DataFrame:
+    """Of rows (id, text, source): ``(id, source, hash, size, source_size, target, taken)``."""
+    ws = Workspace(src.sparkSession, "mixing")
+    sizes = ws.table(src.select("id", "source", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size")), "sizes")
     targets = ws.table(source_targets(sizes, weights, most), "targets")
     plan = ws.table(schedule(targets, slots), "schedule")
     of = plan.groupBy("number").agg(F.first("of").alias("of"), F.first("words").alias("words"))
     known = targets.join(of, "number", "left")
     chunks = max(1, sizes.count() // CHUNK)
     key = F.xxhash64("id", F.lit(seed))
-    rows = sizes.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("source", "named")
+    rows = sizes.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     rows = rows.withColumn("key", key).withColumn("chunk", F.pmod(F.shiftright("key", 20), F.lit(chunks)))
     sums = rows.groupBy("number", "chunk").agg(F.sum("size").alias("held"))
     before = sums.select("number", "chunk", (F.sum("held").over(Window.partitionBy("number").orderBy("chunk")) - F.col("held")).alias("before"))
-    within = Window.partitionBy("number", "chunk").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("number", "chunk").orderBy("key", "id", "hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(before, ["number", "chunk"])
     start = F.col("before") + F.col("upto") - F.col("size")
-    placed = placed.select("id", "size", "source_size", "target", "number", "of", "words", start.alias("start"))
+    placed = placed.select("id", "source", "hash", "size", "source_size", "target", "number", "of", "words", start.alias("start"))
     uid = uuid.uuid4().hex[:6]
     placed = ws.table(placed.withColumn("row", F.monotonically_increasing_id()), f"placed{uid}")
     active = placed.where("size > 0 and words > 0 and start < words")
@@ -121,4 +114,42 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     overlap = F.greatest(F.lit(0), F.least("finish", "block_end") - F.greatest("begin", "block_start"))
     taken = met.select("row", overlap.alias("words")).where("words > 0").groupBy("row").agg(F.sum("words").alias("taken"))
     out = placed.join(taken, "row", "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("id", "source", "hash", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
+    """``(id, size, source_size, target, taken)``: the words that the mix takes of each document.
+
+    Size is the number of words, 0 for a null text. A null source is a source of its own, the last.
+    ``taken`` counts repeats; a source's taken words add up to its target rounded down, and no
+    document is taken over ``most`` times. The order is a hash of the id, so reruns agree; rows of an
+    equal id and size are interchangeable. Documents without words take nothing.
+    """
+    rows = _mixed(only(docs, id=id_col, text=text_col, source=source_col), weights, most, slots, seed)
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
+    """The mix itself: each row, all columns, as often as :func:`mix_sources` takes it.
+
+    A row of ``size`` words of which ``taken`` are taken appears ``taken div size`` times whole and,
+    if words remain, once with its first ``taken % size`` words. Equal rows are taken together.
+    ``chars_col`` gets the number of characters.
+    """
+    src = only(docs, id=id_col, text=text_col, source=source_col)
+    rows = _mixed(src, weights, most, slots, seed).where("taken > 0")
+    takes = rows.groupBy("id", "source", "hash").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("of"))
+    takes = takes.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), "size", "taken", "of")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("k"), F.col(source_col).alias("s"), F.xxhash64(text_col).alias("h"))
+    if not takes.where("of > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["k", "s", "h"])
+    met = keyed.join(takes, F.col("k").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_hash")))
+    rest = F.col("taken") % F.col("size")
+    times = F.expr("array_repeat(0L, cast(taken div size as int))")
+    met = met.withColumn("words", F.explode(F.concat(times, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    # cut behind each word: a piece is a word and what separates it from the one before
+    text = F.col("doc").getField(text_col)
+    first = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("words").cast("int")), "")
+    met = met.withColumn("new", F.when(F.col("words") > 0, first).otherwise(text))
+    fields = {text_col: F.col("new")} | ({chars_col: F.length("new").cast(docs.schema[chars_col].dataType)} if chars_col else {})
+    return met.select(*(fields.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -22,10 +22,11 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, StringType
 
 from . import kernels as K
 from .store import Workspace, only
@@ -33,7 +34,7 @@ from .store import Workspace, only
 LENGTH = 200
 #: Bytes of an anchor.
 QGRAM = 32
-PORTION = 2 << 20
+PORTION = 1 << 20
 #: The difference cover modulo 13: every residue is a difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text to aim at in a bucket, and held in a task before they are sent.
@@ -314,16 +315,27 @@ def _merged(table: pa.Table) -> pa.Table:
     })
 
 
+def _outside(text: str | None, spans: bytes | None) -> bytes | None:
+    if text is None or spans is None:
+        return None
+    raw = text.encode()
+    cut = np.frombuffer(spans, "<i8").reshape(-1, 2)
+    return b"".join(raw[a:b] for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(raw)], strict=True))
+
+
 @F.pandas_udf(BinaryType())
-def _without(text, spans):
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
     """The bytes of a text outside its spans."""
+    return text.combine(spans, _outside)
+
+
+@F.pandas_udf(StringType())
+def _text_without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """The whole characters of a text outside its spans."""
 
     def one(t, s):
-        if t is None or s is None:
-            return None
-        raw = t.encode()
-        cut = np.frombuffer(s, "<i8").reshape(-1, 2)
-        return b"".join(raw[a:b] for a, b in zip([0, *cut[:, 1].tolist()], [*cut[:, 0].tolist(), len(raw)], strict=True))
+        raw = _outside(t, s)
+        return None if raw is None else raw.decode(errors="ignore")
 
     return text.combine(spans, one)
 
@@ -365,20 +377,40 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     holds the remaining bytes, which may end within a character. Rows of a repeated id or text are
     documents of their own, so a text that occurs twice goes as a whole.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "suffix-dedup")
     src = only(docs, id=id_col, text=text_col)
-    spans = repeated_spans(src, "text", length, ws)
-    ws.release()
-    keyed = src.select("id", "text", F.when(F.octet_length("text") >= length, F.xxhash64("text")).alias("key"))
-    copies = ws.table(keyed.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied")), "copies")
-    facts = ws.table(spans.join(copies, "key", "full"), "facts")
-    rows = keyed.join(facts, "key", "left")
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = _facts(src, "text", length)
+    size = F.coalesce(F.octet_length("doc.text"), F.lit(0)).cast("long")
     whole = F.coalesce("copied", F.lit(False))
     part = ~whole & F.col("spans").isNotNull()
-    kept = F.when(whole, F.lit(b"")).when(part, _without(F.when(part, F.col("text")), F.when(part, F.col("spans")))).otherwise(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
+    kept = F.when(whole, F.lit(b"")).when(part, _without(F.when(part, F.col("doc.text")), F.when(part, F.col("spans")))).otherwise(F.coalesce(F.col("doc.text").cast("binary"), F.lit(b"")))
     return rows.select(
-        F.col("id").alias(id_col), size.alias("n_bytes"), F.when(whole, size).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.col("doc.id").alias(id_col), size.alias("n_bytes"), F.when(whole, size).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), kept.alias("kept"),
     )
+
+
+def _facts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
+    """``(doc, copied, n_spans, n_removed, spans)``: each row as a struct beside what its text repeats."""
+    ws = Workspace(docs.sparkSession, "suffix-dedup")
+    spans = repeated_spans(docs, text_col, length, ws)
+    ws.release()
+    text = F.col(text_col)
+    keyed = docs.select(F.struct("*").alias("doc"), F.when(F.octet_length(text) >= length, F.xxhash64(text)).alias("key"))
+    copies = keyed.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
+    facts = ws.table(spans.join(ws.table(copies, "copies"), "key", "full"), "facts")
+    return keyed.join(facts, "key", "left")
+
+
+def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, chars_col: str | None = None) -> DataFrame:
+    """The rows, all columns, with the texts that :func:`suffix_dedup` leaves.
+
+    A character that is cut in two goes as a whole; ``chars_col`` gets the new number of characters.
+    A null text stays null, a text of which nothing is left becomes empty.
+    """
+    rows = _facts(docs, text_col, length)
+    old = F.col("doc").getField(text_col)
+    part = ~F.coalesce("copied", F.lit(False)) & F.col("spans").isNotNull()
+    new = F.when(F.col("copied"), F.lit("")).when(part, _text_without(F.when(part, old), F.when(part, F.col("spans")))).otherwise(old)
+    out = rows.withColumn("new", new)
+    fields = {text_col: F.col("new")} | ({chars_col: F.length("new").cast(docs.schema[chars_col].dataType)} if chars_col else {})
+    return out.select(*(fields.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -24,7 +24,7 @@ from . import kernels as K
 from .pretokens import Memo
 from .store import Workspace, only
 
-PORTION = 4 << 20
+PORTION = 1 << 20
 #: Ids in a sequence and sequences in a record batch.
 SEQUENCE, SEQUENCES = 2048, 256
 

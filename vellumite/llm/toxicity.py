@@ -129,7 +129,7 @@ def _sketch(batch_text: pa.Array) -> np.ndarray:
     """The least shingle hash of each text: near copies mostly share it."""
     data, offsets = K.flat(batch_text)
     out = np.zeros(len(offsets) - 1, np.uint64)
-    for i, j in K.portions(offsets, 4 << 20):
+    for i, j in K.portions(offsets, 1 << 20):
         owner, value = K.shingles(K.LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], 3)
         first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
         out[i + owner[first]] = value[first]
