@@ -32,11 +32,13 @@ from . import kernels as K
 from .graph import components
 from .store import Workspace, only
 
-PORTION = 4 << 20
+PORTION = 1 << 20
 #: Bits of the filter that picks the documents whose sets are verified: 8 MB at most.
 FILTER_BITS = 1 << 26
 #: A larger group of classes is dealt to tasks as pairs of blocks of this size.
 BLOCK = 2048
+#: One in so many groups takes part in the first round.
+EARLY = 16
 
 
 class PartEnum:
@@ -108,21 +110,20 @@ class PartEnum:
 
 def sketches(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[bytes]:
     """One parity bit per hashed element and set; two sketches differ in no more bits than the sets in elements."""
-    width = np.maximum(64, 1 << np.ceil(np.log2(size + 1)).astype(np.int64))
+    width = np.maximum(64, 2 << np.ceil(np.log2(size + 1)).astype(np.int64))
     start = np.cumsum(width) - width
     bit = start[owner] + (K.mix(value + np.uint64(23)) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
     packed = np.packbits((np.bincount(bit, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
     return [packed[s // 8 : (s + w) // 8] for s, w in zip(start, width, strict=True)]
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """Of portions of a batch (id, text): ids, owner, value and size of the shingle sets."""
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
     data, offsets = K.flat(batch.column(1))
     for i, j in K.portions(offsets, PORTION):
         part = K.LOWER[data[offsets[i] : offsets[j]]]
         owner, value = K.shingles(part, offsets[i : j + 1] - offsets[i], n)
-        yield ids[i:j], owner, value, np.bincount(owner, minlength=j - i)
+        yield batch.column(0).slice(i, j - i), owner, value, np.bincount(owner, minlength=j - i)
 
 
 def _classes(owner, value, size) -> np.ndarray:
@@ -136,7 +137,7 @@ def _profiles(n: int):
             for ids, owner, value, size in _sets(batch, n):
                 cls = _classes(owner, value, size)
                 sketch = sketches(owner, value, size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size.astype(np.int64)), pa.array(cls), pa.array(sketch, pa.binary())], names=["id", "n", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(cls), pa.array(sketch, pa.binary())], names=["id", "n", "cls", "sketch"])
 
     return run
 
@@ -164,7 +165,7 @@ def _signature_blobs(n: int, scheme: PartEnum, bits: int):
                 sigs.append(sig)
                 owners.append(cls[fresh][who])
                 held += len(sig)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield cut(np.concatenate(sigs), np.concatenate(owners))
                     sigs, owners, held = [], [], 0
         if held:
@@ -244,7 +245,7 @@ def _tested(scheme: PartEnum, size, sketch, comp, left, right) -> np.ndarray:
 
 
 def _pairs(scheme: PartEnum, few: bool):
-    """Pairs to verify in each group; few: only the first and last earlier partner of each member."""
+    """Pairs to verify in each group; few: of each member the first and last earlier partner, of two components one pair."""
 
     def work(gid, rep, size, comp, sketch):
         order = np.lexsort((rep, size, gid))
@@ -259,7 +260,7 @@ def _pairs(scheme: PartEnum, few: bool):
         for g in np.unique(count):
             starts = edge[:-1][count == g]
             hi, lo = np.tril_indices(g, -1)
-            step = max(1, 1_000_000 // max(1, len(hi)))
+            step = max(1, 250_000 // max(1, len(hi)))
             for s in range(0, len(starts), step):
                 some = starts[s : s + step]
                 left, right = (some[:, None] + lo).ravel(), (some[:, None] + hi).ravel()
@@ -269,6 +270,12 @@ def _pairs(scheme: PartEnum, few: bool):
                     new = np.r_[True, right[1:] != right[:-1]]
                     end = np.r_[new[1:], True]
                     left, right = left[new | end], right[new | end]
+                    one, two = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
+                    group = np.searchsorted(edge, right, "right")
+                    order = np.lexsort((two, one, group))
+                    same = (np.diff(group[order]) == 0) & (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
+                    pick = order[np.r_[True, ~same]]
+                    left, right = left[pick], right[pick]
                 found_a.append(rep[left])
                 found_b.append(rep[right])
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
@@ -289,7 +296,7 @@ def _pairs(scheme: PartEnum, few: bool):
                 continue
             kept.append(batch)
             held += batch.nbytes
-            if held < 32 << 20:
+            if held < 8 << 20:
                 continue
             gid = batch["gid"].to_numpy()
             cut = int(np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]])[-1])
@@ -314,7 +321,7 @@ def _picked_sets(n: int, chosen, width: int):
             for ids, owner, value, size in _sets(some, n):
                 raw = np.ascontiguousarray(value).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
                 end = np.cumsum(size) * width
-                yield pa.RecordBatch.from_pydict({"id": pa.array(ids), "items": pa.array([raw[e - s * width : e] for e, s in zip(end, size, strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"id": ids, "items": pa.array([raw[e - s * width : e] for e, s in zip(end, size, strict=True)], pa.binary())})
 
     return run
 
@@ -380,17 +387,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one representative stands for a class; several classes may share one if an id is repeated
     members = groups.join(classes, "cls").select("gid", "rep", "n", "sketch")
 
-    def candidates(few: bool, comp: DataFrame | None) -> DataFrame:
-        rows = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp, members.rep == comp.vertex, "left").select("gid", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
-        return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_pairs(scheme, few), "a long, b long").distinct()
-
-    first = ws.table(candidates(True, None), "pairs")
-    links = _links(ws, src, first, scheme, n)
-    comp = components(ws, links.where("linked"))
-    rest = ws.table(candidates(False, comp).join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(_links(ws, src, rest, scheme, n))
-        comp = components(ws, links.where("linked"))
+    def candidates(some: DataFrame, few: bool) -> DataFrame:
+        rows = some.withColumn("comp", F.col("rep")) if comp is None else some.join(comp, some.rep == comp.vertex, "left").select("gid", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+        pairs = rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_pairs(scheme, few), "a long, b long").distinct()
+        return ws.table(pairs if links is None else pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    # Copies of one text share nearly all their groups: a part of the groups joins them, then only
+    # pairs across components are left, of which the last round verifies every one.
+    comp = links = None
+    for some, few in ((members.where(F.pmod("gid", F.lit(EARLY)) == 0), True), (members, True), (members, False)):
+        pairs = candidates(some, few)
+        if links is None or not pairs.isEmpty():
+            found = _links(ws, src, pairs, scheme, n)
+            links = found if links is None else links.unionByName(found)
+            comp = components(ws, links.where("linked"))
+    ws.release()
     named = classes.join(comp, classes.rep == comp.vertex, "left").select("cls", "rep", "copies", F.coalesce("component", "rep").alias("component"))
     out = profile.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     return out.select(
@@ -400,3 +411,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"),
         F.when(F.col("id").isNotNull(), F.coalesce("copies", F.lit(1))).cast("long").alias("copies"),
     )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows, all columns, of the least id of each component of :func:`ngram_jaccard_join`.
+
+    Of rows that repeat an id one stays. A row without an id is in no group and stays.
+    """
+    groups = ngram_jaccard_join(docs, id_col, text_col, n, num, den)
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    unique = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
+    ids = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == F.col("_kept"), "left_semi")
+    return (ids if unique else ids.dropDuplicates([id_col])).unionByName(docs.where(F.col(id_col).isNull()))
