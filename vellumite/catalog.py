@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import document_queries, library_queries, text_queries
+from .plans.views import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = text_queries.QUERIES | document_queries.QUERIES | library_queries.QUERIES
+ORACLES: dict[str, str] = text_queries.ORACLES | document_queries.ORACLES | library_queries.ORACLES
