@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from .pretokens import Memo
-from .store import only
+from .store import only, small_batches, trimmed
 
 PORTION = 1 << 20
 
@@ -124,6 +124,7 @@ def byte_bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     and repeated ones too, one row for each row. Whole texts are encoded, however long.
     """
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         for batch in batches:
@@ -131,6 +132,7 @@ def byte_bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["id", "token_ids"])
 
+    small_batches(docs.sparkSession)
     src = only(docs, id=id_col, text=text_col)
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, token_ids array<int>").withColumnRenamed("id", id_col)
 
@@ -138,6 +140,7 @@ def byte_bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 def byte_bpe_decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """``(id, bytes)``: the bytes that the ids stand for; a null array gives none."""
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         for batch in batches:
@@ -155,6 +158,7 @@ def byte_bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     lowercase hex. Nulls, empty texts and ids are treated as in :func:`byte_bpe_encode`.
     """
 
+    @trimmed
     def run(batches):
         bpe = load(path)
         for batch in batches:
@@ -168,5 +172,6 @@ def byte_bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 of_text = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(count), pa.array(of_ids), pa.array(of_text)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     src = only(docs, id=id_col, text=text_col)
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import Workspace, only
+from .store import Workspace, only, trimmed, trimmed_group
 
 #: Vectors that the centroids are fitted on, and cells, at most; vectors of a cell to aim at.
 FIT_ROWS, CELLS, CELL = 8192, 256, 1024
@@ -42,6 +42,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return np.unique(centroids, axis=0)
 
 
+@trimmed
 def _unit(batches):
     """Packs each usable vector as unit doubles; null for those that link with nothing."""
     for batch in batches:
@@ -68,6 +69,7 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _cells(model, reach: float):
+    @trimmed
     def run(batches):
         for batch in batches:
             dims = batch["dim"].to_numpy()
@@ -106,6 +108,7 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compared(threshold: float):
+    @trimmed_group
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         dim = table["dim"][0].as_py()

@@ -30,11 +30,9 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import Workspace, only
+from .store import FILTER_BITS, Workspace, key_filter, only, split_by_keys, trimmed, trimmed_group
 
 PORTION = 1 << 20
-#: Bits of the filter that picks the documents whose sets are verified: 8 MB at most.
-FILTER_BITS = 1 << 26
 #: A larger group of classes is dealt to tasks as pairs of blocks of this size.
 BLOCK = 2048
 #: One in so many groups takes part in the first round.
@@ -132,6 +130,7 @@ def _classes(owner, value, size) -> np.ndarray:
 
 
 def _profiles(n: int):
+    @trimmed
     def run(batches):
         for batch in batches:
             for ids, owner, value, size in _sets(batch, n):
@@ -151,6 +150,7 @@ def _signature_blobs(n: int, scheme: PartEnum, bits: int):
         rows = [(int(bucket[i]), sig[i:j].tobytes(), cls[i:j].tobytes()) for i, j in itertools.pairwise(edge)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "sig": pa.array([r[1] for r in rows], pa.binary()), "cls": pa.array([r[2] for r in rows], pa.binary())})
 
+    @trimmed
     def run(batches):
         seen, sigs, owners, held = np.zeros(0, np.int64), [], [], 0
         for batch in batches:
@@ -174,6 +174,7 @@ def _signature_blobs(n: int, scheme: PartEnum, bits: int):
     return run
 
 
+@trimmed_group
 def _groups(table: pa.Table) -> pa.Table:
     """Of one bucket: the distinct groups of classes that share a signature."""
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64)
@@ -283,6 +284,7 @@ def _pairs(scheme: PartEnum, few: bool):
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
 
+    @trimmed
     def run(batches):
         kept: list[pa.RecordBatch] = []
         held = 0
@@ -313,6 +315,7 @@ def _pairs(scheme: PartEnum, few: bool):
 def _picked_sets(n: int, chosen, width: int):
     """The shingle sets, six bytes an element, of the documents whose bit is set."""
 
+    @trimmed
     def run(batches):
         bits = np.frombuffer(chosen.value, np.uint8)
         for batch in batches:
@@ -332,6 +335,7 @@ def _verified(scheme: PartEnum, width: int):
         padded[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
         return padded.view(np.uint64).ravel()
 
+    @trimmed
     def run(batches):
         for batch in batches:
             linked = []
@@ -349,10 +353,9 @@ def _links(ws: Workspace, docs: DataFrame, pairs: DataFrame, scheme: PartEnum, n
     spark = ws.spark
     position = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
-    parts = ids.select(position.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     chosen = bytearray(FILTER_BITS // 8)
-    for row in parts.toLocalIterator():  # FILTER_BITS / 32768 rows of 4 KB at most
-        chosen[(row.k - 1) * 4096 : row.k * 4096] = row.bits
+    for row in key_filter(ids).toLocalIterator():  # FILTER_BITS / 32768 rows of 4 KB at most
+        chosen[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
     bits = spark.sparkContext.broadcast(bytes(chosen))
     width = 6
     picked = ws.table(docs.select("id", "text", position.alias("p")).mapInArrow(_picked_sets(n, bits, width), "id long, items binary"), "sets")
@@ -380,7 +383,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = profile.where("n > 0 and id is not null")
     classes = ws.table(known.groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
     total = profile.agg(F.sum("n")).head()[0] or 0
-    bits = min(16, max(3, math.ceil(math.log2(max(1, total) * 0.6 / 1_000_000 + 1))))
+    bits = min(16, max(3, math.ceil(math.log2(max(1, total) * 0.6 / 400_000 + 1))))
     blobs = src.where("id is not null").select("id", "text").mapInArrow(_signature_blobs(n, scheme, bits), "bucket int, sig binary, cls binary")
     groups = ws.table(blobs.groupBy("bucket").applyInArrow(_groups, "gid long, cls long"), "groups")
     ws.release()
@@ -419,7 +422,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Of rows that repeat an id one stays. A row without an id is in no group and stays.
     """
     groups = ngram_jaccard_join(docs, id_col, text_col, n, num, den)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    unique = groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty()
-    ids = docs.where(F.col(id_col).isNotNull()).join(kept, docs[id_col] == F.col("_kept"), "left_semi")
-    return (ids if unique else ids.dropDuplicates([id_col])).unionByName(docs.where(F.col(id_col).isNull()))
+    ws = Workspace(docs.sparkSession, "one-of-each-group")
+    # rows that surely are no copies pass by; the others meet the ids that stay
+    gone = ws.table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
+    unique, copies = split_by_keys(docs, id_col, ws.table(key_filter(gone), "filter"))
+    lost = gone.select(F.col(id_col).alias("_gone"))
+    ids = unique.unionByName(copies.join(lost, copies[id_col] == F.col("_gone"), "left_anti"))
+    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
+        return ids
+    return ids.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(ids.where(F.col(id_col).isNull()))

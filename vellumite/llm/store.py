@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -26,10 +29,82 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+#: Rows and bytes of an Arrow batch at most, so that a Python worker holds little of long texts.
+ARROW_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to those above; lower ones stay."""
+    for key, most in ARROW_LIMITS.items():
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _give_back() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """The same iterator function, giving freed memory back when a task ends: workers live on for other tasks."""
+
+    def wrapper(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapper
+
+
+def trimmed_group(run):
+    """The same function of one group, giving freed memory back after each."""
+
+    def wrapper(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    return wrapper
+
+
+#: Bits of a key filter: 8 MB, the most that is broadcast for it.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """``(bucket, bits)``: one bit for each hash of the first column, in chunks of 32768; ``bits`` bounds its size."""
+    place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits)) + 1
+    chunks = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket"))
+    return chunks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def split_by_keys(df: DataFrame, key: str, chunks: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not among those of a :func:`key_filter`, and the rows that may have one.
+
+    The filter is broadcast, whose size is fixed; only rows of the second kind need a join.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    at = F.bitmap_bit_position(F.col("_place"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    rows = df.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place"))
+    marked = rows.join(F.broadcast(chunks.withColumnRenamed("bucket", "_bucket")), "_bucket", "left").withColumn("_hit", hit)
+    return marked.where("not _hit").select(df.columns), marked.where("_hit").select(df.columns)
+
+
 class Workspace:
     """A folder of intermediate tables of one query; a written table replaces its lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

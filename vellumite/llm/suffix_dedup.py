@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
 from . import kernels as K
-from .store import Workspace, only
+from .store import Workspace, key_filter, only, split_by_keys, trimmed, trimmed_group
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -38,7 +38,7 @@ PORTION = 1 << 20
 #: The difference cover modulo 13: every residue is a difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text to aim at in a bucket, and held in a task before they are sent.
-BUCKET, HELD = 6 << 20, 16 << 20
+BUCKET, HELD = 2 << 20, 8 << 20
 #: Bits of the filter of recurring anchors at most: 32 MB.
 FILTER_BITS = 1 << 28
 
@@ -102,6 +102,7 @@ def _counted(length: int, bits: int):
         rows = [(int(bucket[i]), key[i:j][count[i:j] == 1].tobytes(), key[i:j][count[i:j] > 1].tobytes()) for i, j in itertools.pairwise(edge)]
         return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "once": pa.array([r[1] for r in rows], pa.binary()), "more": pa.array([r[2] for r in rows], pa.binary())})
 
+    @trimmed
     def run(batches):
         parts, held = [], 0
         for _, data, offsets in _fresh_texts(batches):
@@ -119,6 +120,7 @@ def _counted(length: int, bits: int):
 def _recurring(bits: int, filter_bits: int):
     """Of a bucket: its slice of the filter, with the bits of the anchors that recur, and their number."""
 
+    @trimmed_group
     def run(table: pa.Table) -> pa.Table:
         once = np.frombuffer(b"".join(table["once"].to_pylist()), np.uint64)
         more = np.frombuffer(b"".join(table["more"].to_pylist()), np.uint64)
@@ -160,6 +162,7 @@ def _stretches(length: int, shared, filter_bits: int, bits: int):
         names = [x.split()[0] for x in _STRETCH.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
 
+    @trimmed
     def run(batches):
         marks = np.frombuffer(shared.value, np.uint8)
         top = np.uint64(64 - int(math.log2(filter_bits)))
@@ -233,6 +236,7 @@ def repeated_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, re
 
 
 def _sorted_bucket(length: int, text_bits: int):
+    @trimmed_group
     def run(table: pa.Table) -> pa.Table:
         col = lambda c, kind: np.frombuffer(b"".join(table[c].to_pylist()), kind)
         anchor, shift, owned, name = col("anchor", np.uint64), col("shift", np.int32).astype(np.int64), col("owned", np.int32).astype(np.int64), col("name", np.uint64)
@@ -293,6 +297,7 @@ def _sorted_bucket(length: int, text_bits: int):
     return run
 
 
+@trimmed_group
 def _merged(table: pa.Table) -> pa.Table:
     """The maximal runs of each text."""
     key, start, end = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("text", "start", "end"))
@@ -398,7 +403,10 @@ def _facts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("doc"), F.when(F.octet_length(text) >= length, F.xxhash64(text)).alias("key"))
     copies = keyed.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
     facts = ws.table(spans.join(ws.table(copies, "copies"), "key", "full"), "facts")
-    return keyed.join(facts, "key", "left")
+    ws.release()
+    clean, others = split_by_keys(keyed, "key", ws.table(key_filter(facts.select("key")), "filter"))
+    met = others.join(facts, "key", "left")
+    return met.unionByName(clean, allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, chars_col: str | None = None) -> DataFrame:

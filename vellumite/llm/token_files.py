@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .pretokens import Memo
-from .store import Workspace, only
+from .store import Workspace, only, trimmed
 
 PORTION = 1 << 20
 #: Ids in a sequence and sequences in a record batch.
@@ -110,6 +110,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: s
     """
     spark = docs.sparkSession
 
+    @trimmed
     def run(batches):
         from pyspark import TaskContext
 
@@ -190,6 +191,7 @@ def read_token_digests(index: DataFrame, root: str, id_col: str = "doc_id") -> D
     The crc32 is of the ids as little-endian unsigned 32-bit integers.
     """
 
+    @trimmed
     def run(batches):
         name, file = None, None
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import only
+from .store import only, small_batches, trimmed
 
 #: Labelled documents of each kind that the lexicon is learned from, at most.
 FIT_ROWS = 4000
@@ -163,6 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(3 * fit_rows)
     sample = only(docs, id=id_col, text=text_col).join(F.broadcast(marks), "id").where("text is not null").select("id", "text", "toxic")
 
+    @trimmed
     def sketch(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_sketch(batch.column(1)).view(np.int64))], names=["id", "toxic", "sketch"])
@@ -173,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon()
     sample = sample.join(F.broadcast(chosen), "id")
 
+    @trimmed
     def toxic_ones(batches):
         seen: Counter[str] = Counter()
         for batch in batches:
@@ -187,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic_count = dict(zip(table["entry"], table["n"].astype(int), strict=True))
     spread = docs.sparkSession.sparkContext.broadcast(frozenset(toxic_count))
 
+    @trimmed
     def clean_ones(batches):
         seen: Counter[str] = Counter()
         n = [0, 0]
@@ -220,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             lexicon.weights[entry] = odds
     learned = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @trimmed
     def matched(batches):
         seen: Counter[tuple[str, int]] = Counter()
         for batch in batches:
@@ -234,6 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lexicon._machine = None
     final = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @trimmed
     def traits(batches):
         for batch in batches:
             rows = [final.value.features(t) for t in batch.column(1).to_pylist()]
@@ -260,12 +265,14 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, lexicon: Lexicon
         lexicon = fit(docs, labels.where(mine), id_col, text_col) if labels is not None else Lexicon()
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
 
+    @trimmed
     def run(batches):
         for batch in batches:
             rows = np.array([model.value.features(t) if t else (0.0, 0.0, 0.0) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
             score = model.value.score(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array((score >= TOXIC).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     src = only(docs, id=id_col, text=text_col)
     src = src.withColumn("held_out", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds == held_out, F.lit(False)))
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
