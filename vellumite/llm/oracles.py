@@ -1,5 +1,56 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express on whole tables.
+
+The others rest on a library's tokenizer, a fitted model or Spark's hash; tests hold them
+against brute force, the library itself or held-out labels.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _components(vertices: str, edges: str) -> str:
+    """Common tables with ``(v, c)``: the least vertex that each one reaches; ``edges`` has both directions."""
+    return f"reach(v, c) AS (SELECT v, v FROM {vertices} UNION SELECT e.b, r.c FROM reach r JOIN {edges} e ON e.a = r.v), comp AS (SELECT v, min(c) AS c FROM reach GROUP BY v)"
+
+
+_OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+ reps AS (SELECT min(doc_id) AS v, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+ g AS (SELECT v, len(s) AS n, unnest(s) AS x FROM reps),
+ p AS (SELECT a.v AS a, b.v AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM g a JOIN g b ON a.x = b.x AND a.v < b.v GROUP BY a.v, b.v),
+ l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ {_components('reps', 'e')}
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(r.v, d.doc_id) AS class_id, coalesce(count(*) FILTER (len(d.s) > 0) OVER (PARTITION BY r.v), 1) AS copies
+ FROM (SELECT doc_id, list_sort(s) AS s FROM sets) d LEFT JOIN reps r ON r.s = d.s LEFT JOIN comp ON comp.v = r.v"""
+
+_OP2 = """WITH f AS (SELECT page_id, encode(coalesce(html, '')) AS p, sha1(coalesce(html, '')) AS h FROM pages),
+ b AS (SELECT page_id, octet_length(p) AS n, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+   1 + (((('0x' || substr(h || '00', (k * 5) // 4 + 1, 3))::INT >> (12 - (k * 5) % 4 - 5)) & 31)), 1)), '') AS d, max(page_id) OVER (PARTITION BY p) AS m FROM f)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM b"""
+
+_OP6 = f"""WITH RECURSIVE x AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND list_max(list_transform(embedding, lambda c: abs(c))) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+ vs AS (SELECT vec_id AS v FROM embeddings), {_components('vs', 'l')}
+SELECT e.vec_id, coalesce(n, 0) AS n_links, comp.c AS component_id, e.vec_id = comp.c AS kept FROM embeddings e JOIN comp ON comp.v = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = e.vec_id"""
+
+_OP4 = """WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), r AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+ n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn DESC) - 1 AS depth FROM (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS chain FROM c)),
+ late AS (SELECT DISTINCT a.conv_id FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2 WHERE a.conv_id % 7 = 0)
+SELECT c.conv_id, c.turn, 0 AS idx, 'call' AS kind, 'call-' || c.turn AS call_id, CASE WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status, CASE WHEN late.conv_id IS NOT NULL THEN n.depth END AS level,
+  CASE WHEN length(c.text) < 40 THEN '$.prompt: minLength' ELSE '' END AS violations, '{"arguments":{"prompt":' || to_json(c.text) || ',"turn":' || c.turn || '},"id":"call-' || c.turn || '","name":"reply"' || CASE WHEN r.turn IS NULL THEN '' ELSE ',"result":' || to_json(r.text) END || '}' AS json
+ FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 LEFT JOIN late ON late.conv_id = c.conv_id LEFT JOIN n ON n.conv_id = c.conv_id AND n.turn = c.turn
+UNION ALL SELECT r.conv_id, r.turn, 0, 'result', 'call-' || (r.turn - 1), 'orphan', NULL, NULL, '{"content":' || to_json(r.text) || ',"role":"tool","tool_call_id":"call-' || (r.turn - 1) || '"}' FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.turn = r.turn - 1)
+UNION ALL SELECT conv_id, turn, 0, 'message', NULL, NULL, NULL, NULL, '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' FROM conversations WHERE role NOT IN ('user', 'assistant')"""
+
+_OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+ w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM d, unnest(range(0, n - 199)) AS u(i) WHERE n >= 200),
+ r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+ s AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM r)),
+ runs AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM s GROUP BY doc_id, g),
+ parts AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS f, a AS t, g FROM runs UNION ALL SELECT doc_id, max(b), NULL, 1e9 FROM runs GROUP BY doc_id),
+ kept AS (SELECT p.doc_id, string_agg(substr(h, 2 * f + 1, 2 * (coalesce(t, n) - f)), '' ORDER BY f, g) AS h FROM parts p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+ sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6}

@@ -12,6 +12,7 @@ from .ngram_jaccard import ngram_jaccard_join
 from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_files import token_files_round_trip
+from .tool_calls import link_tool_calls
 from .toxicity import toxicity
 from .warc import archive_round_trip
 
@@ -39,6 +40,27 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_round_trip(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+#: The tool that the query below reads dialogues as calls of.
+REPLY_TOOL = {"reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 40}, "turn": {"type": "integer", "minimum": 0}}}}
+
+
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogues as tool calls: each user turn calls a tool and builds on the call before, each assistant turn is a result.
+
+    Every seventh conversation names the call after instead, which moves its calls.
+    """
+    turns = _read(spark, sf_dir, "conversations")
+    call = lambda t: F.concat(F.lit("call-"), t.cast("string"))
+    after = F.when(F.col("conv_id") % 7 == 0, F.array(call(F.col("turn") + 2))).otherwise(F.array(call(F.col("turn") - 2)))
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("turn")), {"ignoreNullFields": "false"})
+    made = F.to_json(F.struct(F.array(F.struct(call(F.col("turn")).alias("id"), F.lit("reply").alias("name"), arguments.alias("arguments"), after.alias("after"))).alias("tool_calls")))
+    got = F.to_json(F.struct(call(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content")))
+    role = F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role"))
+    text = F.when(F.col("role") == "user", made).when(F.col("role") == "assistant", got).otherwise(F.col("text"))
+    linked = link_tool_calls(turns.select("conv_id", "turn", role.alias("role"), text.alias("text")), REPLY_TOOL)
+    return linked.withColumn("violations", F.array_join("violations", "; "))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -64,4 +86,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
