@@ -66,6 +66,7 @@ lock_terms = _fold(MASKED, lambda t, terms: _fragment_rows(G.lock_terms(t, _term
 correct_terms = _fold(T.StringType(), lambda t, terms: G.correct_terms(t, _terms(terms)))
 polish = _fold(POLISHED, lambda t: G.polish(t))
 polish_deep = _fold(POLISHED, lambda t: G.polish(t, deep=True))
+rendered_ids = _fold(T.ArrayType(T.StringType()), lambda blocks: G.rendered_ids([(b["kind"], b["text"]) for b in blocks]))
 rewrite_assets = _fold(T.StringType(), G.rewrite_assets)
 
 

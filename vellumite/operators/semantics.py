@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import patterns as P
 from ..functions import text as X
@@ -267,5 +266,3 @@ def project(payloads: DataFrame, prefix: Column | None = None) -> dict[str, Data
     facts = payloads.select("doc_id", source.alias("source"), (~has_list & ~has_layout).alias("low_fidelity"))
     return {"blocks": blocks, "anchors": found, "toc": toc(blocks), "page_sizes": given.unionByName(inferred), "documents": facts}
 
-
-BOXES = T.ArrayType(T.DoubleType())

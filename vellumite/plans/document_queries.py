@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import annotations, glossary, library, markup, sections, semantics
+from ..operators import annotations, glossary, library, markup, polish, sections, semantics
 from .text_queries import steps_sql, trim_sql
 from .views import MARKUP_SQL, PAPER_SQL, Query, digest, lit, markup_view, paper_view, table
 
@@ -415,3 +415,37 @@ _add(layout_blocks, f"""SELECT doc_id, 'layout-3-' || o AS id, kind, raw_type, m
   SELECT doc_id, '1', CASE WHEN regexp_matches({_t100}, {lit(P.FIGURE_CAPTION)}) THEN 'figure' WHEN regexp_matches({_t100}, {lit(P.TABLE_CAPTION)}) THEN 'table' ELSE 'paragraph' END,
     CASE WHEN regexp_matches({_t100}, {lit(P.FIGURE_CAPTION)}) THEN 'image_caption' WHEN regexp_matches({_t100}, {lit(P.TABLE_CAPTION)}) THEN 'table_caption' ELSE 'text' END, {_t100} FROM documents UNION ALL
   SELECT doc_id, '2', 'table', 'table_caption', 'Table 1: counts' FROM documents) WHERE t <> ''""")
+
+
+def residual_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open in the line blocks of every text before the merges, as the windows that a model would get."""
+    blocks = _line_blocks(spark, sf_dir)
+    windows = polish.issue_windows(blocks, polish.residual_issues(blocks))
+    kept = polish.first_windows(windows)
+    text = polish.prompt(F.col("kind"), F.col("heading"), F.col("current"), F.col("context"))
+    return kept.select("doc_id", F.col("k").cast("long").alias("k"), "issue_id", "kind", digest(text))
+
+
+_add(residual_windows)
+
+
+def interrupted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph lines that go on behind figures or tables."""
+    rows = polish.residual_issues(_line_blocks(spark, sf_dir)).where("kind = 'media-interruption'")
+    return rows.select("doc_id", "issue_id", (F.col("last") - F.col("first")).cast("long").alias("distance"))
+
+
+_add(interrupted_lines, f"""SELECT doc_id, 'interrupt-md-' || ord::VARCHAR AS issue_id, np - pos AS distance FROM (SELECT *, lead(pos) OVER w AS np, lead(kind) OVER w AS nk, lead(t) OVER w AS nt FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS pos FROM {_BLOCKS}) WHERE kind NOT IN ('figure', 'table') WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+  WHERE kind = 'paragraph' AND nk = 'paragraph' AND np > pos + 1 AND length(nt) >= 2 AND NOT regexp_matches(t, {lit(P.SENTENCE_END)}) AND regexp_matches(nt, {lit(P.CONTINUATION_START)})""")
+
+
+def rendered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the rendered blocks of every text: captions and lists share theirs with neighbours."""
+    blocks = F.filter(markup.split_blocks(F.col("text")), lambda b: b["kind"] != "blank")
+    rows = markup_view(spark, sf_dir).select("doc_id", blocks.alias("blocks"))
+    ids = rows.select("doc_id", F.explode(markup.rendered_ids(F.col("blocks"))).alias("semantic_id"))
+    return ids.groupBy("doc_id", "semantic_id").agg(F.count("*").alias("n"))
+
+
+_add(rendered_ids)
