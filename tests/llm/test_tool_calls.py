@@ -1,4 +1,5 @@
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -61,6 +62,21 @@ def test_a_long_chain_backwards(spark):
     assert {r.turn: r.level for r in got} == {k: n - 1 - k for k in range(n)}
 
 
+def test_random_graphs_match_brute_force(spark):
+    rng, rows, expected = random.Random(4), [], {}
+    for conv in range(12):
+        n = rng.randint(2, 14)
+        after = {k: rng.sample(range(n), rng.choice([0, 1, 1, 1, 2, 3]) if n > 3 else 1) for k in range(n)}
+        rows += [(conv, k, "assistant", call((f"c{k}", "t", {}, [f"c{x}" for x in after[k]]))) for k in range(n)]
+        level = {}
+        while free := [k for k in after if k not in level and all(x in level for x in after[k])]:
+            level |= {k: max((level[x] + 1 for x in after[k]), default=0) for k in free}
+        moved = any(x >= k for k in after for x in after[k])
+        expected |= {(conv, k): level.get(k, -1) if moved else None for k in after}
+    got = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.level for r in got} == expected
+
+
 def test_empty_table(spark):
     assert link_tool_calls(spark.createDataFrame([], SCHEMA), TOOLS).collect() == []
 

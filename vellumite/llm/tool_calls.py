@@ -85,7 +85,10 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 def _levels(ws: Workspace, calls: DataFrame) -> DataFrame:
     """``(conv, key, level)`` of the calls of conversations in which a call names a later one; -1 in a circle.
 
-    ``calls`` is ``(conv, key, id, after)``, the key in the order of the turns.
+    ``calls`` is ``(conv, key, id, after)``, the key in the order of the turns. A level is the longest way
+    down to a call that names none. Chains of calls that name one other are followed by pointer
+    jumping, in as many rounds as the logarithm of their length; only calls that name several are
+    settled level by level.
     """
     ids = calls.groupBy("conv", "id").agg(F.min("key").alias("need"))
     named = calls.select("conv", "key", F.explode("after").alias("id")).join(ids, ["conv", "id"]).select("conv", "key", "need").distinct()
@@ -93,18 +96,28 @@ def _levels(ws: Workspace, calls: DataFrame) -> DataFrame:
     if late.isEmpty():
         return calls.where("false").select("conv", "key", F.lit(0).alias("level"))
     edges = ws.table(named.join(late, "conv", "left_semi"), "edges")
-    left = ws.table(calls.join(late, "conv", "left_semi").select("conv", "key"), "left")
-    done, level = None, 0
-    while not left.isEmpty():
-        # free are calls that name none of those left
-        waiting = edges.join(left.withColumnRenamed("key", "need"), ["conv", "need"], "left_semi").select("conv", "key").distinct()
-        free = ws.table(left.join(waiting, ["conv", "key"], "left_anti").withColumn("level", F.lit(level)), "free")
-        if free.isEmpty():
-            free = left.withColumn("level", F.lit(-1))
-        done = free if done is None else done.unionByName(free)
-        left = ws.table(left.join(free, ["conv", "key"], "left_anti"), "left")
-        level += 1
-    return done
+    needs = edges.groupBy("conv", "key").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    nodes = calls.join(late, "conv", "left_semi").select("conv", "key").join(needs, ["conv", "key"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    one = F.col("n") == 1
+    ways = ws.table(nodes.select("conv", "key", "n", F.when(one, F.col("need")).otherwise(F.col("key")).alias("end"), one.cast("int").alias("steps")), "ways")
+    longest = ways.groupBy("conv").count().agg(F.max("count")).head()[0]
+    for _ in range(max(1, longest).bit_length()):
+        on = ways.select("conv", F.col("key").alias("end"), F.col("end").alias("beyond"), F.col("steps").alias("more"))
+        ways = ws.table(ways.join(on, ["conv", "end"]).select("conv", "key", "n", F.col("beyond").alias("end"), (F.col("steps") + F.col("more")).alias("steps")), "ways")
+    # an end that still names one other is on a circle
+    settled = ws.table(ways.where("n = 0").select("conv", "key", F.lit(0).alias("level")), "settled")
+    several = ways.where("n > 1").select("conv", "key")
+    reach = ws.table(edges.join(several, ["conv", "key"], "left_semi").join(ways.select("conv", F.col("key").alias("need"), "end", "steps"), ["conv", "need"]).select("conv", "key", "end", "steps"), "reach")
+    while not reach.isEmpty():
+        found = settled.select("conv", F.col("key").alias("end"), "level")
+        ready = reach.join(found, ["conv", "end"], "left").groupBy("conv", "key").agg(F.max(F.col("steps") + F.col("level") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+        ready = ws.table(ready.where("all").select("conv", "key", "level"), "ready")
+        if ready.isEmpty():
+            break
+        settled = ws.table(settled.unionByName(ready), "settled")
+        reach = ws.table(reach.join(ready, ["conv", "key"], "left_anti"), "reach")
+    ends = settled.select("conv", F.col("key").alias("end"), "level")
+    return ws.table(ways.join(ends, ["conv", "end"], "left").select("conv", "key", F.coalesce((F.col("level") + F.col("steps")).cast("int"), F.lit(-1)).alias("level")), "levels")
 
 
 def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, conversation_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
