@@ -4,6 +4,7 @@ from collections import Counter
 import corpus_pipeline as P
 from vellumite.llm.mixing import mix_documents, mix_sources
 from vellumite.llm.ngram_jaccard import one_of_each_group
+from vellumite.llm.store import key_filter, split_by_keys
 
 from . import messy
 from .test_ngram_jaccard import brute as groups
@@ -46,7 +47,7 @@ def test_run_is_repeatable(spark, sf_dir):
 
 def test_stage_functions_take_messy_rows(spark):
     rows = messy.documents()
-    df = spark.createDataFrame(rows, messy.SCHEMA)
+    df = spark.createDataFrame(rows, messy.SCHEMA).selectExpr("*", "1 as bits", "2 as bucket", "3 as hit", "4 as component_id", "5 as taken", "6 as size")
     one = one_of_each_group(df)
     assert one.columns == df.columns
     ids = [r.doc_id for r in one.collect()]
@@ -57,6 +58,14 @@ def test_stage_functions_take_messy_rows(spark):
     assert out.columns == df.columns and sum(len(words(r.text)) for r in out.collect()) == taken
 
 
+def test_key_filter_loses_nothing(spark):
+    keys = spark.range(0, 5000, 3).selectExpr("id as key")
+    rows = spark.range(6000).selectExpr("case when id < 5990 then id end as key", "id as bits")
+    outside, inside = split_by_keys(rows, "key", key_filter(keys, 1 << 16), 1 << 16)
+    assert outside.count() + inside.count() == 6000 and outside.join(keys, "key", "left_semi").count() == 0
+    assert inside.count() < 2600
+
+
 def test_empty_documents(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in P.STAGES:

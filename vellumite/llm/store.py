@@ -91,13 +91,14 @@ def split_by_keys(df: DataFrame, key: str, chunks: DataFrame, bits: int = FILTER
 
     The filter is broadcast, whose size is fixed; only rows of the second kind need a join.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-    at = F.bitmap_bit_position(F.col("_place"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = {c: f"_filter_{c}" for c in ("place", "bucket", "bits", "hit")}
+    at = F.bitmap_bit_position(F.col(own["place"]))
+    byte = F.conv(F.hex(F.substring(F.col(own["bits"]), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    rows = df.withColumn("_place", place).withColumn("_bucket", F.bitmap_bucket_number("_place"))
-    marked = rows.join(F.broadcast(chunks.withColumnRenamed("bucket", "_bucket")), "_bucket", "left").withColumn("_hit", hit)
-    return marked.where("not _hit").select(df.columns), marked.where("_hit").select(df.columns)
+    rows = df.withColumn(own["place"], F.pmod(F.xxhash64(key), F.lit(bits)) + 1).withColumn(own["bucket"], F.bitmap_bucket_number(own["place"]))
+    marks = F.broadcast(chunks.select(F.col("bucket").alias(own["bucket"]), F.col("bits").alias(own["bits"])))
+    marked = rows.join(marks, own["bucket"], "left").withColumn(own["hit"], hit)
+    return marked.where(~F.col(own["hit"])).select(df.columns), marked.where(own["hit"]).select(df.columns)
 
 
 class Workspace:
