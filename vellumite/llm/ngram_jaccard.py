@@ -174,8 +174,7 @@ def _signature_blobs(n: int, scheme: PartEnum, bits: int):
     return run
 
 
-@trimmed_group
-def _groups(table: pa.Table) -> pa.Table:
+def _groups(table: pa.Table, bits: int) -> pa.Table:
     """Of one bucket: the distinct groups of classes that share a signature."""
     sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint64)
     cls = np.frombuffer(b"".join(table["cls"].to_pylist()), np.int64)
@@ -208,7 +207,25 @@ def _groups(table: pa.Table) -> pa.Table:
                 both = np.concatenate([blocks[i], blocks[j]])
                 gid.append(np.full(len(both), K.mix(np.array([name[g] + np.uint64(i * len(blocks) + j)]))[0]))
                 member.append(both)
-    return pa.table({"gid": np.concatenate(gid).view(np.int64), "cls": np.concatenate(member)})
+    gid, member = np.concatenate(gid), np.concatenate(member)
+    # packed by the name of the group, for the step that drops groups which other buckets found too
+    order = np.argsort(gid, kind="stable")
+    gid, member = gid[order], member[order]
+    part = (gid >> np.uint64(64 - bits)).astype(np.int32)
+    edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
+    rows = [(int(part[i]), gid[i:j].tobytes(), member[i:j].tobytes()) for i, j in itertools.pairwise(edge)]
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "gid": pa.array([r[1] for r in rows], pa.binary()), "cls": pa.array([r[2] for r in rows], pa.binary())})
+
+
+@trimmed_group
+def _distinct_groups(table: pa.Table) -> pa.Table:
+    """Each group once: near copies share very many signatures, in very many buckets."""
+    gid = np.frombuffer(b"".join(table["gid"].to_pylist()), np.int64)
+    cls = np.frombuffer(b"".join(table["cls"].to_pylist()), np.int64)
+    order = np.lexsort((cls, gid))
+    gid, cls = gid[order], cls[order]
+    keep = np.r_[True, (gid[1:] != gid[:-1]) | (cls[1:] != cls[:-1])][: len(gid)]
+    return pa.table({"gid": gid[keep], "cls": cls[keep]})
 
 
 def _halved(sketch: np.ndarray) -> np.ndarray:
@@ -385,7 +402,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = profile.agg(F.sum("n")).head()[0] or 0
     bits = min(16, max(3, math.ceil(math.log2(max(1, total) * 0.6 / 400_000 + 1))))
     blobs = src.where("id is not null").select("id", "text").mapInArrow(_signature_blobs(n, scheme, bits), "bucket int, sig binary, cls binary")
-    groups = ws.table(blobs.groupBy("bucket").applyInArrow(_groups, "gid long, cls long"), "groups")
+    packed = blobs.groupBy("bucket").applyInArrow(trimmed_group(lambda bucket: _groups(bucket, bits)), "part int, gid binary, cls binary")
+    groups = ws.table(packed.groupBy("part").applyInArrow(_distinct_groups, "gid long, cls long"), "groups")
     ws.release()
     # one representative stands for a class; several classes may share one if an id is repeated
     members = groups.join(classes, "cls").select("gid", "rep", "n", "sketch")
@@ -426,8 +444,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # rows that surely are no copies pass by; the others meet the ids that stay
     gone = ws.table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
     unique, copies = split_by_keys(docs, id_col, ws.table(key_filter(gone), "filter"))
-    lost = gone.select(F.col(id_col).alias("_gone"))
-    ids = unique.unionByName(copies.join(lost, copies[id_col] == F.col("_gone"), "left_anti"))
+    lost = gone.select(F.col(id_col).alias("_filter_gone"))
+    ids = unique.unionByName(copies.join(lost, copies[id_col] == F.col("_filter_gone"), "left_anti"))
     if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return ids
     return ids.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(ids.where(F.col(id_col).isNull()))
