@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import Workspace, only, trimmed, trimmed_group
+from .store import Workspace, trimmed, trimmed_group
 
 #: Vectors that the centroids are fitted on, and cells, at most; vectors of a cell to aim at.
 FIT_ROWS, CELLS, CELL = 8192, 256, 1024
