@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from vellumite.llm import kernels as K
-from vellumite.llm.ngram_jaccard import PartEnum, ngram_jaccard_join, sketches
+from vellumite.llm.ngram_jaccard import PartEnum, ngram_jaccard_join, ngram_jaccard_links, sketches
 
 from . import messy
 
@@ -104,3 +104,35 @@ def test_words_match_the_pattern():
 def test_threshold_is_checked():
     with pytest.raises(ValueError):
         PartEnum(40, 100)
+
+
+def test_every_link_is_counted(spark, monkeypatch):
+    """Near copies of one text, far more than a component needs, in many blocks; copies and a repeated id count."""
+    from vellumite.llm import ngram_jaccard as J
+
+    monkeypatch.setattr(J, "LINK_CLASSES", 16)
+    monkeypatch.setattr(J, "COLUMNS", 64)
+    rng, base = random.Random(8), messy.words(7, 120)
+    rows = []
+    for i in range(120):
+        edited = list(base)
+        for _ in range(rng.randint(0, 5)):
+            edited[rng.randrange(len(edited))] = f"w{rng.randint(0, 9)}"
+        rows.append((i, " ".join(edited)))
+    rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (3, rows[9][1]), (3, " ".join(messy.words(6, 50))), (202, None), (203, " "), (None, rows[3][1])]
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    similar = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    expected = Counter((i, len(a), None if i is None else sum(similar(a, b) for k, (j, b) in enumerate(sets) if j is not None and k != m)) for m, (i, a) in enumerate(sets))
+    out = ngram_jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in out) == expected
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute(rows)
+
+
+def test_links_match_the_sql(spark, sf_dir):
+    from vellumite.llm import oracles, queries
+
+    from ..compare import duck
+    from ..compare import rows as table
+
+    name = "op1_ngram_jaccard_links"
+    assert table(queries.QUERIES[name](spark, sf_dir).toPandas()) == table(duck(sf_dir).execute(oracles.ORACLES[name]).df())

@@ -14,7 +14,9 @@ smallest elements (the prefix that two similar sets cannot both miss).
 
 Equal sets count as one class from the start. Classes that share a signature are
 tested by folded parity sketches, which never reject a similar pair, and what
-passes is verified on the sets themselves.
+passes is verified on the sets themselves. Of pairs within one component only as many
+are verified as it takes to find the components; for the links themselves all classes of
+a component meet in blocks, where every pair is counted exactly.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ PORTION = 1 << 20
 BLOCK = 2048
 #: One in so many groups takes part in the first round.
 EARLY = 16
+#: Classes and elements of a block in which the classes of one component meet, on average.
+LINK_CLASSES, LINK_ELEMENTS = 256, 1 << 20
+#: Elements counted at once for the pairs of two blocks.
+COLUMNS = 4096
 
 
 class PartEnum:
@@ -265,13 +271,13 @@ def _tested(scheme: PartEnum, size, sketch, comp, left, right) -> np.ndarray:
 def _pairs(scheme: PartEnum, few: bool):
     """Pairs to verify in each group; few: of each member the first and last earlier partner, of two components one pair."""
 
-    def work(gid, rep, size, comp, sketch):
-        order = np.lexsort((rep, size, gid))
-        gid, rep, size, comp = gid[order], rep[order], size[order], comp[order]
+    def work(gid, cls, size, comp, sketch):
+        order = np.lexsort((cls, size, gid))
+        gid, cls, size, comp = gid[order], cls[order], size[order], comp[order]
         sketch = [sketch[i] for i in order]
-        same = np.r_[False, (gid[1:] == gid[:-1]) & (rep[1:] == rep[:-1])]
+        same = np.r_[False, (gid[1:] == gid[:-1]) & (cls[1:] == cls[:-1])]
         keep = np.flatnonzero(~same)
-        gid, rep, size, comp, sketch = gid[keep], rep[keep], size[keep], comp[keep], [sketch[i] for i in keep]
+        gid, cls, size, comp, sketch = gid[keep], cls[keep], size[keep], comp[keep], [sketch[i] for i in keep]
         edge = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1], True])
         count = np.diff(edge)
         found_a, found_b = [], []
@@ -294,8 +300,8 @@ def _pairs(scheme: PartEnum, few: bool):
                     same = (np.diff(group[order]) == 0) & (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
                     pick = order[np.r_[True, ~same]]
                     left, right = left[pick], right[pick]
-                found_a.append(rep[left])
-                found_b.append(rep[right])
+                found_a.append(cls[left])
+                found_b.append(cls[right])
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
         b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -308,7 +314,7 @@ def _pairs(scheme: PartEnum, few: bool):
 
         def flush(rows):
             t = pa.Table.from_batches(rows)
-            return work(*(t[c].to_numpy() for c in ("gid", "rep", "n", "comp")), t["sketch"].to_pylist())
+            return work(*(t[c].to_numpy() for c in ("gid", "cls", "n", "comp")), t["sketch"].to_pylist())
 
         for batch in batches:
             if not batch.num_rows:
@@ -330,7 +336,7 @@ def _pairs(scheme: PartEnum, few: bool):
 
 
 def _picked_sets(n: int, chosen, width: int):
-    """The shingle sets, six bytes an element, of the documents whose bit is set."""
+    """The shingle sets, six bytes an element, and their names, of the documents whose bit is set."""
 
     @trimmed
     def run(batches):
@@ -338,26 +344,27 @@ def _picked_sets(n: int, chosen, width: int):
         for batch in batches:
             at = batch.column(2).to_numpy().astype(np.int64) - 1
             some = batch.filter(pa.array((bits[at >> 3] >> (at & 7) & 1).astype(bool)))
-            for ids, owner, value, size in _sets(some, n):
+            for _, owner, value, size in _sets(some, n):
                 raw = np.ascontiguousarray(value).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
                 end = np.cumsum(size) * width
-                yield pa.RecordBatch.from_pydict({"id": ids, "items": pa.array([raw[e - s * width : e] for e, s in zip(end, size, strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(_classes(owner, value, size)), "items": pa.array([raw[e - s * width : e] for e, s in zip(end, size, strict=True)], pa.binary())})
 
     return run
 
 
-def _verified(scheme: PartEnum, width: int):
-    def items(raw):
-        padded = np.zeros((len(raw) // width, 8), np.uint8)
-        padded[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-        return padded.view(np.uint64).ravel()
+def _items(raw: bytes, width: int) -> np.ndarray:
+    padded = np.zeros((len(raw) // width, 8), np.uint8)
+    padded[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return padded.view(np.uint64).ravel()
+
 
+def _verified(scheme: PartEnum, width: int):
     @trimmed
     def run(batches):
         for batch in batches:
             linked = []
             for x, y in zip(batch["items_a"].to_pylist(), batch["items_b"].to_pylist(), strict=True):
-                p, q = items(x), items(y)
+                p, q = _items(x, width), _items(y, width)
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
                 linked.append(scheme.den * both >= scheme.num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_pydict({"a": batch["a"], "b": batch["b"], "linked": pa.array(linked, pa.bool_())})
@@ -365,37 +372,111 @@ def _verified(scheme: PartEnum, width: int):
     return run
 
 
-def _links(ws: Workspace, docs: DataFrame, pairs: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
-    """``(a, b, linked)``: each pair verified on the sets."""
-    spark = ws.spark
+def _picked(ws: Workspace, docs: DataFrame, ids: DataFrame, n: int, width: int) -> DataFrame:
+    """``(cls, items)`` of the documents of these ids, and of few others."""
     position = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)) + 1
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
     chosen = bytearray(FILTER_BITS // 8)
     for row in key_filter(ids).toLocalIterator():  # FILTER_BITS / 32768 rows of 4 KB at most
         chosen[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
-    bits = spark.sparkContext.broadcast(bytes(chosen))
+    bits = ws.spark.sparkContext.broadcast(bytes(chosen))
+    return ws.table(docs.select("id", "text", position.alias("p")).mapInArrow(_picked_sets(n, bits, width), "cls long, items binary"), "sets")
+
+
+def _links(ws: Workspace, docs: DataFrame, pairs: DataFrame, classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
+    """``(a, b, linked)``: each pair of classes verified on the sets."""
     width = 6
-    picked = ws.table(docs.select("id", "text", position.alias("p")).mapInArrow(_picked_sets(n, bits, width), "id long, items binary"), "sets")
-    of_a = picked.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
-    of_b = picked.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+    picked = _picked(ws, docs, ends.join(classes.select("cls", "rep"), "cls").select("rep"), n, width)
+    of_a = picked.select(F.col("cls").alias("a"), F.col("items").alias("items_a"))
+    of_b = picked.select(F.col("cls").alias("b"), F.col("items").alias("items_b"))
     out = ws.table(pairs.join(of_a, "a").join(of_b, "b").mapInArrow(_verified(scheme, width), "a long, b long, linked boolean"), "links")
     ws.drop(picked)
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard similarity of ``num / den`` or more.
+def _common(owner: np.ndarray, value: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each set of ``left`` shares with each of ``right``, for sets given as (owner, value)."""
+    _, code, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[code]
+    owner, code = owner[keep], (np.cumsum(shared) - 1)[code[keep]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    n, codes = int(max(left[-1], right[-1])) + 1, int(shared.sum())
+    for c in range(0, codes, COLUMNS):
+        a, b = np.searchsorted(code, [c, c + COLUMNS])
+        has = np.zeros((n, min(COLUMNS, codes - c)), np.float32)
+        has[owner[a:b], code[a:b] - c] = 1
+        total += has[left] @ has[right].T
+    return total.astype(np.int64)
+
+
+def _linked(scheme: PartEnum, width: int):
+    """Every pair of similar classes of rows (component, low, high, block, cls, items), of which a group is two blocks of a component or one."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        component, low, high, block, cls = (t[c].to_numpy() for c in ("component", "low", "high", "block", "cls"))
+        items = t["items"].to_pylist()
+        edge = np.flatnonzero(np.r_[True, (component[1:] != component[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), True])
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in itertools.pairwise(edge):
+            at = i + np.sort(np.unique(cls[i:j], return_index=True)[1])  # documents of a repeated id may bring a class twice
+            left, right = np.flatnonzero(block[at] == low[i]), np.flatnonzero(block[at] == high[i])
+            if not len(left) or not len(right):
+                continue
+            sets = [items[k] for k in at]
+            size = np.array([len(x) // width for x in sets])
+            both = _common(np.repeat(np.arange(len(at)), size), _items(b"".join(sets), width), left, right)
+            similar = scheme.den * both >= scheme.num * (size[left][:, None] + size[right] - both)
+            if low[i] == high[i]:
+                similar = np.triu(similar, 1)
+            x, y = np.nonzero(similar)
+            found_a.append(cls[at[left[x]]])
+            found_b.append(cls[at[right[y]]])
+        return pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
-    Returns ``(id, n_shingles, component_id, class_id, copies)`` with the name of the id column kept:
-    ``class_id`` is the least id among documents of an equal set, ``copies`` their number.
+    @trimmed
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch[c].to_numpy() for c in ("component", "low", "high")], 1)
+            fresh = np.r_[last is not None and (names[0] != last).any(), (names[1:] != names[:-1]).any(1)]
+            last = names[-1]
+            if fresh.any():
+                cut = int(np.flatnonzero(fresh)[-1])
+                yield work(pa.Table.from_batches([*kept, batch.slice(0, cut)]))
+                kept = []
+                batch = batch.slice(cut)
+            kept.append(batch)
+        if kept:
+            yield work(pa.Table.from_batches(kept))
 
-    Words are runs of bytes other than space and 0x09-0x0D after A-Z are lower-cased. A text of
-    fewer than n words is one shingle; null and empty texts have none and link with nothing. Ids
-    must be whole numbers; rows of a repeated id count as documents of their own with that id, and
-    a null id makes a row of its own component (null). Long texts are processed whole.
-    """
-    ws, scheme = Workspace(docs.sparkSession, "ngram-jaccard"), PartEnum(num, den)
-    src = only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+    return run
+
+
+def _class_links(ws: Workspace, docs: DataFrame, classes: DataFrame, scheme: PartEnum, n: int) -> DataFrame:
+    """``(a, b)``: each pair of similar classes once. Similar classes are in one component, so none is missed."""
+    width = 6
+    held = classes.groupBy("component").agg(F.count("*").alias("of"), F.sum("n").alias("held")).where("of > 1")
+    blocks = F.greatest(F.ceil(F.col("of") / LINK_CLASSES), F.ceil(F.col("held") / LINK_ELEMENTS))
+    dealt = classes.join(held.select("component", blocks.alias("blocks")), "component")
+    dealt = ws.table(dealt.select("cls", "rep", "component", "blocks", F.pmod(F.xxhash64("cls"), "blocks").alias("block")), "dealt")
+    picked = _picked(ws, docs, dealt.select("rep"), n, width)
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("cls", "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block").join(picked, "cls")
+    key = ["component", "low", "high"]
+    dealt_rows = rows.repartition(*key).sortWithinPartitions(*key).select(*key, "block", "cls", "items")
+    out = ws.table(dealt_rows.mapInArrow(_linked(scheme, width), "a long, b long"), "class_links")
+    ws.drop(picked)
+    return out
+
+
+def _matched(ws: Workspace, src: DataFrame, scheme: PartEnum, n: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, n, cls)`` of each row, and ``(cls, rep, n, copies, component)`` of each class; components are named by a class."""
     profile = ws.table(src.mapInArrow(_profiles(n), "id long, n long, cls long, sketch binary"), "profile")
     known = profile.where("n > 0 and id is not null")
     classes = ws.table(known.groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
@@ -405,11 +486,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     packed = blobs.groupBy("bucket").applyInArrow(trimmed_group(lambda bucket: _groups(bucket, bits)), "part int, gid binary, cls binary")
     groups = ws.table(packed.groupBy("part").applyInArrow(_distinct_groups, "gid long, cls long"), "groups")
     ws.release()
-    # one representative stands for a class; several classes may share one if an id is repeated
-    members = groups.join(classes, "cls").select("gid", "rep", "n", "sketch")
+    members = groups.join(classes, "cls").select("gid", "cls", "n", "sketch")
 
     def candidates(some: DataFrame, few: bool) -> DataFrame:
-        rows = some.withColumn("comp", F.col("rep")) if comp is None else some.join(comp, some.rep == comp.vertex, "left").select("gid", "rep", "n", "sketch", F.coalesce("component", "rep").alias("comp"))
+        rows = some.withColumn("comp", F.col("cls")) if comp is None else some.join(comp, some.cls == comp.vertex, "left").select("gid", "cls", "n", "sketch", F.coalesce("component", "cls").alias("comp"))
         pairs = rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(_pairs(scheme, few), "a long, b long").distinct()
         return ws.table(pairs if links is None else pairs.join(links.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
 
@@ -419,19 +499,74 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for some, few in ((members.where(F.pmod("gid", F.lit(EARLY)) == 0), True), (members, True), (members, False)):
         pairs = candidates(some, few)
         if links is None or not pairs.isEmpty():
-            found = _links(ws, src, pairs, scheme, n)
+            found = _links(ws, src, pairs, classes, scheme, n)
             links = found if links is None else links.unionByName(found)
             comp = components(ws, links.where("linked"))
     ws.release()
-    named = classes.join(comp, classes.rep == comp.vertex, "left").select("cls", "rep", "copies", F.coalesce("component", "rep").alias("component"))
-    out = profile.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    return out.select(
+    named = classes.join(comp, classes.cls == comp.vertex, "left").select("cls", "rep", "n", "copies", F.coalesce("component", "cls").alias("component"))
+    return profile.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")), ws.table(named, "named")
+
+
+def _named(ws: Workspace, profile: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``profile`` with their class's columns and ``head``, the least id of the component, to which a repeated id belongs as a whole."""
+    heads = classes.groupBy("component").agg(F.min("rep").alias("head"))
+    classes = ws.table(classes.drop("n").join(heads, "component"), "heads")
+    known = profile.where("cls is not null and id is not null")
+    torn = ws.table(known.groupBy("id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y").select("id"), "torn")
+    if not torn.isEmpty():
+        rows = ws.table(known.join(torn, "id").join(classes, "cls").select("id", "head").distinct(), "rows")
+        united = components(ws, rows.join(rows.groupBy("id").agg(F.min("head").alias("a")), "id").select("a", F.col("head").alias("b")))
+        classes = classes.join(united, classes["head"] == united["vertex"], "left").select("cls", "rep", "copies", F.coalesce(united["component"], "head").alias("head"))
+    return profile.join(classes, "cls", "left")
+
+
+def _columns(id_col: str) -> list:
+    known = F.col("id").isNotNull()
+    return [
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("class_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("copies", F.lit(1))).cast("long").alias("copies"),
-    )
+        F.when(known, F.coalesce("head", "id")).alias("component_id"),
+        F.when(known, F.coalesce("rep", "id")).alias("class_id"),
+        F.when(known, F.coalesce("copies", F.lit(1))).cast("long").alias("copies"),
+    ]
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return only(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard similarity of ``num / den`` or more.
+
+    Returns ``(id, n_shingles, component_id, class_id, copies)`` with the name of the id column kept:
+    ``class_id`` is the least id among documents of an equal set, ``copies`` their number. For the
+    links themselves see :func:`ngram_jaccard_links`.
+
+    Words are runs of bytes other than space and 0x09-0x0D after A-Z are lower-cased. A text of
+    fewer than n words is one shingle; null and empty texts have none and link with nothing. Ids
+    must be whole numbers; rows of a repeated id count as documents of their own with that id, and
+    a null id makes a row of its own component (null). Long texts are processed whole.
+    """
+    ws, scheme = Workspace(docs.sparkSession, "ngram-jaccard"), PartEnum(num, den)
+    profile, classes = _matched(ws, _source(docs, id_col, text_col), scheme, n)
+    return _named(ws, profile, classes).select(*_columns(id_col))
+
+
+def ngram_jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of :func:`ngram_jaccard_join` with ``n_links``: how many other documents each one is similar to.
+
+    Every pair of different sets is verified, and each counts with all its copies, as the copies of the
+    document's own set do. Null for a null id, which is in no join.
+    """
+    ws, scheme = Workspace(docs.sparkSession, "ngram-jaccard-links"), PartEnum(num, den)
+    src = _source(docs, id_col, text_col)
+    profile, classes = _matched(ws, src, scheme, n)
+    pairs = _class_links(ws, src, classes, scheme, n)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(classes.select(F.col("cls").alias("b"), F.col("copies").alias("of_b")), "b").groupBy("a").agg(F.sum("of_b").alias("others"))
+    rows = _named(ws, profile, classes).join(others.withColumnRenamed("a", "cls"), "cls", "left")
+    n_links = F.when(F.col("id").isNotNull(), F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).cast("long")
+    return rows.select(*_columns(id_col), n_links.alias("n_links"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -24,6 +24,16 @@ _OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(r.v, d.doc_id) AS class_id, coalesce(count(*) FILTER (len(d.s) > 0) OVER (PARTITION BY r.v), 1) AS copies
  FROM (SELECT doc_id, list_sort(s) AS s FROM sets) d LEFT JOIN reps r ON r.s = d.s LEFT JOIN comp ON comp.v = r.v"""
 
+_OP1_LINKS = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM w),
+ d AS (SELECT doc_id, list_sort(s) AS s FROM sets), reps AS (SELECT min(doc_id) AS v, count(*) AS copies, s FROM d WHERE len(s) > 0 GROUP BY s),
+ g AS (SELECT v, len(s) AS n, unnest(s) AS x FROM reps),
+ p AS (SELECT a.v AS a, b.v AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM g a JOIN g b ON a.x = b.x AND a.v < b.v GROUP BY a.v, b.v),
+ l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ o AS (SELECT e.a AS v, sum(reps.copies) AS others FROM e JOIN reps ON reps.v = e.b GROUP BY e.a), {_components('reps', 'e')}
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(comp.c, d.doc_id) AS component_id, coalesce(r.v, d.doc_id) AS class_id, coalesce(r.copies, 1) AS copies, coalesce(r.copies - 1, 0) + coalesce(o.others, 0) AS n_links
+ FROM d LEFT JOIN reps r ON r.s = d.s LEFT JOIN comp ON comp.v = r.v LEFT JOIN o ON o.v = r.v"""
+
 _OP2 = """WITH f AS (SELECT page_id, encode(coalesce(html, '')) AS p, sha1(coalesce(html, '')) AS h FROM pages),
  b AS (SELECT page_id, octet_length(p) AS n, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
    1 + (((('0x' || substr(h || '00', (k * 5) // 4 + 1, 3))::INT >> (12 - (k * 5) % 4 - 5)) & 31)), 1)), '') AS d, max(page_id) OVER (PARTITION BY p) AS m FROM f)
@@ -53,4 +63,4 @@ _OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_
  sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
 SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op1_ngram_jaccard_links": _OP1_LINKS, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6}

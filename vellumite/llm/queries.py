@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import byte_bpe_digests
 from .embedding_dedup import near_duplicate_vectors
 from .mixing import mix_sources
-from .ngram_jaccard import ngram_jaccard_join
+from .ngram_jaccard import ngram_jaccard_join, ngram_jaccard_links
 from .quality import quality_rules
 from .suffix_dedup import suffix_dedup
 from .token_files import token_files_round_trip
@@ -32,6 +32,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"))
 
 
+def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_links(_read(spark, sf_dir, "documents"))
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_read(spark, sf_dir, "pages"))
 
@@ -86,4 +90,4 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
