@@ -138,3 +138,15 @@ def test_sources(spark, tmp_path):
     r = artifacts.arxiv_entries(spark.createDataFrame([(1, feed)], "id long, xml string")).head()
     assert (r.arxiv_id, r.version, r.title, r.authors) == ("2401.1", "v2", "A B", ["X Y"])
     assert artifacts.parser_options({"extra_formats": "HTML, html,docx", "ocr": "Yes"}) == {"model": "vlm", "extra_formats": ["html", "docx"], "ocr": True}
+
+
+def test_quotes_behind_any_character(spark):
+    from vellumite.operators.annotations import quotes_in
+
+    quote, wide = "the model of the measured data set", "été — “quoted” words of the naïve café"
+    quotes = [(1, quote), (2, wide), (3, " " + quote), (4, "short"), (5, quote[:23] + "?"), (6, ""), (7, quote[:24])]
+    texts = [f"see{c}{quote}{c}{wide}." for c in ("(", '"', "—", "\t", "\r", " ", "x", " ", "\n", "")] + [quote, wide + quote, quote[:-1], "short", "", None, quote[:10], f"({quote}"]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[0])]
+    expected = sorted((i is None, i or 0, k, t.index(q)) for i, t in rows for k, q in quotes if t and q and q in t)
+    got = quotes_in(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string"))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.quote_id, r.start) for r in got.collect()) == expected

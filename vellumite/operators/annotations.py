@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,21 +28,94 @@ def snapshot(text: Column, start: Column, end: Column, edge: int = 40, radius: i
     )
 
 
+#: Bits of the filter of quotes' keys (8 MB) and bytes of texts hashed at once.
+KEY_BITS, PORTION = 1 << 26, 1 << 20
+
+
+def _window_keys(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each place on."""
+    part, width = data.astype(np.uint64) + np.uint64(1), 1
+    whole, held = None, 0
+    while True:
+        power = np.uint64(pow(0x9E3779B97F4A7C15, width, 1 << 64))
+        if gram & width:
+            n = len(data) - held - width + 1
+            if n <= 0:
+                return np.zeros(0, np.int64)
+            whole, held = part if whole is None else whole[:n] * power + part[held : held + n], held + width
+        if 2 * width > gram:
+            break
+        part, width = part[:-width] * power + part[width:], 2 * width
+    whole = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (whole ^ (whole >> np.uint64(29))).view(np.int64)
+
+
+def _first_keys(gram: int):
+    """Of rows (quote_id, quote): the key of each quote's first bytes."""
+
+    def run(batches):
+        for batch in batches:
+            keys = [int(_window_keys(np.frombuffer(q.encode()[:gram], np.uint8), gram)[0]) for q in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["quote_id", "quote", "key"])
+
+    return run
+
+
+def _held_keys(gram: int, filled):
+    """Of rows (id, text): the texts with keys that pass the filter, each key once, whatever stands before its place."""
+
+    def run(batches):
+        bits = np.frombuffer(filled.value, np.uint8)
+        for batch in batches:
+            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            found: list[list[int]] = []
+            i = 0
+            while i < len(raw):
+                j, size = i, 0
+                while j < len(raw) and (j == i or size + len(raw[j]) <= PORTION):
+                    size += len(raw[j])
+                    j += 1
+                length = np.array([len(x) for x in raw[i:j]])
+                key = _window_keys(np.frombuffer(b"".join(raw[i:j]), np.uint8), gram)
+                place = key & (KEY_BITS - 1)
+                at = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                end = np.cumsum(length)
+                owner = np.searchsorted(end, at, "right")
+                inside = at + gram <= end[owner]
+                keys: list[set[int]] = [set() for _ in range(j - i)]
+                for o, k in zip(owner[inside].tolist(), key[at[inside]].tolist(), strict=True):
+                    keys[o].add(k)
+                found += [sorted(k) for k in keys]
+                i = j
+            some = np.flatnonzero([len(k) > 0 for k in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array([found[k] for k in some], pa.list_(pa.int64()))], names=["id", "text", "keys"])
+
+    return run
+
+
 def quotes_in(texts: DataFrame, quotes: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 24) -> DataFrame:
     """``(id, quote_id, start)``: the first place of each quote that a text contains.
 
-    A contained quote shares its first ``gram`` characters with some place of the text that begins a
-    word; those are joined by equality and the containment is checked after. Shorter quotes and ones that
-    begin within a word go by all texts, which is for few of them.
+    A contained quote shares its first ``gram`` bytes with some place of the text, whatever stands before
+    it. All places are hashed; those whose hash passes a filter of the quotes' (of a fixed size) are joined
+    with them by equality and the containment is checked after. Quotes of fewer characters go by all texts,
+    which is for few of them.
     """
-    q = quotes.where("quote <> ''")
-    fits = (F.length("quote") >= gram) & F.col("quote").rlike(r"^[^ \n]")
-    keyed = q.where(fits).withColumn("key", F.substring("quote", 1, gram))
-    starts = texts.select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s)(?:^|[ \n])(?=([^ \n].{{{gram - 1}}}))"), 1))).alias("key"))
-    pairs = starts.join(keyed, "key").select(id_col, "quote_id", "quote").distinct().join(texts.select(id_col, text_col), id_col)
-    rest = texts.select(id_col, text_col).join(q.where(~fits), F.col(text_col).contains(F.col("quote"))).select(id_col, "quote_id", "quote", text_col)
-    both = pairs.select(id_col, "quote_id", "quote", text_col).unionByName(rest)
-    return both.withColumn("start", F.position(F.col("quote"), F.col(text_col)) - 1).where("start >= 0").select(id_col, "quote_id", "start")
+    q = quotes.where("quote <> ''").select("quote_id", "quote")
+    fits = F.length("quote") >= gram
+    keyed = q.where(fits).mapInArrow(_first_keys(gram), f"quote_id {q.schema['quote_id'].dataType.simpleString()}, quote string, key long")
+    place = F.pmod("key", F.lit(KEY_BITS)) + 1
+    chunks = keyed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    filled = bytearray(KEY_BITS // 8)
+    for row in chunks.toLocalIterator():  # KEY_BITS / 32768 rows of 4 KB at most
+        filled[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.bits
+    bits = texts.sparkSession.sparkContext.broadcast(bytes(filled))
+    src = texts.select(texts[id_col].alias("id"), texts[text_col].alias("text"))
+    held = src.mapInArrow(_held_keys(gram, bits), f"id {src.schema['id'].dataType.simpleString()}, text string, keys array<bigint>")
+    pairs = held.select("id", "text", F.explode("keys").alias("key")).join(keyed, "key").select("id", "quote_id", "quote", "text")
+    rest = src.join(q.where(~fits), F.col("text").contains(F.col("quote"))).select("id", "quote_id", "quote", "text")
+    both = pairs.unionByName(rest).withColumn("start", F.position(F.col("quote"), F.col("text")) - 1)
+    return both.where("start >= 0").select(F.col("id").alias(id_col), "quote_id", "start")
 
 
 def split_tags(text: Column) -> Column:
