@@ -56,3 +56,16 @@ def test_sequences_are_equal_and_masked(spark, tmp_path):
 
 def test_empty_table(spark):
     assert token_files_round_trip(spark.createDataFrame([], messy.SCHEMA), PATH).collect() == []
+
+
+def test_special_tokens_as_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from vellumite.llm import queries
+
+    mark = "<|endoftext|>"
+    texts = [mark, f"a {mark} b", f"{mark}{mark}x", f"it's{mark}'ll\n {mark} ", "<|endoftext", "|>", "plain words", None, f"é{mark}日本語"]
+    rows = [*messy.documents(), *((100 + k, t, *[None] * 8) for k, t in enumerate(texts))]
+    spark.createDataFrame(rows, messy.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_token_files(spark, str(tmp_path)).collect()
+    assert Counter(tuple(r) for r in got) == expected(Tokenizer.from_file(PATH), [r[:2] for r in rows])

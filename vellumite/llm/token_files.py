@@ -30,25 +30,48 @@ SEQUENCE, SEQUENCES = 2048, 256
 
 
 class Tokenizer:
-    """A byte-level tokenizer file of the tokenizers library, applied to pre-tokens."""
+    """A byte-level tokenizer file of the tokenizers library, applied to pre-tokens.
 
-    def __init__(self, path: str):
+    A text that holds an added token is encoded by the library as a whole, which knows where it counts.
+    """
+
+    def __init__(self, path: str, special: bool):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not special
         self.library.no_padding()
         self.library.no_truncation()
         self.small = self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.memo = Memo(self.encode_pretokens)
+        added = self.library.get_added_tokens_decoder().values()
+        self.marks = [t.content.encode() for t in added if t.content and (special or not t.special)]
 
     def encode_pretokens(self, tokens: list[bytes]) -> list[list[int]]:
         return [x.ids for x in self.library.encode_batch_fast([t.decode() for t in tokens], add_special_tokens=False)]
 
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts and how many each text has."""
+        raw = data.tobytes()
+        marked = []
+        if any(m in raw for m in self.marks):
+            marked = [k for k in range(len(offsets) - 1) if any(raw.find(m, offsets[k], offsets[k + 1]) >= 0 for m in self.marks)]
+        if not marked:
+            return self.memo(data, offsets)
+        length = np.diff(offsets)
+        plain = np.ones(len(length), bool)
+        plain[marked] = False
+        left = np.where(plain, length, 0)
+        ids, count = self.memo(data[np.repeat(plain, length)], np.r_[0, np.cumsum(left)])
+        pieces = np.split(ids, np.cumsum(count)[:-1])
+        for k in marked:
+            pieces[k] = np.array(self.library.encode(raw[offsets[k] : offsets[k + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(pieces), np.array([len(x) for x in pieces], np.int64)
+
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def load(path: str, special: bool = False) -> Tokenizer:
+    return Tokenizer(path, special)
 
 
 def _open(root: str):
@@ -100,13 +123,14 @@ class _Writer:
         self.sink.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, length: int = SEQUENCE) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, length: int = SEQUENCE, special: bool = False) -> DataFrame:
     """Writes the files below ``root`` (a folder that all executors share) and returns their index.
 
     The index has ``(id, part, file, seq, local_start, start, n_tokens)``: ``start`` counts the ids of all
     documents before, ``local_start`` those in the same file. A null text is empty; each text is followed
     by ``end_id`` unless that is None. Null ids come first; rows of equal ids are ordered by their texts.
-    An empty table gives an empty index and no file.
+    An empty table gives an empty index and no file. With ``special`` the file's special tokens, written out in
+    a text, become their ids, as by the library's default; without, they are plain text (its ``encode_special_tokens``).
     """
     spark = docs.sparkSession
 
@@ -114,7 +138,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: s
     def run(batches):
         from pyspark import TaskContext
 
-        tokenizer, writer, place, seq = load(tokenizer_path), None, 0, 0
+        tokenizer, writer, place, seq = load(tokenizer_path, special), None, 0, 0
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
         for batch in batches:
@@ -122,7 +146,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: s
             for i, j in K.portions(offsets, PORTION):
                 if writer is None:
                     writer = _Writer(f"{root}/files", name, pa.uint16() if tokenizer.small else pa.uint32(), length)
-                ids, count = tokenizer.memo(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, count = tokenizer(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if end_id is not None:
                     ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
                     count = count + 1
@@ -208,8 +232,8 @@ def read_token_digests(index: DataFrame, root: str, id_col: str = "doc_id") -> D
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def token_files_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> DataFrame:
+def token_files_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, special: bool = False) -> DataFrame:
     """Writes the documents' ids in the session's shared folder and returns the digests read back."""
     root = Workspace(docs.sparkSession, "token-files").root
-    index = write_token_files(docs, tokenizer_path, root, id_col, text_col, end_id)
+    index = write_token_files(docs, tokenizer_path, root, id_col, text_col, end_id, special=special)
     return read_token_digests(index, root, id_col)
