@@ -90,3 +90,39 @@ def test_schemas():
     assert violations({"n": 2.0, "s": None, "l": ["a"]}, schema) == []
     assert violations({"n": 0, "s": "abc", "l": ["b"]}, schema) == ["$.l[0]: not in enum", "$.n: minimum", "$.s: maxLength"]
     assert violations({"n": True}, schema) == ["$.n: not integer"] and violations([], schema) == ["$: not object"]
+
+
+def test_messages_beside_calls_and_calls_without_id(spark):
+    one = {"id": "a", "name": "add", "arguments": "{}", "after": []}
+    texts = [
+        {"content": "I look it up", "tool_calls": [one]}, {"content": "none needed", "tool_calls": []}, {"tool_calls": []}, {"content": None, "tool_calls": [one | {"id": "b"}]},
+        {"tool_calls": [{"name": "add", "arguments": "{}"}, one | {"id": "c"}], "refusal": {"why": [1]}}, {"tool_calls": [{"name": "add"}, {"name": "other"}]},
+    ]
+    rows = [(1, k, "assistant", json.dumps(t)) for k, t in enumerate(texts)]
+    got = link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    calls = sorted((r.turn, r.idx, r.call_id or "", r.status) for r in got if r.kind == "call")
+    assert calls == [(0, 0, "a", "unanswered"), (3, 0, "b", "unanswered"), (4, 0, "", "unanswered"), (4, 1, "c", "unanswered"), (5, 0, "", "unanswered"), (5, 1, "", "unanswered")]
+    told = {(r.turn, r.idx): json.loads(r.json) for r in got if r.kind == "message"}
+    assert told == {
+        (0, -1): {"role": "assistant", "content": "I look it up"}, (1, 0): {"role": "assistant", "content": rows[1][3]}, (2, 0): {"role": "assistant", "content": rows[2][3]},
+        (4, -1): {"role": "assistant", "refusal": {"why": [1]}},
+    }
+    assert len(got) == len(calls) + len(told)
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"exclusiveMinimum": 1}, 2, 1), ({"exclusiveMaximum": 1}, 0, 1), ({"multipleOf": 0.1}, 0.3, 0.35), ({"minItems": 1}, [1], []), ({"maxItems": 1}, [1], [1, 2]),
+        ({"uniqueItems": True}, [1, True], [1, 1.0]), ({"additionalProperties": {"type": "string"}}, {"a": "b"}, {"a": 1}), ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 4, 2),
+        ({"oneOf": [{"minimum": 1}, {"minimum": 3}]}, 2, 4), ({"allOf": [{"minimum": 1}, {"maximum": 3}]}, 2, 4), ({"not": {"const": 1}}, True, 1), ({"items": False}, [], [1]), ({"enum": [1]}, 1.0, True),
+    ],
+)
+def test_more_keywords(schema, good, bad):
+    assert violations(good, schema) == [] and violations(bad, schema)
+
+
+@pytest.mark.parametrize("schema", [{"pattern": "a"}, {"properties": {"a": {"$ref": "#"}}}, {"anyOf": [{"if": {}}]}, {"additionalProperties": {"patternProperties": {}}}])
+def test_unknown_keywords_raise(spark, schema):
+    with pytest.raises(ValueError, match="not supported"):
+        link_tool_calls(spark.createDataFrame([], SCHEMA), {"t": schema})

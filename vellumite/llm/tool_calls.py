@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -46,8 +47,44 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def violations(value, schema: dict, at: str = "$") -> list[str]:
-    """Where a value breaks a schema: type, enum, const, required, properties, additionalProperties, items and bounds."""
+#: Keywords that :func:`violations` checks, and those that say nothing about a value.
+_BOUNDS = {"minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"}
+_CHECKED = {"type", "enum", "const", "required", "properties", "additionalProperties", "items", "uniqueItems", "allOf", "anyOf", "oneOf", "not"} | _BOUNDS
+_REMARKS = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema, at: str = "$") -> None:
+    """Raises ValueError for a schema with a keyword that :func:`violations` cannot check."""
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object or a boolean")
+    for k in schema.keys() - _CHECKED - _REMARKS:
+        raise ValueError(f"{at}: the keyword {k!r} is not supported")
+    kinds = schema.get("type", [])
+    for kind in [kinds] if isinstance(kinds, str) else kinds:
+        if kind not in _TYPES and kind not in ("integer", "number"):
+            raise ValueError(f"{at}: the type {kind!r} is not supported")
+    if any(isinstance(schema.get(k), bool) for k in _BOUNDS):
+        raise ValueError(f"{at}: bounds must be numbers")
+    for k in ("additionalProperties", "items", "not"):
+        if k in schema:
+            check_schema(schema[k], f"{at}.{k}")
+    for k, v in schema.get("properties", {}).items():
+        check_schema(v, f"{at}.{k}")
+    for k in ("allOf", "anyOf", "oneOf"):
+        for i, v in enumerate(schema.get(k, [])):
+            check_schema(v, f"{at}.{k}[{i}]")
+
+
+def _multiple(value, of) -> bool:
+    return Decimal(str(value)) % Decimal(str(of)) == 0
+
+
+def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
+    """Where a value breaks a schema, of the keywords that :func:`check_schema` lets pass."""
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
     out: list[str] = []
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
@@ -60,25 +97,40 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
     if kinds and not any(map(fits, kinds)):
         return [f"{at}: not {' or '.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    # compared as JSON, where true is not 1
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
-    if "const" in schema and value != schema["const"]:
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
         out.append(f"{at}: not the constant")
     if isinstance(value, int | float) and not isinstance(value, bool):
-        out += [f"{at}: {k}" for k, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b)) if k in schema and bad(schema[k])]
+        out += [f"{at}: {k}" for k, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b), ("multipleOf", lambda b: not _multiple(value, b))) if k in schema and bad(schema[k])]
     if isinstance(value, str):
         out += [f"{at}: {k}" for k, bad in (("minLength", lambda b: len(value) < b), ("maxLength", lambda b: len(value) > b)) if k in schema and bad(schema[k])]
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+    if isinstance(value, list):
+        out += [f"{at}: {k}" for k, bad in (("minItems", lambda b: len(value) < b), ("maxItems", lambda b: len(value) > b)) if k in schema and bad(schema[k])]
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: uniqueItems")
+    if isinstance(value, list) and "items" in schema:
         for k, x in enumerate(value):
             out += violations(x, schema["items"], f"{at}[{k}]")
     if isinstance(value, dict):
         known = schema.get("properties", {})
+        out += [f"{at}: {k}" for k, bad in (("minProperties", lambda b: len(value) < b), ("maxProperties", lambda b: len(value) > b)) if k in schema and bad(schema[k])]
         out += [f"{at}.{k}: missing" for k in schema.get("required", []) if k not in value]
         for k in sorted(value):
             if k in known:
                 out += violations(value[k], known[k], f"{at}.{k}")
             elif schema.get("additionalProperties", True) is False:
                 out.append(f"{at}.{k}: unknown")
+            elif k not in known:
+                out += violations(value[k], schema.get("additionalProperties", True), f"{at}.{k}")
+    for part in schema.get("allOf", []):
+        out += violations(value, part, at)
+    for k, right in (("anyOf", lambda n: n > 0), ("oneOf", lambda n: n == 1)):
+        if k in schema and not right(sum(not violations(value, part, at) for part in schema[k])):
+            out.append(f"{at}: {k}")
+    if "not" in schema and not violations(value, schema["not"], at):
+        out.append(f"{at}: not")
     return out
 
 
@@ -127,13 +179,17 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
     has) or ``unanswered``; a result without a call is an ``orphan``; a linked result makes no row of its
     own. The n-th result of an id belongs to its n-th call. Rows are in order by ``level`` (null: as the
     turns are; -1: calls that wait for each other, after the others), turn and ``idx``. ``violations`` is null
-    for calls of unknown tools. Texts that are no such JSON are messages, a null text has content null,
+    for calls of unknown tools; a schema with a keyword that cannot be checked raises ValueError. A call
+    without an id is unanswered. What an assistant's JSON says beside its calls is a message of its own, with
+    ``idx`` -1, before them; an empty list of calls makes a message of the whole text. Texts that are no such JSON are messages, a null text has content null,
     arguments that are no JSON object are a violation and kept as a string. A null conversation or turn
     makes a message; rows of a repeated turn are kept, in the order of their texts.
     """
     schemas = tools or {}
     if len(json.dumps(schemas)) > SCHEMAS:
         raise ValueError(f"the schemas have over {SCHEMAS} characters")
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     ws = Workspace(messages.sparkSession, "tool-calls")
     src = messages.select(F.col(conversation_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     keyed = F.col("conv").isNotNull() & F.col("turn").isNotNull()
@@ -141,8 +197,10 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
     made = F.when(keyed & (F.col("role") == "assistant") & object_like, F.from_json("text", CALLS)["tool_calls"])
     got = F.when(keyed & (F.col("role") == "tool") & object_like, F.from_json("text", RESULT))
     rows = ws.table(src.withColumn("made", made).withColumn("got", got), "messages")
-    plain = rows.where("made is null and got.tool_call_id is null")
-    calls = rows.where("made is not null").select("conv", "turn", F.xxhash64("text").alias("tie"), F.posexplode("made").alias("idx", "c")).where("c.id is not null")
+    plain = rows.where("(made is null or size(made) = 0) and got.tool_call_id is null")
+    beside = F.map_filter(F.from_json("text", "map<string,string>"), lambda k, v: (k != "tool_calls") & v.isNotNull())
+    spoken = rows.where("size(made) > 0").where(F.size(beside) > 0)
+    calls = rows.where("made is not null").select("conv", "turn", F.xxhash64("text").alias("tie"), F.posexplode("made").alias("idx", "c"))
     calls = calls.select("conv", "turn", "tie", "idx", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     results = rows.where("got.tool_call_id is not null").select("conv", F.col("turn").alias("result_turn"), F.col("got.tool_call_id").alias("id"), F.col("got.content").alias("content"))
     use = lambda *order: F.row_number().over(Window.partitionBy("conv", "id").orderBy(*order))  # noqa: E731  uses of one id
@@ -155,16 +213,23 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
     status = F.when(F.col("turn").isNull(), "orphan").when(F.col("result_turn").isNull(), "unanswered").otherwise("linked")
     linked = joined.select("conv", F.coalesce("turn", "result_turn").alias("turn"), F.coalesce("idx", F.lit(0)).alias("idx"), kind.alias("kind"), F.col("id").alias("call_id"), status.alias("status"), "level", F.lit(None).cast("string").alias("role"), "name", "arguments", "content")
     none = F.lit(None).cast("string")
-    told = plain.select("conv", "turn", F.lit(0).alias("idx"), F.lit("message").alias("kind"), none.alias("call_id"), none.alias("status"), F.lit(None).cast("int").alias("level"), "role", none.alias("name"), none.alias("arguments"), F.col("text").alias("content"))
+    tell = lambda df, idx, kind: df.select("conv", "turn", F.lit(idx).alias("idx"), F.lit(kind).alias("kind"), none.alias("call_id"), none.alias("status"), F.lit(None).cast("int").alias("level"), "role", none.alias("name"), none.alias("arguments"), F.col("text").alias("content"))
+    told = tell(plain, 0, "message").unionByName(tell(spoken, -1, "beside"))
 
     @trimmed
     def run(batches):
         for batch in batches:
             lines, broken = [], []
+            kinds = ["message" if k == "beside" else k for k in batch["kind"].to_pylist()]
             for r in batch.to_pylist():
                 found = None
                 if r["kind"] == "message":
                     value = {"role": r["role"], "content": r["content"]}
+                elif r["kind"] == "beside":
+                    try:
+                        value = {"role": r["role"]} | {k: v for k, v in json.loads(r["content"], strict=False).items() if k != "tool_calls"}
+                    except ValueError:  # Spark reads some texts that are not quite JSON
+                        value = {"role": r["role"], "content": r["content"]}
                 elif r["kind"] == "result":
                     value = {"role": "tool", "tool_call_id": r["call_id"], "content": r["content"]}
                 else:
@@ -180,7 +245,7 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
                         value["result"] = r["content"]
                 lines.append(canonical(value))
                 broken.append(found)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("conv", "turn", "idx", "kind", "call_id", "status", "level")), pa.array(broken, pa.list_(pa.string())), pa.array(lines, pa.string())], names=["conv", "turn", "idx", "kind", "call_id", "status", "level", "violations", "json"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("conv", "turn", "idx")), pa.array(kinds, pa.string()), *(batch[c] for c in ("call_id", "status", "level")), pa.array(broken, pa.list_(pa.string())), pa.array(lines, pa.string())], names=["conv", "turn", "idx", "kind", "call_id", "status", "level", "violations", "json"])
 
     out = linked.unionByName(told)
     schema = f"conv {src.schema['conv'].dataType.simpleString()}, turn long, idx int, kind string, call_id string, status string, level int, violations array<string>, json string"
