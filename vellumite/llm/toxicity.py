@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .store import only, small_batches, trimmed
+from .store import Workspace, only, small_batches, trimmed
 
 #: Labelled documents of each kind that the lexicon is learned from, at most.
 FIT_ROWS = 4000
@@ -153,26 +153,29 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from at most ``fit_rows`` labelled documents of each kind.
 
-    The samples are by a hash of the id. Near copies count once, by a min-hash. A beginning enters
-    if chance alone would hardly put it into so many of the toxic documents; of two of which one
-    begins the other, the more telling one stays.
+    The samples are the labels of the least hashes of ids, so reruns agree however the tables are
+    partitioned; ids may be of any type. An id with both labels counts as toxic; of several documents of one
+    labelled id the one of the least text counts. The sample is written once and every pass reads
+    that. Near copies count once, by a min-hash. A beginning enters if chance alone would hardly put it
+    into so many of the toxic documents; of two of which one begins the other, the more telling one stays.
     """
     marks = only(labels, id=id_col, toxic=toxic_col).where("id is not null and toxic is not null").groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}  # two rows
-    share = F.when(F.col("toxic") == 1, int(1e6 * min(1, fit_rows / max(1, counts.get(1, 0))))).otherwise(int(1e6 * min(1, fit_rows / max(1, counts.get(0, 0)))))
-    marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(3 * fit_rows)
-    sample = only(docs, id=id_col, text=text_col).join(F.broadcast(marks), "id").where("text is not null").select("id", "text", "toxic")
+    if not counts:
+        return Lexicon()
+    least = lambda kind: marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    sample = only(docs, id=id_col, text=text_col).where("text is not null").join(F.broadcast(least(1).unionByName(least(0))), "id")
+    ws = Workspace(docs.sparkSession, "toxicity")
 
     @trimmed
     def sketch(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(_sketch(batch.column(1)).view(np.int64))], names=["id", "toxic", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sketch(batch.column(1)).view(np.int64))], names=["id", "text", "toxic", "sketch"])
 
-    one = sample.mapInArrow(sketch, "id long, toxic int, sketch long").groupBy("sketch", "toxic").agg(F.min("id").alias("id")).select("id").distinct()
-    chosen = docs.sparkSession.createDataFrame(one.toPandas(), "id long") if counts else None  # 3 * fit_rows rows at most
-    if chosen is None:
-        return Lexicon()
-    sample = sample.join(F.broadcast(chosen), "id")
+    one = ws.table(sample.groupBy("id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")), "sample")  # 2 * fit_rows rows at most
+    sketched = ws.table(one.mapInArrow(sketch, f"id {one.schema['id'].dataType.simpleString()}, text string, toxic int, sketch long"), "sketched")
+    chosen = sketched.groupBy("sketch", "toxic").agg(F.min("id").alias("id"))
+    sample = ws.table(sketched.join(chosen, ["sketch", "toxic", "id"]).select("id", "text", "toxic"), "chosen")
 
     @trimmed
     def toxic_ones(batches):
