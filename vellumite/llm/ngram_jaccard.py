@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .graph import components
-from .store import FILTER_BITS, Workspace, key_filter, only, split_by_keys, trimmed, trimmed_group
+from .store import FILTER_BITS, Workspace, key_filter, only, row_digest, split_by_keys, trimmed, trimmed_group
 
 PORTION = 1 << 20
 #: A larger group of classes is dealt to tasks as pairs of blocks of this size.
 BLOCK = 2048
+#: Pairs of a group that are tested at once.
+PAIRS = 250_000
 #: One in so many groups takes part in the first round.
 EARLY = 16
 #: Classes and elements of a block in which the classes of one component meet, on average.
@@ -69,9 +71,9 @@ class PartEnum:
             yield 2 * band + 1, np.flatnonzero((size >= bottom) & (size <= top)), int(self.differences(high, top))
 
     @staticmethod
-    def scheme(instance: int, k: int) -> tuple[int, int, int]:
-        """n1, n2 and k2: small sets take subsets of two of three partitions, which are rarely empty; large ones single partitions."""
-        n2, k2 = (3, 1) if instance < 16 else (1, 0)
+    def scheme(k: int) -> tuple[int, int, int]:
+        """n1, n2 and k2: a signature is two of three partitions, which are rarely both empty; some more of the n1 than the bound asks for make up for those that are."""
+        n2, k2 = 3, 1
         spare = 1 + k // 12 if k else 0
         return k // (k2 + 1) + 1 + spare, n2, k2
 
@@ -84,7 +86,7 @@ class PartEnum:
         for instance, who, k in self.instances(size):
             if not len(who) or k == 0:
                 continue
-            n1, n2, k2 = self.scheme(instance, k)
+            n1, n2, k2 = self.scheme(k)
             length = size[who]
             at = np.repeat((end - size)[who] - (np.cumsum(length) - length), length) + np.arange(length.sum())
             mine = np.repeat(np.arange(len(who)), length)
@@ -121,13 +123,13 @@ def sketches(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> list[byt
     return [packed[s // 8 : (s + w) // 8] for s, w in zip(start, width, strict=True)]
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of portions of a batch (id, text): ids, owner, value and size of the shingle sets."""
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of portions of a batch (id, text, …): their rows, owner, value and size of the shingle sets."""
     data, offsets = K.flat(batch.column(1))
     for i, j in K.portions(offsets, PORTION):
         part = K.LOWER[data[offsets[i] : offsets[j]]]
         owner, value = K.shingles(part, offsets[i : j + 1] - offsets[i], n)
-        yield batch.column(0).slice(i, j - i), owner, value, np.bincount(owner, minlength=j - i)
+        yield batch.slice(i, j - i), owner, value, np.bincount(owner, minlength=j - i)
 
 
 def _classes(owner, value, size) -> np.ndarray:
@@ -139,10 +141,10 @@ def _profiles(n: int):
     @trimmed
     def run(batches):
         for batch in batches:
-            for ids, owner, value, size in _sets(batch, n):
+            for rows, owner, value, size in _sets(batch, n):
                 cls = _classes(owner, value, size)
                 sketch = sketches(owner, value, size)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(size.astype(np.int64)), pa.array(cls), pa.array(sketch, pa.binary())], names=["id", "n", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(size.astype(np.int64)), pa.array(cls), pa.array(sketch, pa.binary()), *rows.columns[2:]], names=["id", "n", "cls", "sketch", *rows.schema.names[2:]])
 
     return run
 
@@ -268,6 +270,15 @@ def _tested(scheme: PartEnum, size, sketch, comp, left, right) -> np.ndarray:
     return may
 
 
+def _rows_of_pairs(g: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the members of a group of g, each with no more than PAIRS earlier partners in all, if one member has no more."""
+    low = 1
+    while low < g:
+        high = min(g, max(low + 1, int((low * low + 2 * PAIRS) ** 0.5)))
+        yield low, high
+        low = high
+
+
 def _pairs(scheme: PartEnum, few: bool):
     """Pairs to verify in each group; few: of each member the first and last earlier partner, of two components one pair."""
 
@@ -283,25 +294,27 @@ def _pairs(scheme: PartEnum, few: bool):
         found_a, found_b = [], []
         for g in np.unique(count):
             starts = edge[:-1][count == g]
-            hi, lo = np.tril_indices(g, -1)
-            step = max(1, 250_000 // max(1, len(hi)))
-            for s in range(0, len(starts), step):
-                some = starts[s : s + step]
-                left, right = (some[:, None] + lo).ravel(), (some[:, None] + hi).ravel()
-                ok = _tested(scheme, size, sketch, comp, left, right)
-                left, right = left[ok], right[ok]
-                if few and len(left):
-                    new = np.r_[True, right[1:] != right[:-1]]
-                    end = np.r_[new[1:], True]
-                    left, right = left[new | end], right[new | end]
-                    one, two = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
-                    group = np.searchsorted(edge, right, "right")
-                    order = np.lexsort((two, one, group))
-                    same = (np.diff(group[order]) == 0) & (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
-                    pick = order[np.r_[True, ~same]]
-                    left, right = left[pick], right[pick]
-                found_a.append(cls[left])
-                found_b.append(cls[right])
+            for low, high in _rows_of_pairs(int(g)):
+                hi = np.repeat(np.arange(low, high), np.arange(low, high))
+                lo = np.arange(len(hi)) - np.repeat(np.cumsum(np.arange(low, high)) - np.arange(low, high), np.arange(low, high))
+                step = max(1, PAIRS // max(1, len(hi)))
+                for s in range(0, len(starts), step):
+                    some = starts[s : s + step]
+                    left, right = (some[:, None] + lo).ravel(), (some[:, None] + hi).ravel()
+                    ok = _tested(scheme, size, sketch, comp, left, right)
+                    left, right = left[ok], right[ok]
+                    if few and len(left):
+                        new = np.r_[True, right[1:] != right[:-1]]
+                        end = np.r_[new[1:], True]
+                        left, right = left[new | end], right[new | end]
+                        one, two = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
+                        group = np.searchsorted(edge, right, "right")
+                        order = np.lexsort((two, one, group))
+                        same = (np.diff(group[order]) == 0) & (np.diff(one[order]) == 0) & (np.diff(two[order]) == 0)
+                        pick = order[np.r_[True, ~same]]
+                        left, right = left[pick], right[pick]
+                    found_a.append(cls[left])
+                    found_b.append(cls[right])
         a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
         b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -477,11 +490,12 @@ def _class_links(ws: Workspace, docs: DataFrame, classes: DataFrame, scheme: Par
 
 def _matched(ws: Workspace, src: DataFrame, scheme: PartEnum, n: int) -> tuple[DataFrame, DataFrame]:
     """``(id, n, cls)`` of each row, and ``(cls, rep, n, copies, component)`` of each class; components are named by a class."""
-    profile = ws.table(src.mapInArrow(_profiles(n), "id long, n long, cls long, sketch binary"), "profile")
+    further = "".join(f", {c} binary" for c in src.columns[2:])
+    profile = ws.table(src.mapInArrow(_profiles(n), f"id long, n long, cls long, sketch binary{further}"), "profile")
     known = profile.where("n > 0 and id is not null")
     classes = ws.table(known.groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
     total = profile.agg(F.sum("n")).head()[0] or 0
-    bits = min(16, max(3, math.ceil(math.log2(max(1, total) * 0.6 / 400_000 + 1))))
+    bits = max(3, math.ceil(math.log2(max(1, total) * 0.6 / 400_000 + 1)))  # a bucket does not grow with the corpus
     blobs = src.where("id is not null").select("id", "text").mapInArrow(_signature_blobs(n, scheme, bits), "bucket int, sig binary, cls binary")
     packed = blobs.groupBy("bucket").applyInArrow(trimmed_group(lambda bucket: _groups(bucket, bits)), "part int, gid binary, cls binary")
     groups = ws.table(packed.groupBy("part").applyInArrow(_distinct_groups, "gid long, cls long"), "groups")
@@ -504,7 +518,7 @@ def _matched(ws: Workspace, src: DataFrame, scheme: PartEnum, n: int) -> tuple[D
             comp = components(ws, links.where("linked"))
     ws.release()
     named = classes.join(comp, classes.cls == comp.vertex, "left").select("cls", "rep", "n", "copies", F.coalesce("component", "cls").alias("component"))
-    return profile.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")), ws.table(named, "named")
+    return profile.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"), *src.columns[2:]), ws.table(named, "named")
 
 
 def _named(ws: Workspace, profile: DataFrame, classes: DataFrame) -> DataFrame:
@@ -570,17 +584,30 @@ def ngram_jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows, all columns, of the least id of each component of :func:`ngram_jaccard_join`.
+    """The rows, all columns, that are no near copies of a row that stays: of each group of linked rows one.
 
-    Of rows that repeat an id one stays. A row without an id is in no group and stays.
+    Rows, not ids, are grouped: rows that repeat an id with texts of their own are decided each by its own
+    text, so nothing goes that has no near copy which stays. Of a group the row of the least id stays,
+    of several rows of that id the one of the least MD5 of the text, of rows equal in both the one of the
+    least hash of all columns. A row without an id or without words is in no group and stays. Ids must be
+    whole numbers.
     """
-    groups = ngram_jaccard_join(docs, id_col, text_col, n, num, den)
     ws = Workspace(docs.sparkSession, "one-of-each-group")
-    # rows that surely are no copies pass by; the others meet the ids that stay
-    gone = ws.table(groups.where(F.col(id_col) != F.col("component_id")).select(id_col), "gone")
-    unique, copies = split_by_keys(docs, id_col, ws.table(key_filter(gone), "filter"))
-    lost = gone.select(F.col(id_col).alias("_filter_gone"))
-    ids = unique.unionByName(copies.join(lost, copies[id_col] == F.col("_filter_gone"), "left_anti"))
-    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return ids
-    return ids.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(ids.where(F.col(id_col).isNull()))
+    mark = F.unhex(F.md5(F.col(text_col)))
+    src = _source(docs, id_col, text_col).withColumn("mark", F.unhex(F.md5("text")))
+    profile, classes = _matched(ws, src, PartEnum(num, den), n)
+    rows = profile.where("cls is not null and id is not null").join(classes.select("cls", "component"), "cls").select("component", F.struct("id", "mark").alias("row"))
+    first = rows.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("of")).where("of > 1")
+    # whether the rows of an id and text stay; where such rows repeat and stay, one of them does
+    decided = rows.join(first, "component").groupBy("row").agg(F.bool_or(F.col("row") == F.col("first")).alias("stays"), F.count("*").alias("times"))
+    decided = ws.table(decided.where("not stays or times > 1").select("row.id", "row.mark", "stays"), "decided")
+    # rows that surely are no copies pass by
+    ident = F.col(id_col).cast("long")
+    apart, met = split_by_keys(docs, ident, ws.table(key_filter(decided.select("id")), "filter"))
+    names = decided.select(F.col("id").alias("_row_id"), F.col("mark").alias("_row_mark"), F.col("stays").alias("_row_stays"))
+    met = met.join(names, (ident == F.col("_row_id")) & (mark == F.col("_row_mark")), "left")
+    out = apart.unionByName(met.where("_row_stays is null").select(docs.columns))
+    if decided.where("stays").isEmpty():
+        return out
+    again = met.where("_row_stays").groupBy("_row_id", "_row_mark").agg(F.min_by(F.struct(*docs.columns), row_digest(docs)).alias("row"))
+    return out.unionByName(again.select("row.*"))

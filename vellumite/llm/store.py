@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -79,6 +79,13 @@ def trimmed_group(run):
 FILTER_BITS = 1 << 26
 
 
+def row_digest(df: DataFrame) -> Column:
+    """Two 64-bit hashes of all columns of a row, nulls and their places included: equal for equal rows only."""
+    cols = [F.to_json(F.struct(c.name)) if "map<" in c.dataType.simpleString() or "variant" in c.dataType.simpleString() else F.col(f"`{c.name}`") for c in df.schema]
+    nulls = [c.isNull() for c in cols]
+    return F.struct(F.xxhash64(*cols, *nulls).alias("x"), F.xxhash64(F.lit(1), *cols, *nulls).alias("y"))
+
+
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """``(bucket, bits)``: one bit for each hash of the first column, in chunks of 32768; ``bits`` bounds its size."""
     place = F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits)) + 1
@@ -86,7 +93,7 @@ def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     return chunks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
 
 
-def split_by_keys(df: DataFrame, key: str, chunks: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def split_by_keys(df: DataFrame, key: str | Column, chunks: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Rows whose key is surely not among those of a :func:`key_filter`, and the rows that may have one.
 
     The filter is broadcast, whose size is fixed; only rows of the second kind need a join.
