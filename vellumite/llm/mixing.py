@@ -10,12 +10,13 @@ over the source's size goes around again. Documents and slots meet in a join on
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Workspace, only
+from .store import Workspace, only, row_digest
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slots of a schedule at most: it bounds the schedule, not the documents.
@@ -24,9 +25,6 @@ SLOTS = 1 << 17
 POINTS, GOLDEN = 1 << 32, 2654435769
 #: Strips of the points, by which slots and sources are joined.
 STRIPS = 1 << 10
-#: Documents in a chunk of a source's shuffled order.
-CHUNK = 20_000
-
 
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
@@ -86,14 +84,18 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def _mixed(src: DataFrame, weights: tuple[int, ...], most: int, slots: int, seed: int) -> DataFrame:
-    """Of rows (id, text, source): ``(id, source, hash, size, source_size, target, taken)``."""
+    """Of rows (id, text, source, hash): ``(id, source, hash, size, source_size, target, taken, first_slot)``; ``hash`` may be any key.
+
+    A source's order is cut into as many chunks as a chunk holds documents of all sources, so neither the
+    sums within chunks nor those over chunks grow with more than the root of the number of documents.
+    """
     ws = Workspace(src.sparkSession, "mixing")
-    sizes = ws.table(src.select("id", "source", F.xxhash64("text").alias("hash"), word_count(F.col("text")).alias("size")), "sizes")
+    sizes = ws.table(src.select("id", "source", "hash", word_count(F.col("text")).alias("size")), "sizes")
     targets = ws.table(source_targets(sizes, weights, most), "targets")
     plan = ws.table(schedule(targets, slots), "schedule")
     of = plan.groupBy("number").agg(F.first("of").alias("of"), F.first("words").alias("words"))
     known = targets.join(of, "number", "left")
-    chunks = max(1, sizes.count() // CHUNK)
+    chunks = max(1, math.isqrt(sizes.count()))
     key = F.xxhash64("id", F.lit(seed))
     rows = sizes.join(known.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     rows = rows.withColumn("key", key).withColumn("chunk", F.pmod(F.shiftright("key", 20), F.lit(chunks)))
@@ -110,40 +112,41 @@ def _mixed(src: DataFrame, weights: tuple[int, ...], most: int, slots: int, seed
     # the block of word w is the largest r with cut(r) <= w; the quotient is at most one off
     first, last = F.expr("greatest(0L, cast(floor(begin / words * of) as bigint) - 1)"), F.expr("least(of - 1, cast(floor(least(begin + size, words) / words * of) as bigint) + 1)")
     pieces = rounds.select("row", "number", "begin", F.least(F.col("begin") + F.col("size"), "words").alias("finish"), F.explode(F.sequence(first, last)).alias("rank"))
-    met = pieces.join(plan.select("number", "rank", "block_start", "block_end"), ["number", "rank"])
+    met = pieces.join(plan.select("number", "rank", "slot", "block_start", "block_end"), ["number", "rank"])
     overlap = F.greatest(F.lit(0), F.least("finish", "block_end") - F.greatest("begin", "block_start"))
-    taken = met.select("row", overlap.alias("words")).where("words > 0").groupBy("row").agg(F.sum("words").alias("taken"))
+    taken = met.select("row", "slot", overlap.alias("words")).where("words > 0").groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(taken, "row", "left")
-    return out.select("id", "source", "hash", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("id", "source", "hash", "size", "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
-    """``(id, size, source_size, target, taken)``: the words that the mix takes of each document.
+    """``(id, size, source_size, target, taken, first_slot)``: the words that the mix takes of each document, and the schedule's first slot for them.
 
     Size is the number of words, 0 for a null text. A null source is a source of its own, the last.
     ``taken`` counts repeats; a source's taken words add up to its target rounded down, and no
     document is taken over ``most`` times. The order is a hash of the id, so reruns agree; rows of an
-    equal id and size are interchangeable. Documents without words take nothing.
+    equal id and size are interchangeable. Documents without words take nothing and have no slot.
     """
-    rows = _mixed(only(docs, id=id_col, text=text_col, source=source_col), weights, most, slots, seed)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+    src = only(docs, id=id_col, text=text_col, source=source_col).withColumn("hash", F.xxhash64("text"))
+    return _mixed(src, weights, most, slots, seed).select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, slot_col: str | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, slots: int = SLOTS, seed: int = 17) -> DataFrame:
     """The mix itself: each row, all columns, as often as :func:`mix_sources` takes it.
 
     A row of ``size`` words of which ``taken`` are taken appears ``taken div size`` times whole and,
-    if words remain, once with its first ``taken % size`` words. Equal rows are taken together.
-    ``chars_col`` gets the number of characters.
+    if words remain, once with its first ``taken % size`` words. Rows are told apart by two hashes of all
+    their columns; only rows that are equal in every column are taken together. ``chars_col`` gets the number of
+    characters; ``slot_col`` is a further column with the row's first slot, by which the mix can be ordered.
     """
-    src = only(docs, id=id_col, text=text_col, source=source_col)
-    rows = _mixed(src, weights, most, slots, seed).where("taken > 0")
-    takes = rows.groupBy("id", "source", "hash").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("of"))
-    takes = takes.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("hash").alias("_hash"), "size", "taken", "of")
-    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("k"), F.col(source_col).alias("s"), F.xxhash64(text_col).alias("h"))
+    keyed = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), row_digest(docs).alias("hash"))
+    rows = _mixed(keyed.select("id", "text", "source", "hash"), weights, most, slots, seed).where("taken > 0")
+    takes = rows.groupBy(F.col("hash.x").alias("x"), F.col("hash.y").alias("y")).agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.min("first_slot").alias("slot"), F.count("*").alias("of"))
+    takes = Workspace(docs.sparkSession, "mix-documents").table(takes, "takes")
+    own = keyed.select("doc", F.col("hash.x").alias("x"), F.col("hash.y").alias("y"))
     if not takes.where("of > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["k", "s", "h"])
-    met = keyed.join(takes, F.col("k").eqNullSafe(F.col("_id")) & F.col("s").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_hash")))
+        own = own.dropDuplicates(["x", "y"])  # of rows equal in all columns
+    met = own.join(takes, ["x", "y"])
     rest = F.col("taken") % F.col("size")
     times = F.expr("array_repeat(0L, cast(taken div size as int))")
     met = met.withColumn("words", F.explode(F.concat(times, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
@@ -152,4 +155,4 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("words").cast("int")), "")
     met = met.withColumn("new", F.when(F.col("words") > 0, first).otherwise(text))
     fields = {text_col: F.col("new")} | ({chars_col: F.length("new").cast(docs.schema[chars_col].dataType)} if chars_col else {})
-    return met.select(*(fields.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))
+    return met.select(*(fields.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns), *([F.col("slot").alias(slot_col)] if slot_col else []))
