@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from vellumite.llm import embedding_dedup
 from vellumite.llm.embedding_dedup import near_duplicate_vectors
@@ -41,7 +42,7 @@ def vectors(seed, n, d=16, groups=5, spread=0.05):
 
 
 def test_many_cells_and_blocks_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "CELL", 20)
+    monkeypatch.setattr(embedding_dedup, "SPREAD", 1)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
     for spread in (0.02, 0.08, 0.15):
         rows = [(1000 - k, v, k % 2, "x", "y", 0) for k, v in enumerate(vectors(3, 300, spread=spread))]
@@ -70,3 +71,23 @@ def test_whole_table(spark, sf_dir):
 
 def test_empty_table(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_several_cells_as_shipped(spark, tmp_path):
+    """With the constants as they are: more than one cell, guests a small multiple, nothing lost."""
+    rows = [(k, v, k % 2) for k, v in enumerate(vectors(8, 1200, d=24, groups=150, spread=0.02))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    seen = []
+
+    class Watched(embedding_dedup.Workspace):
+        def table(self, frame, name):
+            out = super().table(frame, name)
+            if name == "cells":
+                seen.append((out.select("label", "cell").distinct().count(), out.count()))
+            return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(embedding_dedup, "Workspace", Watched)
+        assert Counter(tuple(r) for r in near_duplicate_vectors(df).collect()) == brute(rows)
+    (cells, placed) = seen[0]
+    assert cells >= 6 and placed < 4 * len(rows), seen

@@ -1,12 +1,13 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
-Vectors of one label and dimension are assigned to the cell of the nearest centroid.
-Two unit vectors with a cosine of t or more are at most ``sqrt(2 - 2 t)`` apart, so
-if they lie in different cells each is that close to the plane between the cells'
-centroids. A vector is therefore also shown, as a guest, to every cell whose plane is
-that near, and each vector meets all its neighbours in its own cell: no link is lost,
-whatever the centroids are. Cells are compared in blocks, so a large cell is many
-tasks. Equal vectors count as one with a multiplicity.
+Vectors of one label and dimension get centroids of their own, fitted on a sample, and go
+to the cell of the nearest one. Two unit vectors with a cosine of t or more that lie on
+different sides of a plane through the origin are each at most ``sqrt(1 - t t)`` away from
+it. A vector is therefore also shown, as a guest, to every cell whose border with its own
+is that near, and each vector meets all its neighbours in its own cell: no link is lost,
+whatever the centroids are. There are about ``sqrt(n) / 8`` cells to n vectors, so the rows
+placed and the products both grow slower than the square. Cells are compared in blocks, so
+a large cell is many tasks. Equal vectors count as one with a multiplicity.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from .graph import components
 from .store import Workspace, trimmed, trimmed_group
 
-#: Vectors that the centroids are fitted on, and cells, at most; vectors of a cell to aim at.
-FIT_ROWS, CELLS, CELL = 8192, 256, 1024
-#: Vectors on either side of a blocked product.
-BLOCK = 2048
-#: Dimensions that get centroids of their own; further ones are one cell for each label.
-DIMENSIONS = 4
+#: From so many vectors on a label has cells, of about ``SPREAD * sqrt(n)`` vectors each.
+FEW, SPREAD = 48, 8
+#: Vectors to fit a centroid on, and in all for one label and dimension at most; the bound is on the sample, cells beyond it get larger.
+FIT_EACH, FIT_ROWS = 16, 1 << 16
+#: Vectors that are placed at once, bytes and vectors on either side of a blocked product at most.
+PLACED, BLOCK_BYTES, BLOCK = 4096, 32 << 20, 8192
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -68,25 +69,36 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
-def _cells(model, reach: float):
-    @trimmed
-    def run(batches):
-        for batch in batches:
-            dims = batch["dim"].to_numpy()
-            for d in np.unique(dims):
-                some = batch.filter(pa.array(dims == d))
-                n = some.num_rows
-                centroids = model.value.get(int(d))
-                if centroids is None or len(centroids) < 2:
-                    row, cell, home = np.arange(n), np.zeros(n, np.int32), np.ones(n, bool)
-                else:
-                    near = _matrix(some["vec"], int(d)) @ centroids.T
-                    best = np.argmax(near, 1)
-                    apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-                    row, cell = np.nonzero(near[np.arange(n), best][:, None] - near <= (reach + 1e-9) * apart[best] + 1e-12)
-                    home = cell == best[row]
-                out = some.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(out[c] for c in ("label", "dim", "cls", "id", "copies", "vec")), pa.array(cell.astype(np.int32)), pa.array(home)], names=["label", "dim", "cls", "id", "copies", "vec", "cell", "home"])
+def _fitted(label_kind: pa.DataType):
+    """Of a sample of one label and dimension: its centroids."""
+
+    @trimmed_group
+    def run(table: pa.Table) -> pa.Table:
+        dim, cells = table["dim"][0].as_py(), table["cells"][0].as_py()
+        order = np.argsort(table["mark"].to_numpy(), kind="stable")[: max(FEW, min(FIT_ROWS, FIT_EACH * cells))]
+        sample = _matrix(table["vec"].take(pa.array(order)), dim)
+        centroids = spherical_kmeans(sample[np.lexsort(sample.T)], cells)
+        return pa.table({"label": pa.array([table["label"][0].as_py()], label_kind), "dim": pa.array([dim], pa.int32()), "centroids": pa.array([centroids.tobytes()], pa.binary())})
+
+    return run
+
+
+def _placed(reach: float):
+    """The vectors of a group in their own cells and, as guests, in those whose border is near."""
+
+    def run(some: pa.Table, model: pa.Table) -> pa.Table:
+        some = some.combine_chunks()
+        names = ["label", "dim", "cls", "id", "copies", "vec"]
+        if not some.num_rows:
+            return some.select(names).append_column("cell", pa.array([], pa.int32())).append_column("home", pa.array([], pa.bool_()))
+        dim = some["dim"][0].as_py()
+        centroids = np.frombuffer(model["centroids"][0].as_py(), np.float64).reshape(-1, dim)
+        near = _matrix(some["vec"], dim) @ centroids.T
+        best = np.argmax(near, 1)
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
+        row, cell = np.nonzero(near[np.arange(len(near)), best][:, None] - near <= (reach + 1e-9) * apart[best] + 1e-12)
+        out = some.select(names).take(pa.array(row))
+        return out.append_column("cell", pa.array(cell.astype(np.int32))).append_column("home", pa.array(cell == best[row]))
 
     return run
 
@@ -126,7 +138,8 @@ def _compared(threshold: float):
             links[rows] += hit @ copies[right]
             a, b = np.nonzero(hit)
             root = _unite(root, rows[a], right[b])
-        return pa.table({"cls": pa.array(cls), "links": pa.array(links), "a": pa.array(ids), "b": pa.array(ids[root])})
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
+        return pa.table({"cls": pa.array(cls[some]), "links": pa.array(links[some]), "a": pa.array(ids[some]), "b": pa.array(ids[root][some])})
 
     return run
 
@@ -148,17 +161,23 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     usable = packed.where("vec is not null and id is not null")
     classes = ws.table(usable.groupBy("label", "dim", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("cls", F.monotonically_increasing_id()), "classes")
 
-    model = {}
-    for row in classes.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).orderBy(F.desc("n")).limit(DIMENSIONS).collect():
-        cells = min(CELLS, math.ceil(row.n / max(1, row.labels) / CELL))
-        rows = max(64, min(FIT_ROWS, (64 << 20) // (8 * row.dim)))
-        if cells > 1:
-            one = classes.where(F.col("dim") == row.dim).where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(1e6 * min(1.0, rows / row.n))).select("vec").limit(rows)
-            sample = [bytes(r.vec) for r in one.collect()]  # FIT_ROWS vectors or 64 MB at most
-            model[row.dim] = spherical_kmeans(np.frombuffer(b"".join(sorted(sample)), np.float64).reshape(-1, row.dim), cells)
-    shared = spark.sparkContext.broadcast(model)
-    placed = ws.table(classes.mapInArrow(_cells(shared, math.sqrt(max(0.0, 2 - 2 * threshold))), "label string, dim int, cls long, id long, copies long, vec binary, cell int, home boolean"), "cells")
-    blocks = placed.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # centroids of each label with enough vectors, from the least hashes among its vectors
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("cells", F.greatest(F.lit(2), F.least(F.ceil(F.sqrt("n") / SPREAD), F.lit(FIT_ROWS // FIT_EACH))).cast("int"))
+    sizes = ws.table(sizes.where(F.col("n") >= FEW).withColumn("parts", F.ceil(F.col("n") / PLACED).cast("int")), "sizes")
+    known_sizes = classes.join(sizes, ["label", "dim"])
+    mark = F.xxhash64("vec") / 2.0**64 + 0.5
+    share = F.greatest(F.lit(FEW), F.least(F.lit(FIT_ROWS), F.col("cells") * FIT_EACH)) * 1.5 / F.col("n")
+    sample = known_sizes.withColumn("mark", mark).where(F.col("mark") <= share + 16 / F.col("n"))
+    model = ws.table(sample.select("label", "dim", "cells", "mark", "vec").groupBy("label", "dim").applyInArrow(_fitted(pa.string()), "label string, dim int, centroids binary"), "centroids")
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    dealt = known_sizes.withColumn("part", part).groupBy("label", "dim", "part")
+    models = model.join(sizes, ["label", "dim"]).select("label", "dim", "centroids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).groupBy("label", "dim", "part")
+    shape = "label string, dim int, cls long, id long, copies long, vec binary, cell int, home boolean"
+    in_cells = dealt.cogroup(models).applyInArrow(_placed(math.sqrt(1 - min(1.0, threshold) ** 2) if threshold > 0 else 1.0), shape)
+    few = classes.join(sizes.select("label", "dim"), ["label", "dim"], "left_anti").select("label", "dim", "cls", "id", "copies", "vec", F.lit(0).alias("cell"), F.lit(True).alias("home"))
+    placed = ws.table(in_cells.unionByName(few), "cells")
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(BLOCK_BYTES / (8 * F.col("dim")))))
+    blocks = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("held")).select("label", "dim", "cell", F.ceil(F.col("held") / most).cast("int").alias("blocks"))
     rows = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     meet = F.expr(
         "flatten(transform(sequence(0, blocks - 1), k -> case when k = block then array(struct(block as i, block as j, home as is_left, true as is_right)) "
