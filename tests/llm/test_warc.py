@@ -2,7 +2,7 @@ import base64
 import hashlib
 from collections import Counter
 
-from vellumite.llm.warc import archive_round_trip, read_records, write_archive
+from vellumite.llm.warc import archive_round_trip, full_payloads, read_records, write_archive
 
 SCHEMA = "page_id long, url string, html string, id string, payload string, address string"
 ROWS = [
@@ -42,7 +42,7 @@ def test_records_and_storage(spark, tmp_path):
     write_archive(spark.createDataFrame(ROWS, SCHEMA), root)
     payloads = [r.payload for r in spark.read.parquet(f"{root}/payloads").collect()]
     assert len(payloads) == len(set(map(bytes, payloads))) == len({(r[2] or "") for r in ROWS})
-    for r in read_records(spark, root).collect():
+    for r in full_payloads(read_records(spark, root)).collect():
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n") and rest.endswith(b"\r\n\r\n")
         assert len(rest) - 4 == r.declared_length
@@ -59,3 +59,20 @@ def test_small_payloads_are_responses(spark):
 
 def test_empty_table(spark):
     assert archive_round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_text_ids(spark):
+    rows = [("a/b é", "http://a/", "same"), ("b>c", "http://a/", "same"), (None, "http://a/", "same"), ("12x", None, "é"), ("", None, None)]
+    got = archive_round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {(r.page_id, r.record_type, r.refers_to) for r in got} == {("a/b é", "revisit", "b>c"), ("b>c", "response", None), (None, "revisit", "b>c"), ("12x", "response", None), (None, "response", None)}
+
+
+def test_broken_archive_is_an_error(spark, tmp_path):
+    import pytest
+
+    root = f"file://{tmp_path}/archive"
+    write_archive(spark.createDataFrame(ROWS, SCHEMA), root)
+    wrong = spark.read.parquet(f"{root}/payloads").selectExpr("address", "concat(payload, cast('x' as binary)) as payload").collect()
+    spark.createDataFrame(wrong, "address binary, payload binary").write.mode("overwrite").parquet(f"{root}/payloads")
+    with pytest.raises(Exception, match="differs from its address"):
+        read_records(spark, root).collect()

@@ -30,7 +30,7 @@ def _bytes(text: Column) -> Column:
 
 
 def _record_name(ident: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("<urn:page:"), ident.cast("string"), F.lit(">")), F.lit("<urn:page:>"))
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(ident.cast("string")), F.lit(">")), F.lit("<urn:page:>"))
 
 
 def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", min_bytes: int = 0) -> None:
@@ -39,8 +39,9 @@ def write_archive(pages: DataFrame, root: str, id_col: str = "page_id", url_col:
     Of the records with equal payloads of ``min_bytes`` or more, the one with the largest id is the
     response and the others are revisits that refer to it; smaller payloads are responses all. A null
     payload is empty. Rows that repeat the largest id are responses too, their payload stored once. A
-    null id sorts below all others and gives a record name without a number. Line ends in a url are
-    percent-encoded and a null url leaves out its header. An empty table gives an empty archive.
+    null id sorts below all others and gives a record name without an id. Ids may be of any type that
+    becomes text; they are percent-encoded in names, and an empty text reads back as null. Line ends in a url are percent-encoded and a null url
+    leaves out its header. An empty table gives an empty archive.
     """
     spark = pages.sparkSession
     src = only(pages, id=id_col, url=url_col, payload=payload_col).withColumn("payload", _bytes(F.col("payload")))
@@ -87,39 +88,55 @@ def _field(name: str) -> Column:
 
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """``(record_type, record_id, target_uri, refers_to, declared_digest, declared_length, payload, record)``.
+    """``(record_type, record_id, target_uri, refers_to, declared_digest, declared_length, address, payload, header_bytes, record)``.
 
-    ``payload`` is the full payload, for revisits too; ``record`` the bytes of the original WARC record.
+    ``record`` is the bytes of the original WARC record: the exact header (``header_bytes`` long) and, of a response, its payload,
+    which a join on the address brings. A revisit's record has no payload of its own, so ``payload`` is null
+    there and no payload is copied to its revisits; :func:`full_payloads` attaches it.
     """
-    headers = spark.read.parquet(f"{root}/headers")
-    rows = headers.join(_verified(spark, root), "address")
-    kind = _field("WARC-Type")
-    body = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+    headers = spark.read.parquet(f"{root}/headers").withColumn("kind", _field("WARC-Type"))
+    held = headers.where("kind = 'response'").join(_verified(spark, root), "address")
+    rows = held.unionByName(headers.where("kind = 'revisit'").withColumn("payload", F.lit(None).cast("binary")))
     return rows.select(
-        kind.alias("record_type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("target_uri"), _field("WARC-Refers-To").alias("refers_to"),
-        _field("WARC-Payload-Digest").alias("declared_digest"), _field("Content-Length").cast("long").alias("declared_length"), "payload", F.concat("header", body, F.lit((_CRLF * 2).encode())).alias("record"),
+        F.col("kind").alias("record_type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("target_uri"), _field("WARC-Refers-To").alias("refers_to"),
+        _field("WARC-Payload-Digest").alias("declared_digest"), _field("Content-Length").cast("long").alias("declared_length"), "address", "payload", F.octet_length("header").alias("header_bytes"),
+        F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit((_CRLF * 2).encode())).alias("record"),
     )
 
 
-def read_facts(spark: SparkSession, root: str, id_col: str = "page_id") -> DataFrame:
-    """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of each record.
+def full_payloads(records: DataFrame) -> DataFrame:
+    """The records with the full payload in each, revisits too: a join of revisits with responses on the address."""
+    source = records.where("record_type = 'response'").groupBy("address").agg(F.first("payload").alias("full"))
+    return records.where("record_type = 'response'").unionByName(records.where("record_type = 'revisit'").drop("payload").join(source, "address").withColumnRenamed("full", "payload"))
 
-    Length and digest are those of the stored payload, computed once for each; a header that declares
-    another digest is an error.
+
+def read_facts(spark: SparkSession, root: str, id_col: str = "page_id", id_type: str = "bigint") -> DataFrame:
+    """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of each record put together by :func:`read_records`.
+
+    Length and digest are computed from the record's own bytes; a revisit gets those of the response of its
+    address. A header that declares another digest or length is an error.
     """
-    payloads = _verified(spark, root).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    rows = spark.read.parquet(f"{root}/headers").join(payloads, "address")
-    number = lambda name: F.regexp_extract(_field(name), r"<urn:page:(-?\d+)>", 1)
-    whole = lambda c: F.when(c != "", c.cast("long"))
-    sound = _field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), "payload_digest")
-    return rows.select(
-        whole(number("WARC-Record-ID")).alias(id_col), "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header declares another digest"))).alias("payload_digest"),
-        _field("WARC-Type").alias("record_type"), whole(F.coalesce(number("WARC-Refers-To"), F.lit(""))).alias("refers_to"),
+    records = read_records(spark, root)
+    own = F.when(F.col("record_type") == "response", F.expr("substring(record, header_bytes + 1, octet_length(record) - header_bytes - 4)"))
+    said = F.col("declared_digest")
+    rows = records.select("address", "record_type", "record_id", "refers_to", said.alias("said"), "declared_length", own.alias("body"))
+    rows = rows.select(
+        "address", "record_type", "record_id", "refers_to", "said", F.octet_length("body").cast("long").alias("n"), base32_sha1(F.col("body")).alias("digest"),
+        (F.octet_length("body") <= F.col("declared_length")).alias("fits"),
+    )
+    facts = Workspace(spark, "warc-facts").table(rows, "facts")
+    stored = facts.where("record_type = 'response'").groupBy("address").agg(F.max("n").alias("payload_bytes"), F.max("digest").alias("payload_digest"), F.bool_and("fits").alias("sound"))
+    met = facts.select("address", "record_type", "record_id", "refers_to", "said").join(stored, "address")
+    name = lambda c: F.url_decode(F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit(""))).cast(id_type)
+    sound = F.col("sound") & (F.col("said") == F.concat(F.lit("sha1:"), "payload_digest"))
+    return met.select(
+        name(F.col("record_id")).alias(id_col), "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header declares another digest or length"))).alias("payload_digest"),
+        "record_type", name(F.col("refers_to")).alias("refers_to"),
     )
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Archives the pages in the session's shared folder and returns the facts read back."""
+    """Archives the pages in the session's shared folder and returns the facts of the records read back."""
     root = Workspace(pages.sparkSession, "warc").root
     write_archive(pages, root, id_col, url_col, payload_col, min_bytes=min_bytes)
-    return read_facts(pages.sparkSession, root, id_col)
+    return read_facts(pages.sparkSession, root, id_col, pages.schema[id_col].dataType.simpleString())
