@@ -16,9 +16,7 @@ PATH = tokenizer_file("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def expected(library, rows):
@@ -36,6 +34,28 @@ def test_messy_rows(spark, library):
     assert Counter(tuple(r) for r in got) == expected(library, [r[:2] for r in rows])
 
 
+def test_special_tokens_as_plain_text(spark):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "<|endoftext|> it's 'll x"), (2, "a<|endoftext|>")]
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    got = token_files_round_trip(spark.createDataFrame(rows, "doc_id long, text string"), PATH, special=False).collect()
+    assert Counter(tuple(r) for r in got) == expected(plain, rows)
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    from vellumite.llm.token_files import Tokenizer
+
+    parts = json.load(open(PATH))
+    parts["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(parts))
+    with pytest.raises(ValueError, match="prefix space"):
+        Tokenizer(str(tmp_path / "t.json"), True)
+
+
 def test_whole_table(spark, sf_dir, library):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = token_files_round_trip(df, PATH).collect()
@@ -50,6 +70,7 @@ def test_sequences_are_equal_and_masked(spark, tmp_path):
         seen = 0
         while seen < total:
             ids, mask = file.sequence(seen // 64)
+            assert not ids.flags.owndata and not mask.flags.owndata and ids.dtype == np.uint16 and mask.dtype == np.uint8
             assert len(ids) == len(mask) == 64 and mask.sum() == min(64, total - seen)
             seen += 64
 

@@ -3,14 +3,15 @@
 Texts are encoded in ascending id order, joined to one stream per partition of the
 id range and cut into sequences of equal length. A file is an Arrow IPC file whose
 record batches hold ``ids`` (fixed-size lists of uint16 where the vocabulary allows,
-else uint32) and ``mask`` (fixed-size lists of bool, false where the last sequence
-is padded). The lists have no offsets, so sequence s of a memory-mapped file is a
-slice of its buffers. An index table, written last, says where each text begins and
+else uint32) and ``mask`` (fixed-size lists of uint8, one byte an id: 0 where the last
+sequence is padded, else 1). The lists have no offsets and no bits, so sequence s of a memory-mapped
+file, ids and mask alike, is a slice of its buffers. An index table, written last, says where each text begins and
 which files count; files of lost or repeated tasks are in no index.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from functools import lru_cache
@@ -32,13 +33,18 @@ SEQUENCE, SEQUENCES = 2048, 256
 class Tokenizer:
     """A byte-level tokenizer file of the tokenizers library, applied to pre-tokens.
 
-    A text that holds an added token is encoded by the library as a whole, which knows where it counts.
+    A text that holds an added token is encoded by the library as a whole, which knows where it counts. A
+    file whose texts are normalised or cut in another way than :mod:`pretokens` does is refused.
     """
 
     def __init__(self, path: str, special: bool):
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
+        parts = json.loads(self.library.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level files without a normaliser and without a prefix space are supported")
         self.library.encode_special_tokens = not special
         self.library.no_padding()
         self.library.no_truncation()
@@ -70,7 +76,7 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, special: bool = False) -> Tokenizer:
+def load(path: str, special: bool = True) -> Tokenizer:
     return Tokenizer(path, special)
 
 
@@ -87,7 +93,7 @@ class _Writer:
         self.fs, base = _open(root)
         self.fs.create_dir(base, recursive=True)
         self.kind, self.length = kind, length
-        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
+        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = self.fs.open_output_stream(f"{base}/{name}")
         self.file = pa.ipc.new_file(self.sink, schema)
         self.rest, self.held = [], 0
@@ -114,7 +120,7 @@ class _Writer:
 
     def _batch(self, ids: np.ndarray, valid: int) -> None:
         values = pa.array(ids.astype(self.kind.to_pandas_dtype()))
-        mask = pa.array(np.arange(len(ids)) < valid)
+        mask = pa.array((np.arange(len(ids)) < valid).astype(np.uint8))
         self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(values, self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], names=["ids", "mask"]))
 
     def close(self) -> None:
@@ -123,7 +129,7 @@ class _Writer:
         self.sink.close()
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, length: int = SEQUENCE, special: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, root: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, length: int = SEQUENCE, special: bool = True) -> DataFrame:
     """Writes the files below ``root`` (a folder that all executors share) and returns their index.
 
     The index has ``(id, part, file, seq, local_start, start, n_tokens)``: ``start`` counts the ids of all
@@ -188,10 +194,10 @@ class TokenFile:
         return self.held
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence s, both without a copy of the ids."""
+        """Ids and mask of sequence s, both views of the file's buffers."""
         batch = self.reader.get_batch(s // SEQUENCES)
         a = s % SEQUENCES * self.length
-        return batch.column(0).flatten().to_numpy()[a : a + self.length], batch.column(1).flatten().to_numpy(zero_copy_only=False)[a : a + self.length]
+        return batch.column(0).flatten().to_numpy()[a : a + self.length], batch.column(1).flatten().to_numpy()[a : a + self.length]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from the start-th on."""
@@ -232,7 +238,7 @@ def read_token_digests(index: DataFrame, root: str, id_col: str = "doc_id") -> D
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
-def token_files_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, special: bool = False) -> DataFrame:
+def token_files_round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, special: bool = True) -> DataFrame:
     """Writes the documents' ids in the session's shared folder and returns the digests read back."""
     root = Workspace(docs.sparkSession, "token-files").root
     index = write_token_files(docs, tokenizer_path, root, id_col, text_col, end_id, special=special)
