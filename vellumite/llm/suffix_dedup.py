@@ -7,13 +7,17 @@ equal anchors at equal offsets. Anchors that occur once need no more work. Those
 recur send the stretch of text whose suffixes they own to the bucket of the anchor.
 
 Each bucket is sorted by itself. The suffixes at the places of a difference cover
-modulo 13 are ranked first, by doubling: a rank stands for 195 bytes. A suffix then is
-its first eight bytes, the rank of the cover place at most five bytes on, and its last
-eight: ties of any length end in three comparisons, and no bucket needs the text of
-another. Equal neighbours in that order are the repeated strings. Memory is bounded by
-a bucket; copies of one stretch are sorted once.
-
-Equal texts are found by their hash and need no suffixes at all.
+modulo 13 are ranked first, by doubling: a rank stands for as many bytes as ``length``
+allows. The suffixes are then put into the order of their first ``length`` bytes: by the
+first eight, then by the rank of the cover place at most five bytes on, then by the few
+bytes that the rank leaves at the end. Ties of any length end there, and no bucket needs
+the text of another: ranks over the whole corpus would be a sort of all of it, ranks of
+one bucket are bounded by it. Neighbours that are equal in that order are the repeated
+strings. A stretch that a task meets more than once is sent once: all its suffixes repeat,
+so its places need no sorting, and an anchor that everybody has stays a small bucket.
+
+Equal texts are found by their hash and need no suffixes at all; texts of one hash that
+differ in a second one get another hash.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -32,8 +36,10 @@ from . import kernels as K
 from .store import Workspace, key_filter, only, split_by_keys, trimmed, trimmed_group
 
 LENGTH = 200
-#: Bytes of an anchor.
-QGRAM = 32
+#: Bytes of an anchor, and of a repeated string at least.
+QGRAM, SHORTEST = 32, 40
+#: Hashes that are tried to name the texts, until no two texts share one.
+SEEDS = 32
 PORTION = 1 << 20
 #: The difference cover modulo 13: every residue is a difference of two of these.
 MODULUS, COVER = 13, (0, 1, 3, 9)
@@ -135,11 +141,11 @@ def _recurring(bits: int, filter_bits: int):
     return run
 
 
-_STRETCH = "bucket int, anchor binary, shift binary, owned binary, name binary, bytes binary, of binary, text binary, start binary"
+_STRETCH = "bucket int, anchor binary, shift binary, owned binary, name binary, bytes binary, of binary, text binary, start binary, sure_text binary, sure_start binary, sure_end binary"
 
 
 def _stretches(length: int, shared, filter_bits: int, bits: int):
-    """The stretches of recurring anchors by bucket, equal ones once with all their places."""
+    """The stretches of recurring anchors by bucket, each once with its first place; of those met twice, the places too, by text, as runs that are sure."""
 
     def cut(parts):
         anchor, shift, owned, name, text, start, raw = (np.concatenate([p[k] for p in parts]) if k < 6 else [x for p in parts for x in p[6]] for k in range(7))
@@ -153,12 +159,23 @@ def _stretches(length: int, shared, filter_bits: int, bits: int):
         one, bucket = one[order], bucket[order]
         by = np.argsort(of, kind="stable")
         of, text, start = of[by], text[by], start[by]
+        sure = np.bincount(of)[of] > 1
+        length_of = owned[one].astype(np.int64) + length - 1
+        sure_text, sure_start, sure_end = text[sure], start[sure], (start + length_of[of])[sure]
+        first = np.r_[True, of[1:] != of[:-1]]
+        of, text, start = of[first], text[first], start[first]
         edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
         out = []
         for i, j in itertools.pairwise(edge):
             some = one[i:j]
             a, b = np.searchsorted(of, [i, j])
-            out.append((int(bucket[i]), *(x[some].tobytes() for x in (anchor, shift, owned, name)), b"".join(raw[k] for k in some), (of[a:b] - i).astype(np.int32).tobytes(), text[a:b].tobytes(), start[a:b].tobytes()))
+            out.append((int(bucket[i]), *(x[some].tobytes() for x in (anchor, shift, owned, name)), b"".join(raw[k] for k in some), (of[a:b] - i).astype(np.int32).tobytes(), text[a:b].tobytes(), start[a:b].tobytes(), b"", b"", b""))
+        if len(sure_text):
+            spread = (K.mix(sure_text.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sure_text), np.int64)
+            order = np.argsort(spread, kind="stable")
+            sure_text, sure_start, sure_end, spread = sure_text[order], sure_start[order], sure_end[order], spread[order]
+            for i, j in itertools.pairwise(np.flatnonzero(np.r_[True, spread[1:] != spread[:-1], True])):
+                out.append((int(spread[i]), *[b""] * 8, *(x[i:j].astype(np.int64).tobytes() for x in (sure_text, sure_start, sure_end))))
         names = [x.split()[0] for x in _STRETCH.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k == 0 else pa.binary()) for k in range(len(names))], names=names)
 
@@ -194,45 +211,55 @@ def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_inverse=True)[1]
 
 
-def _cover_ranks(text: np.ndarray, cover: np.ndarray) -> np.ndarray:
-    """At each cover place, the rank of its next 195 bytes among those of all cover places.
+def _ranked(length: int) -> int:
+    """The bytes that a cover rank stands for: a multiple of 13 that ends within ``length`` from any cover place at most five bytes on."""
+    return (length - 5) // MODULUS * MODULUS
+
+
+def _cover_ranks(text: np.ndarray, cover: np.ndarray, length: int) -> np.ndarray:
+    """At each cover place, the rank of its next ``_ranked(length)`` bytes among those of all cover places.
 
     ``cover`` ascends; the place 13 bytes on is one too, as far as the text goes on. Beyond the end
-    come zeros, so only places with 195 bytes left get ranks that mean what they say.
+    come zeros, so only places with that many bytes left get ranks that mean what they say.
     """
-    n = len(text) + 256
-    view = K.at8(np.concatenate([text, np.zeros(256, np.uint8)])).byteswap()
+    goal = _ranked(length)
+    n = len(text) + goal + 64
+    view = K.at8(np.concatenate([text, np.zeros(goal + 64, np.uint8)])).byteswap()
     rank = np.zeros(n, np.int64)
     head = np.unique(view[cover], return_inverse=True)[1]
     tail = np.unique(view[cover + 5], return_inverse=True)[1]
-    rank[cover] = _paired(head, tail)  # 13 bytes
-    for step in (13, 26, 52, 91):  # 26, 52, 104 and, by two that overlap, 195 bytes
+    rank[cover] = _paired(head, tail)
+    held = MODULUS
+    while held < goal:
+        step = min(held, goal - held)  # the last two may overlap
         rank[cover] = _paired(rank[cover], rank[np.minimum(cover + step, n - 1)])
+        held += step
     return rank
 
 
-def repeated_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, residue: np.ndarray, cover: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which suffixes share their first ``length`` bytes (195 to 200) with another of their group.
+def sorted_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, residue: np.ndarray, cover: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in the order of (group, first ``length`` bytes), and which of them equals the one before it there.
 
-    Suffixes of one group have one residue modulo 13 relative to the cover.
+    Suffixes of one group have one residue modulo 13 relative to the cover, so one shift leads each to it.
     """
-    rank = _cover_ranks(text, cover)
+    rank = _cover_ranks(text, cover, length)
     shift = np.array([min((c - r) % MODULUS for c in COVER) for r in range(MODULUS)])[residue]
     view = K.at8(text).byteswap()
-    again = np.ones(len(start), bool)
-    kind = _paired(group, rank[start + shift])
-    for key in (view[start], view[start + length - 8]):
-        some = np.flatnonzero(np.bincount(kind)[kind] > 1)
-        again[:] = False
-        again[some] = True
-        if not len(some):
-            return again
-        kind_of = np.full(len(start), -1, np.int64)
-        kind_of[some] = _paired(kind[some], np.unique(key[some], return_inverse=True)[1])
-        alone = np.flatnonzero(~again)
-        kind_of[alone] = (kind_of.max() if len(some) else 0) + 1 + np.arange(len(alone))
-        kind = kind_of
-    return np.bincount(kind)[kind] > 1
+    # what a rank leaves at the end: at most 17 bytes, whole words of which the last ends with the string
+    ends = [view[start + length - 8 * k] for k in range(-(-(length - _ranked(length)) // 8), 0, -1)]
+    keys = [group, view[start], rank[start + shift], *ends]
+    order = np.lexsort(keys[::-1])
+    same = np.zeros(len(start), bool)
+    same[1:] = np.logical_and.reduce([key[order[1:]] == key[order[:-1]] for key in keys])
+    return order, same
+
+
+def repeated_suffixes(text: np.ndarray, start: np.ndarray, group: np.ndarray, residue: np.ndarray, cover: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which suffixes share their first ``length`` bytes with another of their group: those with an equal neighbour in their order."""
+    order, same = sorted_suffixes(text, start, group, residue, cover, length)
+    again = np.zeros(len(start), bool)
+    again[order] = same | np.r_[same[1:], False]
+    return again
 
 
 def _sorted_bucket(length: int, text_bits: int):
@@ -247,7 +274,7 @@ def _sorted_bucket(length: int, text_bits: int):
         data = col("bytes", np.uint8)
         _, one, back = np.unique(name, return_index=True, return_inverse=True)
         of = back[of]
-        many = np.bincount(of, minlength=len(one)) > 1
+        many = np.bincount(of, minlength=len(one)) > 1  # met by several tasks
         begin = (np.cumsum(owned + length - 1) - (owned + length - 1))[one]
         anchor, shift, owned = anchor[one], shift[one], owned[one]
         # an anchor of one stretch in one place recurs nowhere: it passed the filter by chance
@@ -285,8 +312,9 @@ def _sorted_bucket(length: int, text_bits: int):
         first = np.cumsum(count) - count
         reps = count[run_owner]
         spot = order[np.repeat(first[run_owner], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
-        keys, starts = key[spot], start[spot] + np.repeat(run_start, reps)
-        ends = start[spot] + np.repeat(run_end, reps)
+        keys = np.concatenate([key[spot], col("sure_text", np.int64)])
+        starts = np.concatenate([start[spot] + np.repeat(run_start, reps), col("sure_start", np.int64)])
+        ends = np.concatenate([start[spot] + np.repeat(run_end, reps), col("sure_end", np.int64)])
         bucket = (K.mix(keys.view(np.uint64)) >> np.uint64(64 - text_bits)).astype(np.int64)
         order = np.lexsort((starts, keys, bucket))
         keys, starts, ends, bucket = keys[order], starts[order], ends[order], bucket[order]
@@ -345,19 +373,21 @@ def _text_without(text: pd.Series, spans: pd.Series) -> pd.Series:
     return text.combine(spans, one)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ws: Workspace | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, ws: Workspace | None = None, key: Column | None = None) -> DataFrame:
     """``(key, n_spans, n_removed, spans)`` of the distinct texts with repeated passages.
 
-    ``key`` is xxhash64 of the text; ``spans`` packs the maximal runs as pairs of little-endian
+    ``key`` is xxhash64 of the text, or what is given; ``spans`` packs the maximal runs as pairs of little-endian
     64-bit byte offsets. Copies of one text are not counted against each other here.
     """
-    if not 195 <= length <= 200:
-        raise ValueError("the ranks of the cover serve strings of 195 to 200 bytes")
+    if length < SHORTEST:
+        raise ValueError(f"repeated strings must have {SHORTEST} bytes or more")
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "suffix-dedup")
-    src = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key")).where(F.octet_length("text") >= length)
+    key = F.xxhash64(text_col) if key is None else key
+    src = docs.select(F.col(text_col).alias("text"), key.alias("key")).where(F.octet_length("text") >= length)
     total = src.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    bits = min(12, max(4, math.ceil(math.log2(total / 80 / 500_000 + 1))))
+    # buckets of a size: their number alone grows, the filter's slices get shorter
+    bits = min(int(math.log2(FILTER_BITS)) - 6, max(4, math.ceil(math.log2(total / 80 / 500_000 + 1))))
     filter_bits = min(FILTER_BITS, max(1 << 20, 1 << math.ceil(math.log2(total / 40 + 1))))
     slices = src.mapInArrow(_counted(length, bits), "bucket int, once binary, more binary").groupBy("bucket").applyInArrow(_recurring(bits, filter_bits), "bucket int, bits binary, n long")
     marks, again = bytearray(filter_bits // 8), 0
@@ -366,8 +396,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH
         marks[r.bucket * size : (r.bucket + 1) * size] = r.bits
         again += r.n
     shared = spark.sparkContext.broadcast(bytes(marks))
-    bits = min(16, max(3, math.ceil(math.log2(again * 280 / BUCKET + 1))))
-    text_bits = min(12, max(3, math.ceil(math.log2(again / 200_000 + 1))))
+    bits = max(3, math.ceil(math.log2(again * 280 / BUCKET + 1)))
+    text_bits = max(3, math.ceil(math.log2(again / 200_000 + 1)))
     sent = src.mapInArrow(_stretches(length, shared, filter_bits, bits), _STRETCH)
     runs = sent.groupBy("bucket").applyInArrow(_sorted_bucket(length, text_bits), "bucket int, text binary, start binary, end binary")
     return ws.table(runs.groupBy("bucket").applyInArrow(_merged, "key long, n_spans long, n_removed long, spans binary"), "spans")
@@ -397,12 +427,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _facts(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     """``(doc, copied, n_spans, n_removed, spans)``: each row as a struct beside what its text repeats."""
     ws = Workspace(docs.sparkSession, "suffix-dedup")
-    spans = repeated_spans(docs, text_col, length, ws)
-    ws.release()
     text = F.col(text_col)
-    keyed = docs.select(F.struct("*").alias("doc"), F.when(F.octet_length(text) >= length, F.xxhash64(text)).alias("key"))
-    copies = keyed.where("key is not null").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("copied"))
-    facts = ws.table(spans.join(ws.table(copies, "copies"), "key", "full"), "facts")
+    long = docs.where(F.octet_length(text) >= length)
+    for seed in range(SEEDS):
+        key = F.xxhash64(F.lit(seed), text)
+        names = long.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(F.xxhash64(F.lit(-1 - seed), text)).alias("low"), F.max(F.xxhash64(F.lit(-1 - seed), text)).alias("high"))
+        copies = ws.table(names.where("n > 1"), "copies")
+        if copies.where("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError("texts that differ have equal hashes under every seed")
+    spans = repeated_spans(docs, text_col, length, ws, key)
+    ws.release()
+    keyed = docs.select(F.struct("*").alias("doc"), F.when(F.octet_length(text) >= length, key).alias("key"))
+    facts = ws.table(spans.join(copies.select("key", F.lit(True).alias("copied")), "key", "full"), "facts")
     ws.release()
     clean, others = split_by_keys(keyed, "key", ws.table(key_filter(facts.select("key")), "filter"))
     met = others.join(facts, "key", "left")
