@@ -16,12 +16,19 @@ _CLOSE, _OPEN = "，。！？；：、）》】〉", "（《【〈「『"
 
 def js_trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^{P.S}+|{P.S}+\z", "")
+    return F.btrim(text, F.lit(P.SPACES))
 
 
 def u16_length(text: Column) -> Column:
     """Length in UTF-16 units: a character beyond U+FFFF counts twice."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.length(text)).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
+
+
+def u16_slice(text: Column, start: Column, length: Column) -> Column:
+    """The part of a text from ``start`` (counted from 0) on, both in UTF-16 units."""
+    units = F.substring(F.encode(text, "UTF-16BE"), (start * 2 + 1).cast("int"), (length * 2).cast("int"))
+    return F.when(F.octet_length(text) == F.length(text), F.substring(text, (start + 1).cast("int"), length.cast("int"))).otherwise(F.decode(units, "UTF-16BE"))
 
 
 def normalize_newlines(text: Column) -> Column:
@@ -188,19 +195,12 @@ def translation_phase(message: Column) -> Column:
 
 def localized_status(message: Column, concurrency: Column) -> Column:
     tail = lambda head: F.substring(message, len(head) + 1, 1 << 30)
-    lanes = F.when(concurrency > 1, F.concat(F.lit("并发 "), concurrency.cast("string"), F.lit(" 路翻译"))).otherwise("正在翻译")
-    return (
-        F.when(js_trim(F.coalesce(message, F.lit(""))) == "", "准备中...")
-        .when(message.startswith("Chunking document"), "正在拆分文档...")
-        .when(message.startswith("Loading from Cache"), "正在载入缓存译文...")
-        .when(message.startswith("Resuming from chunk"), F.concat(F.lit("正在从分块继续恢复"), tail("Resuming from chunk")))
-        .when(message.startswith("Refining: "), F.concat(F.lit("正在整理上下文 · "), tail("Refining: ")))
-        .when(message.startswith("Translating: "), F.concat(lanes, F.lit(" · "), tail("Translating: ")))
-        .when(message.startswith("Parallel batch "), F.concat(F.lit("并发批次 "), F.regexp_replace(tail("Parallel batch "), "^(.*?) agents", "$1 路 worker")))
-        .when(message.startswith("Skipping reference section"), "检测到参考文献区，跳过翻译")
-        .when(message == "Completed", "翻译已完成")
-        .otherwise(message)
-    )
+    lanes = F.when(concurrency > 1, F.concat(F.lit(P.STATUS_LANES[0]), concurrency.cast("string"), F.lit(P.STATUS_LANES[1]))).otherwise(P.STATUS_TRANSLATING)
+    batch = F.concat(F.lit(P.STATUS_BATCH[0]), F.regexp_replace(tail("Parallel batch "), "^(.*?) agents", P.STATUS_BATCH[1]))
+    said = [(head, F.lit(put)) for head, put in P.STATUS_MESSAGES] + [(head, F.concat(F.lit(put), tail(head))) for head, put in P.STATUS_BEGINS]
+    said += [("Translating: ", F.concat(lanes, F.lit(" · "), tail("Translating: "))), ("Parallel batch ", batch)]
+    known = F.coalesce(*(F.when(message.startswith(head), put) for head, put in said), F.when(message == "Completed", P.STATUS_DONE), message)
+    return F.when(js_trim(F.coalesce(message, F.lit(""))) == "", P.STATUS_WAITING).otherwise(known)
 
 
 def transition_name(text: Column) -> Column:
@@ -237,10 +237,18 @@ def safe_file_name(title: Column, ident: Column) -> Column:
 
 
 def block_kind(text: Column) -> Column:
-    """The kind of a block or line by the first rule that fits."""
-    t = js_trim(text)
+    """The kind of a block or line by the first rule that fits.
+
+    The rules look at a trimmed text again and again: callers with many lines make it a column of its own
+    and use :func:`trimmed_kind`.
+    """
+    return trimmed_kind(js_trim(text))
+
+
+def trimmed_kind(t: Column) -> Column:
+    """The same of a text without white space at its ends; its first character decides for most."""
     rules = [
-        (t == "", "blank"), (t.rlike(P.HEADING_LINE), "heading"), (t.rlike(P.FENCE_LINE), "code"), (t.rlike(P.LIST_LINE), "list"), (t.rlike(P.QUOTE_LINE), "quote"),
+        (t == "", "blank"), (~F.substring(t, 1, 1).isin(*P.KIND_BEGINS), "paragraph"), (t.rlike(P.HEADING_LINE), "heading"), (t.rlike(P.FENCE_LINE), "code"), (t.rlike(P.LIST_LINE), "list"), (t.rlike(P.QUOTE_LINE), "quote"),
         (t.rlike(P.IMAGE_LINE) | t.rlike(P.FIGURE_CAPTION) | t.rlike(P.SUBFIGURE_CAPTION), "figure"), (t.rlike(P.TABLE_CAPTION) | t.rlike(P.TABLE_OPEN), "table"), (t.rlike(P.FIGURE_TAG), "figure"),
         (t.rlike(P.TABLE_TAG_START), "table"), (t.rlike(P.MATH_START), "math"), (t.rlike(P.HTML_START), "html"),
     ]
@@ -271,8 +279,7 @@ def continues_paragraph(left: Column, right: Column) -> Column:
 def locks_term(source: Column, category: Column) -> Column:
     """Is a glossary term kept letter for letter: names, acronyms, codes."""
     t = js_trim(source)
-    named = F.lower(F.coalesce(category, F.lit(""))).rlike(r"(^|\b)(lock|exact|brand|name)(\b|$)")
-    return (t != "") & (named | t.rlike("[A-Z]{2,}") | t.rlike(r"\d") | t.rlike("[+/_]") | (t.contains("-") & t.rlike("[A-Z0-9]")) | t.rlike("^[A-Z][a-zA-Z0-9]{1,23}$"))
+    return (t != "") & (F.lower(F.coalesce(category, F.lit(""))).rlike(P.LOCKED_CATEGORY) | t.rlike("(?s)" + "|".join(P.LOCKED_SOURCES)))
 
 
 def line_estimate(text: Column, width: int = 30) -> Column:

@@ -93,17 +93,34 @@ def _held_keys(gram: int, filled):
     return run
 
 
-def quotes_in(texts: DataFrame, quotes: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 24) -> DataFrame:
+#: Bytes of the keys by which quotes are found: each quote goes by the longest that it has.
+GRAMS = (24, 8, 3, 1)
+
+
+def quotes_in(texts: DataFrame, quotes: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """``(id, quote_id, start)``: the first place of each quote that a text contains.
 
+    Quotes are taken in classes by length, each with keys of its own length; a class without quotes
+    costs nothing. No text meets all quotes.
+    """
+    size = F.length("quote")
+    q, out = quotes.where("quote <> ''").select("quote_id", "quote"), None
+    counts = q.agg(*(F.count_if((size >= g) & (size < above)).alias(str(g)) for g, above in zip(grams, (1 << 31, *grams), strict=False))).head()
+    for g, above in zip(grams, (1 << 31, *grams), strict=False):
+        if counts[str(g)]:
+            found = _quotes_of_a_length(texts, q.where((size >= g) & (size < above)), id_col, text_col, g)
+            out = found if out is None else out.unionByName(found)
+    return out if out is not None else texts.where("false").crossJoin(q.where("false")).select(id_col, "quote_id", F.lit(0).alias("start"))
+
+
+def _quotes_of_a_length(texts: DataFrame, q: DataFrame, id_col: str, text_col: str, gram: int) -> DataFrame:
+    """``(id, quote_id, start)`` of quotes of ``gram`` characters or more.
+
     A contained quote shares its first ``gram`` bytes with some place of the text, whatever stands before
     it. All places are hashed; those whose hash passes a filter of the quotes' (of a fixed size) are joined
-    with them by equality and the containment is checked after. Quotes of fewer characters go by all texts,
-    which is for few of them.
+    with them by equality and the containment is checked after.
     """
-    q = quotes.where("quote <> ''").select("quote_id", "quote")
-    fits = F.length("quote") >= gram
-    keyed = q.where(fits).mapInArrow(_first_keys(gram), f"quote_id {q.schema['quote_id'].dataType.simpleString()}, quote string, key long")
+    keyed = q.mapInArrow(_first_keys(gram), f"quote_id {q.schema['quote_id'].dataType.simpleString()}, quote string, key long")
     place = F.pmod("key", F.lit(KEY_BITS)) + 1
     chunks = keyed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     filled = bytearray(KEY_BITS // 8)
@@ -112,10 +129,8 @@ def quotes_in(texts: DataFrame, quotes: DataFrame, id_col: str = "doc_id", text_
     bits = texts.sparkSession.sparkContext.broadcast(bytes(filled))
     src = texts.select(texts[id_col].alias("id"), texts[text_col].alias("text"))
     held = src.mapInArrow(_held_keys(gram, bits), f"id {src.schema['id'].dataType.simpleString()}, text string, keys array<bigint>")
-    pairs = held.select("id", "text", F.explode("keys").alias("key")).join(keyed, "key").select("id", "quote_id", "quote", "text")
-    rest = src.join(q.where(~fits), F.col("text").contains(F.col("quote"))).select("id", "quote_id", "quote", "text")
-    both = pairs.unionByName(rest).withColumn("start", F.position(F.col("quote"), F.col("text")) - 1)
-    return both.where("start >= 0").select(F.col("id").alias(id_col), "quote_id", "start")
+    pairs = held.select("id", "text", F.explode("keys").alias("key")).join(keyed, "key")
+    return pairs.withColumn("start", F.position(F.col("quote"), F.col("text")) - 1).where("start >= 0").select(F.col("id").alias(id_col), "quote_id", "start")
 
 
 def split_tags(text: Column) -> Column:

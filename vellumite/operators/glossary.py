@@ -18,25 +18,66 @@ def boundary_pattern(source: Column) -> Column:
     return F.concat(F.lit("(?iu)"), before, X.escape_pattern(t), after)
 
 
+def _folded(text: Column) -> Column:
+    return F.lower(F.upper(text))
+
+
 def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, source, target)`` for each term that occurs in a text at word boundaries, in any case.
 
-    A match contains every word of the term as a whole word, so texts and terms are joined by
-    equality on the term's longest word, and the pattern decides among those pairs. Terms without
-    a word, or with letters beyond ASCII, whose case folds differently, go by all texts.
+    A match contains every word of the term as a whole word, so the distinct words of texts and terms are
+    joined by equality on the word of the term that the fewest terms share, its rarest. A term that is one word of
+    ASCII letters needs no more. The others of a text are gathered, meet it in one join and are tested by
+    containment, then by the pattern. Terms with other letters go by words folded twice, for their cases
+    differ in more ways; terms without a word go by their first character. No text meets all terms.
     """
     terms = terms.where(X.js_trim(F.col("source")) != "").select("source", "target").distinct()
-    runs = F.regexp_extract_all(F.lower("source"), F.lit(f"({RUN})"), 1)
-    longest = F.element_at(F.array_sort(runs, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1)
-    plain = F.col("source").rlike(r"^[\x00-\x7F]*$") & F.col("source").rlike(RUN)
-    keyed = terms.where(plain).withColumn("word", longest)
-    found = texts.select(F.col(id_col), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(f"({RUN})"), 1))).alias("word")).join(keyed, "word").select(id_col, "source", "target")
-    exact = found.join(texts.select(id_col, text_col), id_col).withColumn("pattern", boundary_pattern(F.col("source"))).where(F.regexp_like(text_col, F.col("pattern")))
-    # the few other terms are tested against every text, a bounded list of them travelling with the tasks
-    odd = terms.where(~plain)
-    contained = texts.select(id_col, text_col).join(odd, F.lower(F.col(text_col)).contains(F.lower("source")))
-    others = contained.withColumn("pattern", boundary_pattern(F.col("source"))).where(F.regexp_like(text_col, F.col("pattern")))
-    return exact.select(id_col, "source", "target").unionByName(others.select(id_col, "source", "target"))
+    terms = terms.withColumn("wide", ~F.col("source").rlike(r"^[\x00-\x7F]*$")).withColumn("term", X.js_trim(F.col("source")))
+    runs = F.regexp_extract_all(F.when(F.col("wide"), _folded("term")).otherwise(F.lower("term")), F.lit(f"({RUN})"), 1)
+    worded = terms.withColumn("words", F.array_distinct(runs))
+    shared = worded.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    ranked = worded.where(F.size("words") > 0).select("source", "target", "term", "wide", F.explode("words").alias("word")).join(shared, "word")
+    rarest = ranked.groupBy("source", "target", "term", "wide").agg(F.min(F.struct("n", -F.length("word"), "word")).alias("k"))
+    # marks keep folded words and characters apart from plain words
+    key = F.when(F.col("wide"), F.concat(F.lit("~"), F.col("k.word"))).otherwise(F.col("k.word"))
+    keyed = rarest.select("source", "target", key.alias("key"), (~F.col("wide") & (F.lower("term") == F.col("k.word"))).alias("sure"))
+    signs = worded.where(F.size("words") == 0).select("source", "target", F.concat(F.lit("="), F.lower(F.substring("term", 1, 1))).alias("key"), F.lit(False).alias("sure"))
+    keyed = keyed.unionByName(signs)
+    low = F.lower(text_col)
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit(f"({RUN})"), 1))
+    wide = F.transform(F.filter("words", lambda w: ~w.rlike(r"^[\x00-\x7F]*$")), lambda w: F.concat(F.lit("~"), _folded(w)))
+    # ASCII words are their own folded form; only terms with other letters ask for them
+    plain_folded = F.transform("words", lambda w: F.concat(F.lit("~"), w))
+    marks = F.transform(F.array_distinct(F.split(F.regexp_replace(low, r"[\p{L}\p{N}_\s]", ""), "")), lambda c: F.concat(F.lit("="), c))
+    kinds = {r.kind for r in keyed.select(F.substring("key", 1, 1).alias("kind")).where("kind in ('~', '=')").distinct().collect()}  # two rows at most
+    held = [F.col("words"), *([wide, plain_folded] if "~" in kinds else []), *([marks] if "=" in kinds else [])]
+    rows = texts.select(F.col(id_col), words.alias("words"), F.col(text_col))
+    found = rows.select(id_col, F.explode(F.array_distinct(F.concat(*held)) if len(held) > 1 else held[0]).alias("key")).join(keyed, "key")
+    sure = found.where("sure").select(id_col, "source", "target")
+    open_ = found.where("not sure").groupBy(id_col).agg(F.collect_set(F.struct("source", "target")).alias("open"))
+    tested = open_.join(texts.select(id_col, text_col), id_col).withColumn("open", F.filter("open", lambda t: F.lower(F.col(text_col)).contains(F.lower(X.js_trim(t["source"])))))
+    exact = tested.select(id_col, text_col, F.explode("open").alias("t")).where(F.regexp_like(text_col, boundary_pattern(F.col("t.source"))))
+    return sure.unionByName(exact.select(id_col, "t.source", "t.target"))
+
+
+def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, source, target)`` for each term that a text contains anywhere, in any case and also within words.
+
+    Texts and terms are joined on three characters in a row, of each term those that the fewest terms have;
+    shorter terms go by their first character. Containment decides among those pairs.
+    """
+    terms = terms.where("source <> ''").select("source", "target").distinct().withColumn("term", F.lower("source"))
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda k: F.substring(c, k, F.lit(n)))
+    parts = F.when(F.length("term") >= 3, grams(F.col("term"), 3)).otherwise(F.array(F.concat(F.lit("="), F.substring("term", 1, 1))))
+    spread = terms.select("source", "target", "term", F.explode(F.array_distinct(parts)).alias("key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("n"))
+    keyed = spread.join(shared, "key").groupBy("source", "target", "term").agg(F.min(F.struct("n", "key")).alias("k")).select("source", "target", F.col("k.key").alias("key"))
+    low = F.lower(text_col)
+    short = F.transform(F.array_distinct(F.split(low, "")), lambda c: F.concat(F.lit("="), c))
+    held = F.when(F.length(low) >= 3, F.concat(F.array_distinct(grams(low, 3)), short)).otherwise(short)
+    pairs = texts.select(id_col, F.explode(held).alias("key")).join(keyed, "key").groupBy(id_col).agg(F.collect_set(F.struct("source", "target")).alias("open"))
+    tested = pairs.join(texts.select(id_col, text_col), id_col).select(id_col, F.explode(F.filter("open", lambda t: F.lower(F.col(text_col)).contains(F.lower(t["source"])))).alias("t"))
+    return tested.select(id_col, "t.source", "t.target")
 
 
 def first_wins(terms: DataFrame, order: list[Column]) -> DataFrame:

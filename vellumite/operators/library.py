@@ -70,11 +70,16 @@ def resume_decision(final: Column, partial: Column, valid: Column, done: Column,
 
 
 def rebuild_blocks(partial: DataFrame, progress: DataFrame) -> DataFrame:
-    """Cuts the partial text ``(doc_id, text)`` by the lengths of its finished chunks ``(doc_id, idx, length)``, two characters apart."""
+    """Cuts the partial text ``(doc_id, text)`` by the lengths of its finished chunks ``(doc_id, idx, length)``, two units apart.
+
+    Lengths and starts count UTF-16 units. A document's chunks meet its text as one array, so the text is joined once.
+    """
     by = Window.partitionBy("doc_id").orderBy("idx")
     before = F.coalesce(F.sum(F.col("length") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = progress.withColumn("start", before.cast("int")).join(partial, "doc_id")
-    return rows.select("doc_id", "idx", "start", F.substring("text", F.col("start") + 1, F.col("length")).alias("text"))
+    places = progress.withColumn("start", before.cast("int")).groupBy("doc_id").agg(F.collect_list(F.struct("idx", "start", "length")).alias("places"))
+    rows = partial.join(places, "doc_id")
+    cut = F.transform("places", lambda p: F.struct(p["idx"].alias("idx"), p["start"].alias("start"), X.u16_slice(F.col("text"), p["start"], p["length"]).alias("text")))
+    return rows.select("doc_id", F.explode(cut).alias("p")).select("doc_id", "p.idx", "p.start", "p.text")
 
 
 def merged_snapshot(old: Column, new: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import folds as G
+from ..functions import patterns as P
 
 _FRAGMENTS = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in ("marker", "content", "kind")]))
 MASKED = T.StructType([T.StructField("text", T.StringType()), T.StructField("fragments", _FRAGMENTS)])
@@ -55,7 +56,6 @@ def _terms(rows) -> list[G.Term]:
 
 split_blocks = _fold(BLOCKS, lambda t: [{"kind": b.kind, "text": b.text} for b in G.split_blocks(t)])
 repaired_blocks = _fold(BLOCKS, lambda t: [{"kind": b.kind, "text": b.text} for b in G.split_blocks(G.repair_tables(t))])
-pack = _fold(T.ArrayType(T.IntegerType()), lambda sizes, blank, most: G.pack(list(sizes), list(blank), int(most)))
 draft_paragraphs = _fold(T.ArrayType(T.StringType()), G.draft_paragraphs)
 repair_tables = _fold(T.StringType(), G.repair_tables)
 decode_escaped_tables = _fold(T.StringType(), G.decode_escaped_tables)
@@ -96,13 +96,14 @@ def layout_walk(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.posexplode(walked).alias("ordinal", "item")).select(id_col, "ordinal", "item.kind", "item.text")
 
 
-def allowed_tag(tag: Column, allowed: list[str]) -> Column:
-    name = F.lower(F.regexp_extract(tag, r"^</?([A-Za-z][A-Za-z0-9-]*)", 1))
-    return (name != "") & F.array_contains(F.array(*map(F.lit, allowed)), name)
+def allowed_tag(name: Column) -> Column:
+    """May a rendered document hold this tag; other ones are shown as text."""
+    return F.lower(name).isin(*P.ALLOWED_TAGS)
 
 
 def tags(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """``(id, tag, n)``: the tag names of a page and how often each occurs."""
-    found = F.explode(F.regexp_extract_all(html_col, F.lit(r"<(/?[A-Za-z][A-Za-z0-9-]*)"), 1))
+    """``(id, tag, n, allowed)``: the tag names of a page, how often each occurs and whether it may be rendered."""
+    found = F.explode(F.regexp_extract_all(html_col, F.lit(P.TAG_NAME), 1))
     rows = df.select(F.col(id_col), found.alias("raw"))
-    return rows.groupBy(id_col, F.lower(F.regexp_replace("raw", "^/", "")).alias("tag")).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(id_col, F.lower("raw").alias("tag")).agg(F.count("*").alias("n"))
+    return counted.withColumn("allowed", allowed_tag(F.col("tag")))

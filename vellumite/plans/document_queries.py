@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import annotations, glossary, library, markup, polish, sections, semantics
 from .text_queries import steps_sql, trim_sql
-from .views import MARKUP_SQL, PAPER_SQL, Query, digest, lit, markup_view, paper_view, table
+from .views import MARKUP_SQL, PAPER_SQL, Query, digest, lit, markup_view, paper_view, table, u16_sql
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,7 @@ _REF = " OR ".join(f"contains(lower(title), {lit(w)})" for w in P.REFERENCE_WORD
 _LINES = f"(SELECT doc_id, k - 1 AS line_no, l[k] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {PAPER_SQL}), unnest(range(1, len(l) + 1)) AS u(k))"
 _SECTIONS = f"""(SELECT doc_id, section, min(off) AS start, arg_min(name, line_no) AS title, string_agg(line, chr(10) ORDER BY line_no) AS content FROM (
   SELECT *, CASE WHEN heading THEN {trim_sql(f"regexp_extract(line, {lit(sections.HEADING)}, 1)")} ELSE 'Start' END AS name, sum(CASE WHEN heading AND line_no > 0 THEN 1 ELSE 0 END) OVER w AS section,
-    coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+    coalesce(sum({u16_sql('line')} + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM (SELECT *, regexp_matches(line, {lit(sections.HEADING)}) AS heading FROM {_LINES}) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) GROUP BY doc_id, section)"""
 
 
@@ -36,7 +36,7 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.sections(paper_view(spark, sf_dir)).select("doc_id", "section", "title", "start", "length", digest(F.col("content")), "is_reference")
 
 
-_add(chunk_sections, f"SELECT doc_id, section, title, start, length(content) AS length, md5(content) AS digest, {_REF} AS is_reference FROM {_SECTIONS}")
+_add(chunk_sections, f"SELECT doc_id, section, title, start, {u16_sql('content')} AS length, md5(content) AS digest, {_REF} AS is_reference FROM {_SECTIONS}")
 
 
 def paper_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def paper_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum("length").alias("units"), F.count_if("is_reference").alias("n_references"))
 
 
-_add(paper_totals, f"SELECT doc_id, count(*) AS n_sections, sum(length(content)) AS units, count(*) FILTER ({_REF}) AS n_references FROM {_SECTIONS} GROUP BY doc_id")
+_add(paper_totals, f"SELECT doc_id, count(*) AS n_sections, sum({u16_sql('content')}) AS units, count(*) FILTER ({_REF}) AS n_references FROM {_SECTIONS} GROUP BY doc_id")
 
 
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +62,25 @@ _PACK = """WITH RECURSIVE paras AS (SELECT doc_id, k AS i, p[k] AS t, length(p[k
 
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines packed greedily into chunks of at most 2000 characters."""
-    parts = F.split("text", "\n")
-    sizes = F.transform(parts, lambda p: F.length(p) + 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", sizes.alias("sizes"), markup.pack(sizes, F.transform(parts, lambda p: F.trim(p) == ""), F.lit(2000)).alias("of"))
-    rows = docs.select("doc_id", F.explode(F.arrays_zip("sizes", "of")).alias("p")).where("p.of >= 0")
-    return rows.groupBy("doc_id", F.col("p.of").alias("chunk")).agg(F.count("*").alias("n_lines"), F.sum("p.sizes").alias("length"))
-
-
-_add(chunk_plan)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    sizes = F.transform("lines", lambda p: F.length(p) + 1)
+    runs = docs.select("doc_id", sizes.alias("sizes"), F.posexplode(sections.packed(sizes, F.transform("lines", lambda p: F.trim(p) == ""), 2000)).alias("chunk", "run"))
+    held = F.aggregate(F.slice("sizes", F.col("run.first") + 1, F.col("run.count")), F.lit(0), lambda a, n: a + n)
+    return runs.select("doc_id", "chunk", F.col("run.count").cast("long").alias("n_lines"), held.cast("long").alias("length"))
+
+
+_PLAN = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT *, {_REF} AS is_ref, {u16_sql('content')} AS n FROM {_SECTIONS}),
+ paras AS MATERIALIZED (SELECT doc_id, section, k AS i, p[k] AS t, {u16_sql('p[k]')} + 2 AS n, {trim_sql('p[k]')} = '' AS blank FROM (SELECT doc_id, section, string_split_regex(content, {lit(f"{chr(10)}{P.S}*{chr(10)}")}) AS p FROM s WHERE n > 600 AND NOT is_ref), unnest(range(1, len(p) + 1)) AS u(k)),
+ walk AS (SELECT doc_id, section, i, n AS held, 0 AS part, NOT blank AS solid FROM paras WHERE i = 1 UNION ALL
+  SELECT p.doc_id, p.section, p.i, CASE WHEN w.held + p.n > 600 AND w.solid THEN p.n ELSE w.held + p.n END, CASE WHEN w.held + p.n > 600 AND w.solid THEN w.part + 1 ELSE w.part END,
+   CASE WHEN w.held + p.n > 600 AND w.solid THEN NOT p.blank ELSE w.solid OR NOT p.blank END FROM walk w JOIN paras p ON p.doc_id = w.doc_id AND p.section = w.section AND p.i = w.i + 1),
+ big AS (SELECT w.doc_id, w.section, w.part, string_agg(p.t, chr(10) || chr(10) ORDER BY p.i) || chr(10) || chr(10) AS content FROM walk w JOIN paras p USING (doc_id, section, i) GROUP BY ALL HAVING bool_or(w.solid)),
+ every AS (SELECT doc_id, section, 0 AS part, CASE WHEN is_ref THEN 'references' ELSE 'text' END AS kind, title, start, content, 'chunk' AS stem, start AS base FROM s WHERE n <= 600 OR is_ref UNION ALL
+  SELECT b.doc_id, b.section, b.part, 'text', s.title || ' (cont.)', s.start + coalesce(sum({u16_sql('b.content')}) OVER (PARTITION BY b.doc_id, b.section ORDER BY b.part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), b.content, 'subchunk', s.start FROM big b JOIN s USING (doc_id, section)),
+ named AS (SELECT *, stem || '-' || base::BIGINT::VARCHAR || '-' || CASE WHEN stem = 'chunk' THEN chunk_idx ELSE part END::BIGINT::VARCHAR AS raw_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS chunk_idx FROM every))
+SELECT doc_id, chunk_idx, raw_id || CASE WHEN again > 0 THEN '-' || again::VARCHAR ELSE '' END AS chunk_id, kind, title, start, {u16_sql('content')} AS length, md5(content) AS digest
+ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, raw_id ORDER BY chunk_idx) - 1 AS again FROM named)"""
+_add(chunk_plan, _PLAN)
 _add(chunk_pack, _PACK)
 
 
@@ -100,11 +111,11 @@ def rebuild_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lines = sections.lines(docs)
     partial = docs.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
-    progress = lines.select("doc_id", F.col("line_no").alias("idx"), F.length("line").alias("length"))
+    progress = lines.select("doc_id", F.col("line_no").alias("idx"), X.u16_length(F.col("line")).alias("length"))
     return library.rebuild_blocks(partial, progress).select("doc_id", F.col("idx").cast("long").alias("idx"), F.col("start").cast("long").alias("start"), digest(F.col("text")))
 
 
-_add(rebuild_blocks, """SELECT doc_id, k - 1 AS idx, coalesce(sum(length(l[k]) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, md5(l[k]) AS digest
+_add(rebuild_blocks, f"""SELECT doc_id, k - 1 AS idx, coalesce(sum({u16_sql('l[k]')} + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, md5(l[k]) AS digest
   FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS u(k)""")
 
 
@@ -135,7 +146,10 @@ def term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return glossary.match_terms(table(spark, sf_dir, "documents"), _terms(spark, sf_dir))
 
 
-_add(term_match, rf"""SELECT d.doc_id, t.source, t.target FROM documents d JOIN (SELECT *, regexp_replace(source, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') AS e FROM {_TERMS}) t ON contains(lower(d.text), lower(t.source)) AND regexp_matches(d.text,
+_RUN = r"[\p{L}\p{N}_]+"
+_add(term_match, rf"""WITH t AS (SELECT *, regexp_replace(source, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') AS e, regexp_extract(lower(source), '{_RUN}') AS run FROM {_TERMS}),
+ w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_RUN}'))) AS run FROM documents)
+SELECT d.doc_id, t.source, t.target FROM t JOIN w USING (run) JOIN documents d USING (doc_id) WHERE lower(t.source) = t.run OR contains(lower(d.text), lower(t.source)) AND regexp_matches(d.text,
   '(?i)' || CASE WHEN regexp_matches(t.source, '^[\p{{L}}\p{{N}}_]') THEN '(?:^|[^\p{{L}}\p{{N}}_])' ELSE '' END || t.e || CASE WHEN regexp_matches(t.source, '[\p{{L}}\p{{N}}_]$') THEN '(?:[^\p{{L}}\p{{N}}_]|$)' ELSE '' END)""")
 
 
@@ -276,9 +290,9 @@ _add(geom_percent, f"""SELECT doc_id, page, round(max(x0 / w * 100), 4) AS "left
 
 def _line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank as a raw block."""
-    rows = sections.lines(markup_view(spark, sf_dir)).withColumn("kind", X.block_kind(F.col("line"))).where("kind <> 'blank'")
-    own, group = X.split_caption(F.col("line"))
-    text, fig = X.js_trim(F.col("line")), F.col("kind") == "figure"
+    rows = sections.line_kinds(markup_view(spark, sf_dir)).where("trimmed <> ''")
+    own, group = X.split_caption(F.when(F.col("kind") == "figure", F.col("trimmed")))
+    text, fig = F.col("trimmed"), F.col("kind") == "figure"
     none = lambda kind: F.lit(None).cast(kind)
     return rows.select("doc_id", F.col("line_no").alias("ord"), F.concat_ws("-", F.lit("md"), "line_no").alias("id"), "kind", F.col("kind").alias("raw_type"), F.lit(0).alias("page"), text.alias("text"), text.alias("markdown"), none("int").alias("level"), none("array<double>").alias("bbox"),
                        F.when(fig, text).alias("caption"), F.when(fig, own).alias("subcaption"), F.when(fig, group).alias("group_caption"), none("string").alias("asset"))
@@ -336,11 +350,11 @@ _add(markdown_blocks)
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content lists and layouts made of documents: a title, a paragraph, an equation, a list, two figures on two pages."""
+    """Content lists made of documents: a title of the first line, a paragraph of the whole text, an equation, a list, two figures on two pages."""
     docs = table(spark, sf_dir, "documents")
     node = lambda text, kind="text": F.struct(F.lit(kind).alias("type"), text.alias("content"))
     item = lambda kind, box, **content: F.struct(F.lit(kind).alias("type"), F.array(*map(F.lit, box)).alias("bbox"), F.to_json(F.struct(*(v.alias(k) for k, v in content.items()))).alias("content"))
-    head, body = F.substring("text", 1, 20), F.substring("text", 21, 200)
+    head, body = F.substring_index("text", "\n", 1), F.col("text")
     page0 = F.array(
         item("title", (10.0, 10.0, 90.0, 20.0), title_content=F.array(node(head)), level=F.col("doc_id") % 9),
         item("page_number", (0.0, 0.0, 5.0, 5.0), x=F.lit("1")),
@@ -367,7 +381,7 @@ def _inline(c: str) -> str:
     return trim_sql(steps_sql(c, [("[ \t]+\n", "\n"), (f"{P.S}{{2,}}", " ")]))
 
 
-_h, _b = _inline("substr(text, 1, 20)"), _inline("substr(text, 21, 200) || '$x^2$'")
+_h, _b = _inline("string_split(text, chr(10))[1]"), _inline("text || '$x^2$'")
 _item = f"CASE WHEN {trim_sql(steps_sql(_h, [(rf'^[•\-*]{P.S}*', '')]))} <> '' THEN chr(10) || '- ' || {trim_sql(steps_sql(_h, [(rf'^[•\-*]{P.S}*', '')]))} ELSE '' END"
 _add(json_blocks, f"""SELECT doc_id, id, kind, page, md5(text) AS text, md5(markdown) AS markdown, level, asset, subcaption, group_caption FROM (
   SELECT doc_id, 'cl-0-0' AS id, 'heading' AS kind, 0 AS page, {_h} AS text, repeat('#', greatest(1, least(6, coalesce(nullif(doc_id % 9, 0), 1)))::INT) || ' ' || {_h} AS markdown, greatest(1, least(6, coalesce(nullif(doc_id % 9, 0), 1))) AS level, NULL AS asset, NULL AS subcaption, NULL AS group_caption FROM documents WHERE {_h} <> ''
@@ -404,16 +418,16 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     spans = lambda text: F.array(F.struct(F.array(F.struct(text.alias("content"))).alias("spans")))
     block = lambda kind, text: F.struct(F.lit(kind).alias("type"), spans(text).alias("lines"))
-    body = F.array(block("title", F.substring("text", 1, 20)), block("text", F.substring("text", 21, 100)), block("text", F.lit("Table 1: counts")), block("footer", F.lit("x")))
+    body = F.array(block("title", F.substring_index("text", "\n", 1)), block("text", F.col("text")), block("text", F.lit("Table 1: counts")), block("footer", F.lit("x")))
     layout = F.to_json(F.struct(F.array(F.struct(F.lit(3).alias("page_idx"), body.alias("para_blocks"))).alias("pdf_info")))
     return semantics.from_layout(docs.select("doc_id", layout.alias("layout"))).select("doc_id", "id", "kind", "raw_type", digest(F.col("text")))
 
 
-_h20, _t100 = trim_sql(steps_sql("substr(text, 1, 20)", [(f"{P.S}+", " ")])), trim_sql(steps_sql("substr(text, 21, 100)", [(f"{P.S}+", " ")]))
+_first, _whole = trim_sql(steps_sql("string_split(text, chr(10))[1]", [(f"{P.S}+", " ")])), trim_sql(steps_sql("text", [(f"{P.S}+", " ")]))
 _add(layout_blocks, f"""SELECT doc_id, 'layout-3-' || o AS id, kind, raw_type, md5(t) AS digest FROM (
-  SELECT doc_id, '0' AS o, 'heading' AS kind, 'title' AS raw_type, {_h20} AS t FROM documents UNION ALL
-  SELECT doc_id, '1', CASE WHEN regexp_matches({_t100}, {lit(P.FIGURE_CAPTION)}) THEN 'figure' WHEN regexp_matches({_t100}, {lit(P.TABLE_CAPTION)}) THEN 'table' ELSE 'paragraph' END,
-    CASE WHEN regexp_matches({_t100}, {lit(P.FIGURE_CAPTION)}) THEN 'image_caption' WHEN regexp_matches({_t100}, {lit(P.TABLE_CAPTION)}) THEN 'table_caption' ELSE 'text' END, {_t100} FROM documents UNION ALL
+  SELECT doc_id, '0' AS o, 'heading' AS kind, 'title' AS raw_type, {_first} AS t FROM documents UNION ALL
+  SELECT doc_id, '1', CASE WHEN regexp_matches({_whole}, {lit(P.FIGURE_CAPTION)}) THEN 'figure' WHEN regexp_matches({_whole}, {lit(P.TABLE_CAPTION)}) THEN 'table' ELSE 'paragraph' END,
+    CASE WHEN regexp_matches({_whole}, {lit(P.FIGURE_CAPTION)}) THEN 'image_caption' WHEN regexp_matches({_whole}, {lit(P.TABLE_CAPTION)}) THEN 'table_caption' ELSE 'text' END, {_whole} FROM documents UNION ALL
   SELECT doc_id, '2', 'table', 'table_caption', 'Table 1: counts' FROM documents) WHERE t <> ''""")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import annotations, library, sections
 from ..streaming import events as E
+from ..session import shared_folder
 from . import translation
 from .views import Query, digest, lit, paper_view, table
 
@@ -31,14 +32,22 @@ def _server(spark, sf_dir):
     return last.select("doc_id", "m.status", F.unix_seconds(F.col("m.o_orderdate").cast("timestamp")).alias("updated_at"))
 
 
-def _local(spark, sf_dir):
+def _customers(spark, sf_dir):
+    """A state of each customer's own."""
     c = table(spark, sf_dir, "customer")
     status = F.element_at(F.array(*map(F.lit, ["uploading", "parsing", "translating", "parsed", "completed"])), (F.col("c_custkey") % 5 + 1).cast("int"))
-    return c.where("c_custkey % 3 <> 1").select(F.col("c_custkey").alias("doc_id"), status.alias("status"), (F.lit(700_000_000) + F.col("c_custkey") * 100_000).alias("updated_at"))
+    return c.select(F.col("c_custkey").alias("doc_id"), status.alias("status"), (F.lit(700_000_000) + F.col("c_custkey") * 100_000).alias("updated_at"))
+
+
+def _local(spark, sf_dir):
+    """The states that this side knows: of all customers but those of one nation, which only the server has."""
+    known = table(spark, sf_dir, "customer").where("c_nationkey <> 7").select(F.col("c_custkey").alias("doc_id"))
+    return _customers(spark, sf_dir).join(known, "doc_id", "left_semi")
 
 
 _SERVER = "(SELECT o_custkey AS doc_id, arg_max(CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'parsed' ELSE 'error' END, (o_orderdate, o_orderkey)) AS status, epoch(max(o_orderdate))::BIGINT AS updated_at FROM orders GROUP BY o_custkey)"
-_LOCAL = "(SELECT c_custkey AS doc_id, ['uploading', 'parsing', 'translating', 'parsed', 'completed'][c_custkey % 5 + 1] AS status, 700000000 + c_custkey * 100000 AS updated_at FROM customer WHERE c_custkey % 3 <> 1)"
+_LOCAL = "(SELECT c_custkey AS doc_id, ['uploading', 'parsing', 'translating', 'parsed', 'completed'][c_custkey % 5 + 1] AS status, 700000000 + c_custkey * 100000 AS updated_at FROM customer WHERE c_nationkey <> 7)"
+_CUSTOMERS = _LOCAL.replace(" WHERE c_nationkey <> 7", "")
 _MERGED = f"""(SELECT coalesce(s.doc_id, l.doc_id) AS doc_id,
   CASE WHEN s.doc_id IS NULL THEN CASE WHEN l.status = 'translating' THEN 'parsed' ELSE l.status END WHEN l.doc_id IS NOT NULL AND (l.status IN ('uploading', 'parsing') OR (l.updated_at > s.updated_at AND l.status <> 'translating')) THEN l.status ELSE s.status END AS status,
   CASE WHEN s.doc_id IS NULL THEN l.updated_at WHEN l.doc_id IS NOT NULL AND (l.status IN ('uploading', 'parsing') OR (l.updated_at > s.updated_at AND l.status <> 'translating')) THEN l.updated_at ELSE s.updated_at END AS updated_at
@@ -74,7 +83,7 @@ _add(history_infer, """SELECT f.doc_id, CASE WHEN done IS NOT NULL THEN 'complet
 
 
 def recovered_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _local(spark, sf_dir).join(_server(spark, sf_dir).select("doc_id", F.col("status").alias("h")), "doc_id", "left")
+    rows = _customers(spark, sf_dir).join(_server(spark, sf_dir).select("doc_id", F.col("status").alias("h")), "doc_id", "left")
     source, target = F.col("doc_id") % 2 == 0, F.col("doc_id") % 7 == 0
     status = library.recovered_status(F.col("status"), F.col("h"), source, target)
     state = library.control_state(source, F.col("status"), target, F.col("doc_id") % 11 == 0)
@@ -86,7 +95,7 @@ _labels = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in P.STATUS_LABELS.it
 _add(recovered_status, f"""SELECT l.doc_id, CASE WHEN l.status NOT IN ('uploading', 'parsing', 'translating') THEN l.status WHEN s.status = 'completed' THEN 'completed' WHEN s.status = 'error' THEN {_t.format('error')} ELSE {_t.format('idle')} END AS recovered,
   CASE l.status WHEN 'translating' THEN '上次翻译已中断，已切换为可恢复状态。' WHEN 'parsing' THEN '上次解析未正常结束，请重新发起解析。' WHEN 'uploading' THEN '上次上传未完成，请重新上传文件。' END AS message,
   CASE WHEN l.doc_id % 2 <> 0 THEN 'unparsed' WHEN l.status = 'translating' THEN 'active' WHEN l.doc_id % 7 = 0 THEN 'completed' WHEN l.doc_id % 11 = 0 THEN 'resumable' ELSE 'untranslated' END AS control, CASE l.status {_labels} ELSE l.status END AS label
-  FROM {_LOCAL} l LEFT JOIN {_SERVER} s ON s.doc_id = l.doc_id""")
+  FROM {_CUSTOMERS} l LEFT JOIN {_SERVER} s ON s.doc_id = l.doc_id""")
 
 
 def resume_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,17 +315,13 @@ _add(event_fold, _FOLD)
 
 
 def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same states out of a stream that reads the events' file and keeps a run's state between batches."""
-    import uuid
-
+    """The same states out of a stream that reads the events' file, keeps a run's state between batches and writes a table of updates."""
     schema = table(spark, sf_dir, "events").schema
-    name = f"runs_{uuid.uuid4().hex[:8]}"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    query = E.fold_stream(_run_view(stream), give_up=None).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.table(name)
-    last = Window.partitionBy("run").orderBy(F.desc("n_events"))
-    return rows.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k")
+    root = shared_folder(spark, "stream-fold")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
+    updates = E.fold_stream(_run_view(stream), give_up=None)
+    E.write_updates(updates, f"{root}/updates", f"{root}/checkpoint").awaitTermination()
+    return E.latest_updates(spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{root}/updates"), "run").drop("batch")
 
 
 _add(stream_fold, _FOLD)

@@ -21,6 +21,11 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def u16_sql(c: str) -> str:
+    """The UTF-16 units of a text, in SQL."""
+    return f"(length({c}) + length(regexp_replace({c}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
 #: Markup that documents lack; each document gets one at its end, by its id.
 SNIPPETS = [
     "#Heading\n##  Sub\n-item one\n*item two\n1.5 units\n2)second\n\n\n\nend of a hyphen-\nated word",

@@ -134,6 +134,21 @@ def fold_stream(events: DataFrame, give_up: int | None = GIVE_UP) -> DataFrame:
     return events.groupBy("run").applyInPandasWithState(step, RESULT, "state string", "update", timeout)
 
 
+def write_updates(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Writes the rows of each micro-batch into a folder of its own, so that a batch that is repeated replaces itself; the started query."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(write).start()
+
+
+def latest_updates(rows: DataFrame, key: str) -> DataFrame:
+    """Of each key the row of the last batch; minima and maxima only, which combine before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(key, "v.*")
+
+
 def fold_in_order(events: DataFrame) -> DataFrame:
     """The sequential fold of each run in one Python group; for runs of a size that fits a task, and for tests."""
     return events.groupBy("run").applyInPandas(lambda key, rows: pd.DataFrame([_apply(RunState(), rows).row(key[0])]), RESULT)
