@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -14,6 +14,11 @@ _INLINE = "[ \t\u00a0]+"
 _CLOSE, _OPEN = "，。！？；：、）》】〉", "（《【〈「『"
 
 
+def staged(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The kept columns and new ones, evaluated once a row: the generator is a boundary that no projection or filter is moved across."""
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def js_trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.btrim(text, F.lit(P.SPACES))

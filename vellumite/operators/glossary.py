@@ -28,8 +28,9 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text
     A match contains every word of the term as a whole word, so the distinct words of texts and terms are
     joined by equality on the word of the term that the fewest terms share, its rarest. A term that is one word of
     ASCII letters needs no more. The others of a text are gathered, meet it in one join and are tested by
-    containment, then by the pattern. Terms with other letters go by words folded twice, for their cases
-    differ in more ways; terms without a word go by their first character. No text meets all terms.
+    containment, then by the pattern. Words with other letters are folded twice, for their cases differ
+    in more ways; terms without a word go by their first character. No text meets all terms. Ids of texts
+    must be unique.
     """
     terms = terms.where(X.js_trim(F.col("source")) != "").select("source", "target").distinct()
     terms = terms.withColumn("wide", ~F.col("source").rlike(r"^[\x00-\x7F]*$")).withColumn("term", X.js_trim(F.col("source")))
@@ -39,25 +40,25 @@ def match_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text
     ranked = worded.where(F.size("words") > 0).select("source", "target", "term", "wide", F.explode("words").alias("word")).join(shared, "word")
     rarest = ranked.groupBy("source", "target", "term", "wide").agg(F.min(F.struct("n", -F.length("word"), "word")).alias("k"))
     # marks keep folded words and characters apart from plain words
-    key = F.when(F.col("wide"), F.concat(F.lit("~"), F.col("k.word"))).otherwise(F.col("k.word"))
-    keyed = rarest.select("source", "target", key.alias("key"), (~F.col("wide") & (F.lower("term") == F.col("k.word"))).alias("sure"))
+    own, folded = F.col("k.word"), F.concat(F.lit("~"), _folded(F.col("k.word")))
+    ascii_ = r"^[\x00-\x7F]*$"
+    key = F.when(own.rlike(ascii_), F.array(own)).otherwise(F.array(folded, F.when(_folded(own).rlike(ascii_), _folded(own)).otherwise(folded)))
+    keyed = rarest.select("source", "target", F.explode(F.array_distinct(key)).alias("key"), (~F.col("wide") & (F.lower("term") == own)).alias("sure"))
     signs = worded.where(F.size("words") == 0).select("source", "target", F.concat(F.lit("="), F.lower(F.substring("term", 1, 1))).alias("key"), F.lit(False).alias("sure"))
-    keyed = keyed.unionByName(signs)
+    term = F.struct("source", "target", F.lower(X.js_trim(F.col("source"))).alias("low"), boundary_pattern(F.col("source")).alias("pattern"))
+    keyed = keyed.unionByName(signs).select("key", "sure", term.alias("term"))
     low = F.lower(text_col)
     words = F.array_distinct(F.regexp_extract_all(low, F.lit(f"({RUN})"), 1))
-    wide = F.transform(F.filter("words", lambda w: ~w.rlike(r"^[\x00-\x7F]*$")), lambda w: F.concat(F.lit("~"), _folded(w)))
-    # ASCII words are their own folded form; only terms with other letters ask for them
-    plain_folded = F.transform("words", lambda w: F.concat(F.lit("~"), w))
+    wide = F.transform(F.filter("words", lambda w: F.octet_length(w) != F.length(w)), lambda w: F.concat(F.lit("~"), _folded(w)))
     marks = F.transform(F.array_distinct(F.split(F.regexp_replace(low, r"[\p{L}\p{N}_\s]", ""), "")), lambda c: F.concat(F.lit("="), c))
     kinds = {r.kind for r in keyed.select(F.substring("key", 1, 1).alias("kind")).where("kind in ('~', '=')").distinct().collect()}  # two rows at most
-    held = [F.col("words"), *([wide, plain_folded] if "~" in kinds else []), *([marks] if "=" in kinds else [])]
-    rows = texts.select(F.col(id_col), words.alias("words"), F.col(text_col))
-    found = rows.select(id_col, F.explode(F.array_distinct(F.concat(*held)) if len(held) > 1 else held[0]).alias("key")).join(keyed, "key")
-    sure = found.where("sure").select(id_col, "source", "target")
-    open_ = found.where("not sure").groupBy(id_col).agg(F.collect_set(F.struct("source", "target")).alias("open"))
-    tested = open_.join(texts.select(id_col, text_col), id_col).withColumn("open", F.filter("open", lambda t: F.lower(F.col(text_col)).contains(F.lower(X.js_trim(t["source"])))))
-    exact = tested.select(id_col, text_col, F.explode("open").alias("t")).where(F.regexp_like(text_col, boundary_pattern(F.col("t.source"))))
-    return sure.unionByName(exact.select(id_col, "t.source", "t.target"))
+    held = [F.col("words"), *([wide] if "~" in kinds else []), *([marks] if "=" in kinds else [])]
+    rows = X.staged(texts, [id_col, text_col] if "=" in kinds else [id_col], words=words)
+    found = rows.select(id_col, F.explode(F.concat(*held) if len(held) > 1 else held[0]).alias("key")).join(keyed, "key")
+    of_text = found.groupBy(id_col).agg(F.collect_set(F.when(F.col("sure"), F.col("term"))).alias("sure"), F.collect_set(F.when(~F.col("sure"), F.col("term"))).alias("open"))
+    met = X.staged(of_text.join(texts.select(id_col, text_col), id_col), [id_col, text_col, "sure", "open"], low=F.when(F.size("open") > 0, F.lower(text_col)))  # lower case once a text
+    tested = F.filter(F.filter("open", lambda t: F.col("low").contains(t["low"])), lambda t: F.regexp_like(F.col(text_col), t["pattern"]))
+    return met.select(id_col, F.explode(F.array_union("sure", tested)).alias("t")).select(id_col, "t.source", "t.target")
 
 
 def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +77,8 @@ def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     short = F.transform(F.array_distinct(F.split(low, "")), lambda c: F.concat(F.lit("="), c))
     held = F.when(F.length(low) >= 3, F.concat(F.array_distinct(grams(low, 3)), short)).otherwise(short)
     pairs = texts.select(id_col, F.explode(held).alias("key")).join(keyed, "key").groupBy(id_col).agg(F.collect_set(F.struct("source", "target")).alias("open"))
-    tested = pairs.join(texts.select(id_col, text_col), id_col).select(id_col, F.explode(F.filter("open", lambda t: F.lower(F.col(text_col)).contains(F.lower(t["source"])))).alias("t"))
+    met = X.staged(pairs.join(texts.select(id_col, text_col), id_col), [id_col, "open"], low=F.lower(text_col))
+    tested = met.select(id_col, F.explode(F.filter("open", lambda t: F.col("low").contains(F.lower(t["source"])))).alias("t"))
     return tested.select(id_col, "t.source", "t.target")
 
 

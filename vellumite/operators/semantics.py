@@ -64,18 +64,22 @@ def from_content_list(df: DataFrame, json_col: str = "content_list", prefix: Col
     entries = F.transform(c["list_items"], lambda i: X.js_trim(F.regexp_replace(inline_text(i["item_content"]), rf"^[•\-*]{P.S}*", "")))
     listed = F.array_join(F.transform(F.filter(entries, lambda e: e != ""), lambda e: F.concat(F.lit("- "), e)), "\n")
     math, code = X.js_trim(F.coalesce(c["math_content"], F.lit(""))), inline_text(c["code_content"])
-    caption = F.when(kind == "image", inline_text(c["image_caption"])).when(kind == "table", inline_text(c["table_caption"])).when(kind == "code", inline_text(c["code_caption"]))
+    nodes = F.when(kind == "image", c["image_caption"]).when(kind == "table", c["table_caption"]).when(kind == "code", c["code_caption"])
+    caption = F.when(kind.isin("image", "table", "code"), inline_text(nodes))
     asset = X.asset_path(F.coalesce(c["image_source"]["path"], F.lit("")), prefix if prefix is not None else F.lit(""))
     html = X.js_trim(F.coalesce(c["html"], F.lit("")))
-    plain = F.when(kind == "paragraph", inline_text(c["paragraph_content"])).when(kind == "page_aside_text", inline_text(c["page_aside_text_content"])).otherwise(inline_text(c["page_footnote_content"]))
+    plain = inline_text(F.when(kind == "paragraph", c["paragraph_content"]).when(kind == "page_aside_text", c["page_aside_text_content"]).otherwise(c["page_footnote_content"]))
     title = inline_text(c["title_content"])
+    parts = {"kind": kind, "level": level, "listed": listed, "math": math, "code": code, "caption": caption, "asset": asset, "html": html, "plain": plain, "title": title, "language": X.js_trim(F.coalesce(c["code_language"], F.lit(""))), "bbox": bbox(F.col("item.bbox"))}
+    items = X.staged(items.where(~kind.isin("page_number", "page_footer", "header", "footer")), ["doc_id", "ord", "page"], **parts)
+    kind, level, listed, math, code, caption, asset, html, plain, title, language = map(F.col, list(parts)[:-1])
     own, group = X.split_caption(caption)
     text = F.when(kind == "title", title).when(kind == "list", F.regexp_replace(listed, "(?m)^- ", "")).when(kind == "equation_interline", math).when(kind == "code", code).when(kind.isin("image", "table"), caption).otherwise(plain)
     markdown = (
         F.when(kind == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), title))
         .when(kind == "list", listed)
         .when(kind == "equation_interline", F.concat(F.lit("$$\n"), math, F.lit("\n$$")))
-        .when(kind == "code", F.concat(F.when(caption != "", F.concat(caption, F.lit("\n\n"))).otherwise(""), F.lit("```"), X.js_trim(F.coalesce(c["code_language"], F.lit(""))), F.lit("\n"), code, F.lit("\n```")))
+        .when(kind == "code", F.concat(F.when(caption != "", F.concat(caption, F.lit("\n\n"))).otherwise(""), F.lit("```"), language, F.lit("\n"), code, F.lit("\n```")))
         .when(kind == "image", _figure_markdown(asset, caption))
         .when(kind == "table", F.array_join(F.filter(F.array(caption, html), lambda x: x != ""), "\n\n"))
         .otherwise(plain)
@@ -84,10 +88,10 @@ def from_content_list(df: DataFrame, json_col: str = "content_list", prefix: Col
     named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in known.items() for x in p)), kind), F.lit("other"))
     out = items.select(
         "doc_id", "ord", F.concat_ws("-", F.lit("cl"), "page", "ord").alias("id"), named.alias("kind"), kind.alias("raw_type"), "page", text.alias("text"), markdown.alias("markdown"),
-        F.when(kind == "title", level).alias("level"), bbox(F.col("item.bbox")).alias("bbox"), caption.alias("caption"), F.when(kind == "image", own).alias("subcaption"), F.when(kind == "image", group).alias("group_caption"),
+        F.when(kind == "title", level).alias("level"), "bbox", caption.alias("caption"), F.when(kind == "image", own).alias("subcaption"), F.when(kind == "image", group).alias("group_caption"),
         F.when((kind == "image") & (asset != ""), asset).alias("asset"),
     )
-    return out.where(~F.col("raw_type").isin("page_number", "page_footer", "header", "footer") & ((F.col("markdown") != "") | F.col("raw_type").isin("image")))
+    return X.staged(out, [], **{c: F.col(c) for c in RAW}).where((F.col("markdown") != "") | F.col("raw_type").isin("image"))
 
 
 def from_layout(df: DataFrame, json_col: str = "layout", prefix: Column | None = None) -> DataFrame:
