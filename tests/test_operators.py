@@ -128,7 +128,8 @@ def test_sources(spark, tmp_path):
         z.writestr("doc/full.md", "# x")
         z.writestr("__MACOSX/y", "no")
     df = spark.createDataFrame([(1, bytearray(raw.getvalue())), (2, bytearray(b"broken"))], "doc_id long, content binary")
-    assert [(r.doc_id, r.path, bytes(r.content)) for r in artifacts.archive_members(df).collect()] == [(1, "doc/full.md", b"# x")]
+    assert [(r.doc_id, r.path, bytes(r.content)) for r in artifacts.archive_members(df).where("error is null").collect()] == [(1, "doc/full.md", b"# x")]
+    assert artifacts.archive_members(df, most=1).where("content is null and error is not null").count() >= 1
     (tmp_path / "cs.AI.csv").write_text("AGI , 通用\nno target,\nbert,b,extra\n")
     assert sorted(map(tuple, artifacts.glossaries(spark, str(tmp_path)).collect())) == [("AGI", "通用", "cs.AI"), ("bert", "b", "cs.AI")]
     texts = spark.createDataFrame([(1, 'source,target,category,enabled\n"a,b",c,,false\nd,e,f')], "id long, text string")
@@ -150,3 +151,82 @@ def test_quotes_behind_any_character(spark):
     expected = sorted((i is None, i or 0, k, t.index(q)) for i, t in rows for k, q in quotes if t and q and q in t)
     got = quotes_in(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(quotes, "quote_id long, quote string"))
     assert sorted((r.doc_id is None, r.doc_id or 0, r.quote_id, r.start) for r in got.collect()) == expected
+
+
+def test_runs_are_packed(spark):
+    cases = [([10, 10, 10, 30, 5], [False] * 5, [(0, 2), (2, 1), (3, 1), (4, 1)]), ([30, 5], [True, False], [(0, 2)]), ([3, 3], [True, True], []), ([], [], []), ([30, 5, 50], [False, True, True], [(0, 1)])]
+    df = spark.createDataFrame([(k, s, b) for k, (s, b, _) in enumerate(cases)], "k int, s array<int>, b array<boolean>")
+    got = {r.k: [tuple(x) for x in r.runs] for r in df.select("k", sections.packed(F.col("s"), F.col("b"), 20).alias("runs")).collect()}
+    assert got == {k: e for k, (_, _, e) in enumerate(cases)}
+
+
+def test_sizes_count_utf16_units(spark):
+    wide = "# 😀\n" + "😀" * 10 + "\n# B\nx"
+    df = spark.createDataFrame([(1, wide)], "doc_id long, text string")
+    assert [(r.start, r.length) for r in sections.sections(df).orderBy("section").collect()] == [(0, 25), (26, 5)]
+    assert [(r.chunk_id, r.length) for r in sections.chunks(df, most=20, clean=False).orderBy("chunk_idx").collect()] == [("subchunk-0-0", 27), ("chunk-26-1", 5)]
+    progress = spark.createDataFrame([(1, 0, 20), (1, 1, 3)], "doc_id long, idx int, length int")
+    partial = spark.createDataFrame([(1, "😀" * 10 + "\n\nabc")], "doc_id long, text string")
+    assert [(r.start, r.text) for r in library.rebuild_blocks(partial, progress).orderBy("idx").collect()] == [(0, "😀" * 10), (22, "abc")]
+
+
+def test_terms_of_all_kinds(spark):
+    texts = spark.createDataFrame([(1, "die STRASSE und Straße, ΟΔΟΣ οδος"), (2, "a → b; c++ (x)"), (3, "Machine learning is machine-learning"), (4, "deep learn")], "doc_id long, text string")
+    terms = spark.createDataFrame([(s, "t") for s in ("straße", "οδος", "→", "c++", "machine learning", "learning", "LEARN", " (x) ", "deep   learn", "")], "source string, target string")
+    got = {(r.doc_id, r.source) for r in glossary.match_terms(texts, terms).collect()}
+    assert got == {(1, "straße"), (1, "οδος"), (2, "→"), (2, "c++"), (2, " (x) "), (3, "machine learning"), (3, "learning"), (4, "LEARN")}
+    inside = {(r.doc_id, r.source) for r in glossary.contained_terms(texts, terms).collect()}
+    assert (3, "LEARN") in inside and (2, "→") in inside and (4, "learning") not in inside
+
+
+def test_quotes_of_all_lengths(spark):
+    from vellumite.operators import annotations
+
+    text = "start (quoted text of a certain length) — é, tab\tx" + "y" * 40
+    quotes = ["quoted text of a certain length", "certain", "é", "tab\tx", "y" * 30, "absent", "x", ""]
+    got = annotations.quotes_in(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "quote_id int, quote string"))
+    assert {(r.doc_id, r.quote_id, r.start) for r in got.collect()} == {(1, k, text.index(q)) for k, q in enumerate(quotes) if q and q in text}
+
+
+def test_lanes_share_the_batch_before(spark):
+    seen = []
+
+    class Told:
+        def translate(self, text, context, language):
+            return f"<{len(context)}>" + text.strip()[:3]
+
+    docs = spark.createDataFrame([(1, "".join(f"# H{k}\nbody {k}\n" for k in range(5)))], "doc_id long, text string")
+    for lanes in (1, 2):
+        rows = translation.translate(docs, Told(), "French", lanes=lanes).orderBy("chunk_idx").collect()
+        seen.append([r.text[: r.text.index(">") + 1] for r in rows])
+    assert seen[0] == ["<0>", "<6>", "<6>", "<6>", "<6>"] and seen[1] == ["<0>", "<0>", "<6>", "<6>", "<6>"]
+    assert [translation.lanes_of(n, False) for n in (None, 0, 1, 3, 9)] == [2, 2, 1, 3, 4] and translation.lanes_of(4, True) == 1
+
+
+def test_services():
+    from vellumite.sources import services as S
+
+    class Said:
+        def __init__(self, status, text="", url="https://h/"):
+            self.status, self.text, self.url = status, text, url
+
+    slept, answers = [], [Said(500), Said(429), Said(200)]
+    assert S.retried(lambda: answers.pop(0), sleep=slept.append).status == 200 and slept == [1.0, 2.0]
+    failing = lambda: (_ for _ in ()).throw(OSError("down"))
+    for call, kind in ((failing, OSError),):
+        try:
+            S.retried(call, sleep=slept.append)
+            raise AssertionError
+        except kind:
+            pass
+    assert S.retried(lambda: Said(503), sleep=slept.append).status == 503
+    by = {"a": Said(404, "no"), "b": Said(200, "spam", "https://spam/x"), "c": Said(200, "yes")}
+    assert S.first_that_answers("abc", by.get, ["https://spam/"]).text == "yes"
+    try:
+        S.first_that_answers("ab", by.get, ["https://spam/"])
+        raise AssertionError
+    except S.Failed as e:
+        assert e.status == 200
+    stub, told = S.StubParser(3), []
+    states = S.parsed(stub, {"x.pdf": b"1", "bad.pdf": b"2"}, sleep=slept.append, told=told.append)
+    assert [s["state"] for s in states] == ["done", "failed"] and len(told) == 3 and stub.sent == {"put://x.pdf": b"1", "put://bad.pdf": b"2"}

@@ -172,3 +172,43 @@ def assist_prompt(action: Column, terms: Column, document: Column, history: Colu
     task = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in ACTIONS.items() for x in p)), action), F.lit(ACTIONS["qa"]))
     part = lambda title, c: F.when(X.js_trim(F.coalesce(c, F.lit(""))) != "", F.concat(F.lit(f"## {title}\n"), c))
     return F.concat_ws("\n\n", task, part("Glossary", terms), part("Document", F.substring(document, 1, most)), part("History", history), part("Question", question), part("Selection", selection))
+
+
+def search(notes: DataFrame, keyword: str) -> DataFrame:
+    """Annotations ``(selected, note, tags, language)`` that have the keyword in any case in their text, note, tags or side; a blank one keeps all."""
+    word = keyword.strip().lower()
+    side = F.when(F.coalesce("language", F.lit("")) != "", "translation").otherwise("source")
+    text = F.lower(F.concat_ws(" ", F.coalesce("selected", F.lit("")), F.coalesce("note", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " "), side))
+    return notes.where(text.contains(word)) if word else notes
+
+
+def on_page(anchors: DataFrame, number: int) -> DataFrame:
+    """Anchors on a page counted from 1."""
+    return anchors.where(F.col("page") == number - 1)
+
+
+def highlights(notes: DataFrame, keys: list[str]) -> DataFrame:
+    """Annotations with a range, numbered from the last in the text to the first, so that marking one moves none of the others."""
+    last_first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("end"), "note_id")) - 1
+    return notes.where("start is not null and end > start").withColumn("place", last_first)
+
+
+def localised(notes: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, note_id, block_idx)``: the first block whose text contains what a note quotes.
+
+    Found by :func:`quotes_in` over blocks, so no note meets all blocks; notes without a quote are in no block.
+    """
+    quote = F.coalesce(F.nullif(X.js_trim(F.coalesce("exact", F.lit(""))), F.lit("")), X.js_trim(F.coalesce("selected", F.lit(""))))
+    asked = notes.select(*keys, "note_id", quote.alias("quote")).where("quote <> ''")
+    distinct = asked.select("quote").distinct().withColumn("quote_id", F.md5("quote"))
+    held = blocks.select(F.to_json(F.struct(*keys, "block_idx")).alias("block"), F.col("text"))
+    found = quotes_in(held, distinct, "block", "text")
+    where = blocks.select(*keys, "block_idx", F.to_json(F.struct(*keys, "block_idx")).alias("block"))
+    placed = found.join(where, "block").groupBy(*keys, "quote_id").agg(F.min("block_idx").alias("block_idx"))
+    return asked.withColumn("quote_id", F.md5("quote")).join(placed, [*keys, "quote_id"]).select(*keys, "note_id", "block_idx")
+
+
+def conversation_rows(asked: DataFrame, language: Column) -> DataFrame:
+    """Records of assistant calls ``(…, prompt, selection, tab, response)``: their scope, and the language where a translation was asked about."""
+    chosen = F.col("selection").isNotNull()
+    return asked.withColumns({"scope": F.when(chosen, "selection").otherwise("document"), "language": F.when(F.col("tab") == "translation", language), "selection": F.nullif("selection", F.lit("")), "response": F.coalesce("response", F.lit(""))})

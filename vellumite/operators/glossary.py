@@ -68,14 +68,14 @@ def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     shorter terms go by their first character. Containment decides among those pairs.
     """
     terms = terms.where("source <> ''").select("source", "target").distinct().withColumn("term", F.lower("source"))
-    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda k: F.substring(c, k, F.lit(n)))
-    parts = F.when(F.length("term") >= 3, grams(F.col("term"), 3)).otherwise(F.array(F.concat(F.lit("="), F.substring("term", 1, 1))))
+    grams = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(.{3}))"), 1)
+    parts = F.when(F.length("term") >= 3, grams(F.col("term"))).otherwise(F.array(F.concat(F.lit("="), F.substring("term", 1, 1))))
     spread = terms.select("source", "target", "term", F.explode(F.array_distinct(parts)).alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n"))
     keyed = spread.join(shared, "key").groupBy("source", "target", "term").agg(F.min(F.struct("n", "key")).alias("k")).select("source", "target", F.col("k.key").alias("key"))
     low = F.lower(text_col)
     short = F.transform(F.array_distinct(F.split(low, "")), lambda c: F.concat(F.lit("="), c))
-    held = F.when(F.length(low) >= 3, F.concat(F.array_distinct(grams(low, 3)), short)).otherwise(short)
+    held = F.when(F.length(low) >= 3, F.concat(F.array_distinct(grams(low)), short)).otherwise(short)
     pairs = texts.select(id_col, F.explode(held).alias("key")).join(keyed, "key").groupBy(id_col).agg(F.collect_set(F.struct("source", "target")).alias("open"))
     met = X.staged(pairs.join(texts.select(id_col, text_col), id_col), [id_col, "open"], low=F.lower(text_col))
     tested = met.select(id_col, F.explode(F.filter("open", lambda t: F.col("low").contains(F.lower(t["source"])))).alias("t"))

@@ -109,3 +109,32 @@ def summary(issues: Column, n_residual: Column) -> Column:
     none = F.array(F.lit("Nothing needed repair."))
     left = F.when(n_residual > 0, F.array(F.concat(F.lit("Open structures: "), n_residual.cast("string")))).otherwise(F.array().cast("array<string>"))
     return F.concat(F.when(F.size(issues) > 0, repairs).otherwise(none), left)
+
+
+def joined_blocks(blocks: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the Markdown of the blocks that are not blank, trimmed, a blank line between them."""
+    text = X.js_trim(F.col("markdown"))
+    held = F.array_sort(F.collect_list(F.when(text != "", F.struct("ord", text.alias("t")))))
+    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def repaired_windows(texts: DataFrame, repairs: DataFrame) -> DataFrame:
+    """Texts ``(doc_id, text)`` with the answers ``(doc_id, k, current, answer)`` for their windows put in, in the order of ``k``.
+
+    An answer is cleaned of what models add; blank ones change nothing. A window goes in where it first occurs.
+    """
+    given = repairs.select("doc_id", F.struct("k", "current", X.sanitize_output(F.col("answer")).alias("answer")).alias("r")).where("r.answer <> ''")
+    held = given.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+
+    def put(text: Column, r: Column) -> Column:
+        at = F.position(r["current"], text)
+        out = F.concat(F.substring(text, F.lit(1), at - 1), r["answer"], F.substring(text, at + F.length(r["current"]), F.length(text)))
+        return F.when((at == 0) | (X.js_trim(r["current"]) == ""), text).otherwise(out)
+
+    rows = texts.join(held, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("rs").isNull(), F.col("text")).otherwise(F.aggregate("rs", F.col("text"), put)).alias("text"))
+
+
+def on_load(raw: Column, polished: Column) -> Column:
+    """What is shown of a text that is polished on load: the raw text, and the polished one if it differs."""
+    return F.struct(raw.alias("raw"), F.when(~polished.eqNullSafe(raw), polished).alias("polished"))

@@ -270,3 +270,15 @@ def project(payloads: DataFrame, prefix: Column | None = None) -> dict[str, Data
     facts = payloads.select("doc_id", source.alias("source"), (~has_list & ~has_layout).alias("low_fidelity"))
     return {"blocks": blocks, "anchors": found, "toc": toc(blocks), "page_sizes": given.unionByName(inferred), "documents": facts}
 
+
+def first_pages(named: DataFrame) -> DataFrame:
+    """``(doc_id, semantic_id, page)``: the page of the first anchor of a semantic id, of ids without one that of the first block."""
+    boxed = F.min_by("page", F.when(F.col("bbox").isNotNull(), F.col("ord")))
+    return named.groupBy("doc_id", "semantic_id").agg(F.coalesce(boxed, F.min_by("page", "ord")).alias("page"))
+
+
+def polish_ordinals(items: DataFrame) -> DataFrame:
+    """The items of content lists ``(doc_id, page, pos, raw_type, text)`` numbered as polishing does: what is dropped uses up no number."""
+    kept = items.where(~F.col("raw_type").isin("page_number", "page_footer") & (X.js_trim(F.coalesce("text", F.lit(""))) != ""))
+    ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "pos")) - 1
+    return kept.withColumn("ord", ord_).withColumn("id", F.concat_ws("-", F.lit("pp"), "page", "ord"))

@@ -60,12 +60,13 @@ def translated_expression(text: Column, language: Column) -> Column:
     return X.typography(F.translate(text, string.ascii_lowercase, string.ascii_uppercase), language)
 
 
-def translate(docs: DataFrame, translator: Translator, language: str, terms: list[G.Term] = (), done: DataFrame | None = None, most: int = sections.CHUNK) -> DataFrame:
-    """``(doc_id, chunk_idx, chunk_id, kind, state, text)`` of every chunk of ``(doc_id, text)``.
+def translate(docs: DataFrame, translator: Translator, language: str, terms: list[G.Term] = (), done: DataFrame | None = None, most: int = sections.CHUNK, lanes: int = 1) -> DataFrame:
+    """``(doc_id, chunk_idx, chunk_id, kind, title, state, text)`` of every chunk of ``(doc_id, text)``.
 
     References stay as they are. Chunks in ``done`` (doc_id, chunk_idx, text) are cached: they are not
     sent again. Documents run in parallel, the chunks of one in order, since each sees the tail of the
-    one before; terms (a list that the caller bounds) are locked before and corrected after.
+    one before; terms (a list that the caller bounds) are locked before and corrected after. With several
+    ``lanes`` the chunks of a batch all see the last one of the batch before.
     """
     plan = sections.chunks(docs, most=most)
     have = done.select("doc_id", "chunk_idx", F.col("text").alias("cached")) if done is not None else None
@@ -82,17 +83,18 @@ def translate(docs: DataFrame, translator: Translator, language: str, terms: lis
         return G.unmask(out, masked.fragments)
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, context = rows.sort_values("chunk_idx"), ""
+        rows, context, begun = rows.sort_values("chunk_idx"), "", 0
         texts, states = [], []
-        for r in rows.itertuples(index=False):
+        for k, r in enumerate(rows.itertuples(index=False)):
             cached = not pd.isna(r.cached)
-            context = r.cached if cached else one(r.content, r.kind, context[-CONTEXT:])
-            texts.append(context)
+            if cached or (k - begun) % lanes == 0:
+                context, begun = (texts[-1] if texts else ""), k + cached
+            texts.append(r.cached if cached else one(r.content, r.kind, context[-CONTEXT:]))
             states.append("cached" if cached else "completed")
-        return rows[["doc_id", "chunk_idx", "chunk_id", "kind"]].assign(state=states, text=texts)
+        return rows[["doc_id", "chunk_idx", "chunk_id", "kind", "title"]].assign(state=states, text=texts)
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_idx int, chunk_id string, kind string, state string, text string"
-    out = rows.select("doc_id", "chunk_idx", "chunk_id", "kind", "content", "cached").groupBy("doc_id").applyInPandas(run, schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_idx int, chunk_id string, kind string, title string, state string, text string"
+    out = rows.select("doc_id", "chunk_idx", "chunk_id", "kind", "title", "content", "cached").groupBy("doc_id").applyInPandas(run, schema)
     return out.withColumn("text", X.typography(F.col("text"), F.lit(language)))
 
 
@@ -115,3 +117,54 @@ def usable_profiles(profiles: DataFrame, capability: str) -> DataFrame:
     """Profiles that can do a task; plain translation services only translate."""
     fits = F.array_contains("capabilities", capability)
     return profiles.where(fits & ((F.col("kind") != "deeplx") | F.lit(capability == "translate")))
+
+
+def lanes_of(requested: int | None, in_pieces: bool, default: int = 2) -> int:
+    """How many chunks are translated at once: 1 to 4, and one after the other where a provider streams."""
+    return 1 if in_pieces else max(1, min(4, int(requested or default)))
+
+
+def events(blocks: DataFrame, lanes: int = 1, keep: bool = True) -> DataFrame:
+    """``(doc_id, seq, type, chunk, text, percentage, message)``: the events that a translation of these blocks sends.
+
+    ``blocks`` are those of :func:`translate`. The first chunks that are cached are hydrated, the others
+    are started, told in pieces of one and completed, in batches where there are several lanes. Without
+    ``keep`` nothing is resumed, as where no progress is stored. Every event follows from its own
+    chunk and its document's counts: no document is walked in order. Hydrating is one event for each block.
+    """
+    facts = blocks.groupBy("doc_id").agg(F.count("*").alias("total"), F.coalesce(F.min(F.when(F.lit(not keep) | (F.col("state") != "cached"), F.col("chunk_idx"))), F.count("*")).alias("first"))
+    resumed = F.col("first") > 0
+    event = lambda place, kind, chunk=None, text=None, percentage=None, message=None: F.struct(
+        F.array(*[p if isinstance(p, Column) else F.lit(p) for p in place]).cast("array<long>").alias("place"), F.lit(kind).alias("type"), (chunk if chunk is not None else F.lit(None)).cast("string").alias("chunk"),
+        (text if text is not None else F.lit(None)).cast("string").alias("text"), (percentage if percentage is not None else F.lit(None)).cast("int").alias("percentage"), (message if message is not None else F.lit(None)).cast("string").alias("message"),
+    )
+    percent = lambda done: F.floor(done / F.col("total") * 100)
+    status = lambda place, text: event(place, "status", message=text)
+    head = F.array(status([-1, 0, 0, 0], F.lit("Chunking document...")), event([-1, 1, 0, 0], "run_started", message=F.when(resumed, "resume").otherwise("fresh")), event([-1, 4, 0, 0], "progress", percentage=percent(F.col("first"))))
+    resume = F.array(status([-1, 2, 0, 0], F.concat(F.lit("Resuming from chunk "), F.col("first").cast("string"), F.lit("..."))))
+    none = F.array().cast(f"array<{'struct<place:array<bigint>,type:string,chunk:string,text:string,percentage:int,message:string>'}>")
+    batches = F.ceil((F.col("total") - F.col("first")) / lanes)
+    told = F.transform(F.when(batches > 0, F.sequence(F.lit(0).cast("long"), batches - 1)).otherwise(F.array().cast("array<bigint>")), lambda b: status([b, 0, 0, 0], F.concat(
+        F.lit("Parallel batch "), (b + 1).cast("string"), F.lit("/"), batches.cast("string"), F.lit(" · "), F.least(F.lit(lanes), F.col("total") - F.col("first") - b * lanes).cast("string"), F.lit(" agents"))))
+    last = F.array(event([1 << 40, 0, 0, 0], "done", message=F.lit("Translation complete.")))
+    of_run = facts.select("doc_id", F.inline(F.concat(head, F.when(resumed, resume).otherwise(none), told if lanes > 1 else none, last)))
+    rows = blocks.join(facts, "doc_id")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("chunk "), (F.col("chunk_idx") + 1).cast("string")))
+    batch, chunk = F.floor((F.col("chunk_idx") - F.col("first")) / lanes), F.col("chunk_id")
+    result = [event([batch, 2, F.col("chunk_idx"), 0], "chunk", chunk, F.col("text")), event([batch, 2, F.col("chunk_idx"), 1], "chunk_completed", chunk), event([batch, 2, F.col("chunk_idx"), 2], "progress", percentage=percent(F.col("chunk_idx") + 1))]
+    begin = [event([batch, 1, F.col("chunk_idx"), 0], "chunk_started", chunk)]
+    if lanes == 1:
+        what = F.when(F.col("kind") == "references", "Skipping reference section").otherwise(F.concat(F.lit("Translating: "), title))
+        begin += [status([batch, 1, F.col("chunk_idx"), 1], F.concat(F.lit("Refining: "), title)), status([batch, 1, F.col("chunk_idx"), 2], what)]
+    hydrated = F.array(event([-1, 3, F.col("chunk_idx"), 0], "hydrate_blocks", chunk, F.col("text")))
+    mine = F.when(F.col("chunk_idx") < F.col("first"), hydrated).otherwise(F.array(*begin, *result))
+    every = of_run.unionByName(rows.select("doc_id", F.inline(mine)))
+    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "chunk")) - 1
+    return every.withColumn("seq", seq).select("doc_id", "seq", "type", "chunk", "text", "percentage", "message")
+
+
+def prompt(text: Column, terms: Column, context: Column, language: Column) -> Column:
+    """What a model is asked for a chunk; ``terms`` is a table of them and may be empty, as may the context."""
+    tagged = lambda tag, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<{tag}>\n"), c, F.lit(f"\n</{tag}>")))
+    task = F.concat(F.lit("Translate the academic text into "), language, F.lit(". Keep Markdown, HTML and every marker between @@ as they are. Return the translation alone."))
+    return F.concat_ws("\n\n", task, tagged("glossary", terms), tagged("context", context), tagged("source_text", text))

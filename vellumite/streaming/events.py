@@ -188,3 +188,23 @@ def sliding(events: DataFrame, size: str, step: str, keys: list[str]) -> DataFra
 def session_windows(events: DataFrame, gap: str, keys: list[str]) -> DataFrame:
     w = F.session_window("ts", gap)
     return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
+
+
+def throttled(events: DataFrame, keys: list[str], millis: int) -> DataFrame:
+    """At most one event of each key in any slot of so many milliseconds: the last, as a throttled display shows. A stream gets the same by its trigger."""
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (millis * 1000))
+    rest = [c for c in events.columns if c not in keys]
+    return events.groupBy(*keys, slot.alias("slot")).agg(F.max_by(F.struct(*rest), F.struct("ts", "seq")).alias("v")).select(*keys, "slot", "v.*")
+
+
+def closed_windows(events: DataFrame, size: str, late: str, keys: list[str]) -> DataFrame:
+    """Counts by windows of event time over a stream that drops what comes later than ``late``; a window is told once, when it is closed."""
+    kind = events.schema["ts"].dataType.simpleString()  # watermarks want instants
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", size).alias("w"), *keys).agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").cast(kind).alias("start"), *keys, "n")
+
+
+def write_closed(windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Appends closed windows to a table of files; the started query."""
+    return windows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
