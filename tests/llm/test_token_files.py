@@ -71,10 +71,27 @@ def test_sequences_are_equal_and_masked(spark, tmp_path):
         while seen < total:
             ids, mask = file.sequence(seen // 64)
             assert not ids.flags.owndata and not mask.flags.owndata and ids.dtype == np.uint16 and mask.dtype == np.uint8
-            assert len(ids) == len(mask) == 64 and mask.sum() == min(64, total - seen)
+            assert len(ids) == len(mask) == 64 and mask.tolist() == [1] * min(64, total - seen) + [0] * max(0, seen + 64 - total)
             seen += 64
 
 
+def test_masks_where_the_last_batch_is_padded(tmp_path):
+    import pyarrow as pa
+
+    from vellumite.llm.token_files import SEQUENCES, _Writer
+
+    for total in (1, 8, 8 * SEQUENCES, 8 * SEQUENCES * 2 + 11):
+        writer = _Writer(f"file://{tmp_path}/files", f"{total}", pa.uint16(), 8)
+        writer.append(np.arange(total) % 60000)
+        writer.close()
+        file, ids, mask = TokenFile(f"file://{tmp_path}", f"{total}"), [], []
+        for s in range(-(-total // 8)):
+            x, y = file.sequence(s)
+            ids.extend(x.tolist())
+            mask.extend(y.tolist())
+        assert mask == [1] * total + [0] * (-total % 8) and ids == [i % 60000 for i in range(total)] + [0] * (-total % 8)
+
+
 def test_empty_table(spark):
     assert token_files_round_trip(spark.createDataFrame([], messy.SCHEMA), PATH).collect() == []
 

@@ -3,9 +3,10 @@
 Texts are encoded in ascending id order, joined to one stream per partition of the
 id range and cut into sequences of equal length. A file is an Arrow IPC file whose
 record batches hold ``ids`` (fixed-size lists of uint16 where the vocabulary allows,
-else uint32) and ``mask`` (fixed-size lists of uint8, one byte an id: 0 where the last
-sequence is padded, else 1). The lists have no offsets and no bits, so sequence s of a memory-mapped
-file, ids and mask alike, is a slice of its buffers. An index table, written last, says where each text begins and
+else uint32) and ``mask`` (a dictionary of fixed-size lists of uint8, one byte an id: 0 where the last
+sequence is padded, else 1; a file has one mask of ones and at most one other). The lists have no offsets and no
+bits, so the ids of sequence s of a memory-mapped file are a slice of its buffers, and its mask is a slice of the
+dictionary, which is read once as the file is opened. An index table, written last, says where each text begins and
 which files count; files of lost or repeated tasks are in no index.
 """
 
@@ -93,9 +94,9 @@ class _Writer:
         self.fs, base = _open(root)
         self.fs.create_dir(base, recursive=True)
         self.kind, self.length = kind, length
-        schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.sink = self.fs.open_output_stream(f"{base}/{name}")
-        self.file = pa.ipc.new_file(self.sink, schema)
+        self.file = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.rest, self.held = [], 0
 
     def append(self, ids: np.ndarray) -> None:
@@ -120,8 +121,15 @@ class _Writer:
 
     def _batch(self, ids: np.ndarray, valid: int) -> None:
         values = pa.array(ids.astype(self.kind.to_pandas_dtype()))
-        mask = pa.array((np.arange(len(ids)) < valid).astype(np.uint8))
-        self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(values, self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)], names=["ids", "mask"]))
+        padded = valid < len(ids)
+        masks = np.ones((1 + padded, self.length), np.uint8)
+        which = np.zeros(len(ids) // self.length, np.int8)
+        if padded:
+            masks[1, valid % self.length :] = 0
+            which[-1] = 1
+        masks = pa.FixedSizeListArray.from_arrays(pa.array(masks.ravel()), self.length)
+        columns = [pa.FixedSizeListArray.from_arrays(values, self.length), pa.DictionaryArray.from_arrays(which, masks)]
+        self.file.write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         self.flush(True)
@@ -194,10 +202,11 @@ class TokenFile:
         return self.held
 
     def sequence(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence s, both views of the file's buffers."""
+        """Ids and mask of sequence s, views of the file's buffers and of its dictionary of masks."""
         batch = self.reader.get_batch(s // SEQUENCES)
         a = s % SEQUENCES * self.length
-        return batch.column(0).flatten().to_numpy()[a : a + self.length], batch.column(1).flatten().to_numpy()[a : a + self.length]
+        m = batch.column(1).indices[s % SEQUENCES].as_py() * self.length
+        return batch.column(0).flatten().to_numpy()[a : a + self.length], batch.column(1).dictionary.flatten().to_numpy()[m : m + self.length]
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from the start-th on."""
