@@ -15,6 +15,7 @@ from .token_files import token_files_round_trip
 from .tool_calls import link_tool_calls
 from .toxicity import toxicity
 from .warc import archive_round_trip
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -90,4 +91,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector along the 16 largest components, whitened."""
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe, op11_embedding_whitening)}
