@@ -63,4 +63,18 @@ _OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_
  sums AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
 SELECT d.doc_id, d.n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op1_ngram_jaccard_links": _OP1_LINKS, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6}
+_OP13 = r"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ ids AS (SELECT conv_id, count(*) AS n, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+   lambda r, b: list_reduce(range(0, 8), lambda s, k: CASE WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END, xor(r, b)), 4294967295) AS r FROM o GROUP BY conv_id),
+ c AS (SELECT ids.conv_id, ids.n, (3 - ids.r % 4) AS h, ids.conv_id - ids.conv_id % 20 AS base, least(3 - ids.r % 4, coalesce(b.n, 0)) AS lent FROM ids LEFT JOIN ids b ON b.conv_id = ids.conv_id - ids.conv_id % 20),
+ t AS (SELECT c.conv_id, o.i AS d, role, text FROM c JOIN o ON o.conv_id = c.base AND o.i <= c.h UNION ALL SELECT c.conv_id, o.i - h + lent, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.i > c.h),
+ p AS (SELECT conv_id, d, text, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM t UNION ALL SELECT conv_id, 0, '', '' FROM c),
+ n AS (SELECT k, d, min(conv_id) AS v, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words FROM p GROUP BY k, d),
+ q AS (SELECT p.conv_id, n.k, n.d, n.v, lag(n.k) OVER w AS up, lag(n.v) OVER w AS up_v FROM p JOIN n USING (k, d) WINDOW w AS (PARTITION BY p.conv_id ORDER BY p.d)),
+ own AS (SELECT * FROM q WHERE conv_id = v), kids AS (SELECT up AS k, count(*) AS n_children FROM own WHERE d > 0 GROUP BY up),
+ sub AS (SELECT a.k, sum((n.n_convs - 1) * n.words) AS saved, count(*) FILTER (kids.k IS NULL) AS leaves FROM own JOIN q a ON a.conv_id = own.conv_id AND a.d <= own.d JOIN n ON n.k = own.k LEFT JOIN kids ON kids.k = own.k GROUP BY a.k),
+ e AS (SELECT k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, k, d, max(d) OVER (PARTITION BY conv_id) AS m FROM p) WHERE d = m GROUP BY k)
+SELECT own.v AS conv_id, own.d AS depth, own.up_v AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+ FROM own JOIN n ON n.k = own.k JOIN sub ON sub.k = own.k LEFT JOIN kids ON kids.k = own.k LEFT JOIN e ON e.k = own.k"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op1_ngram_jaccard_links": _OP1_LINKS, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6, "op13_conversation_trie": _OP13}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe_digests
+from .conversation_trie import prefix_trie
 from .embedding_dedup import near_duplicate_vectors
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join, ngram_jaccard_links
@@ -96,4 +97,9 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe, op11_embedding_whitening)}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe, op11_embedding_whitening, op13_conversation_trie)}
