@@ -77,4 +77,23 @@ _OP13 = r"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id O
 SELECT own.v AS conv_id, own.d AS depth, own.up_v AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
  FROM own JOIN n ON n.k = own.k JOIN sub ON sub.k = own.k LEFT JOIN kids ON kids.k = own.k LEFT JOIN e ON e.k = own.k"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op1_ngram_jaccard_links": _OP1_LINKS, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6, "op13_conversation_trie": _OP13}
+_CLASS = "CASE WHEN {0} BETWEEN '0' AND '9' THEN 0 WHEN {0} BETWEEN 'a' AND 'z' THEN 1 WHEN {0} BETWEEN 'A' AND 'Z' THEN 2 ELSE 3 END"
+_EITHER = r"""[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"""
+_OP12 = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+ p(kind, pat) AS (VALUES (0, '({either})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'), (3, '[A-Za-z0-9+/_.=-]{20,}')),
+ m AS (SELECT r, kind, pat, regexp_split_to_array(text, pat) AS gaps, regexp_extract_all(text, pat) AS ms FROM t, p WHERE regexp_matches(text, pat)),
+ e AS (SELECT r, kind, pat, unnest(range(1, len(ms) + 1)) AS k, unnest(ms) AS m, unnest(gaps[:len(ms)]) AS gap FROM m),
+ s AS (SELECT r, kind, CASE kind WHEN 0 THEN regexp_extract(m, pat, 2) WHEN 3 THEN rtrim(m, '.') ELSE m END AS v, length(m) AS n, sum(length(gap) + length(m)) OVER (PARTITION BY r, kind ORDER BY k) - length(m) AS a FROM e),
+ f AS (SELECT r, kind, v, a::BIGINT AS a, (a + CASE kind WHEN 3 THEN length(v) ELSE n END)::BIGINT AS z FROM s WHERE CASE kind WHEN 0 THEN length(v) >= 6 WHEN 1 THEN n >= 20 WHEN 2 THEN n >= 24 ELSE length(v) >= 20 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') END),
+ g AS (SELECT f.* FROM f WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM f b WHERE b.r = f.r AND b.kind < 3 AND b.a < f.z AND f.a < b.z)),
+ l AS (SELECT g.*, length(v) <= 512 AND len(list_distinct(string_split(v, ''))) >= 6 AND NOT regexp_matches(v, '(?i)example|sample|dummy|placeholder|changeme|your|test|xxxx') AND (kind < 3 OR
+   len(regexp_extract_all(v, '[0-9]')) >= 2 AND len(regexp_extract_all(v, '[a-z]')) >= 2 AND len(regexp_extract_all(v, '[A-Z]')) >= 2 AND
+   100 * len(list_filter(range(1, length(v)), lambda i: {left} < 3 AND {left} <> {right})) >= 35 * length(v)) AS live FROM g),
+ o AS (SELECT v, count(DISTINCT coalesce(source, '<null>')) AS owners, max(kind < 3) AS known FROM l JOIN t USING (r) GROUP BY v),
+ j AS (SELECT l.*, owners < 3 AS own FROM l JOIN o USING (v) WHERE kind < 3 OR owners < 3 AND (live OR known)),
+ w AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' ELSE 'hex' END || ':' || a || ':' || z, ',' ORDER BY a, kind) FILTER (kind < 3) AS base,
+   string_agg(CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'owned' END || ':' || a || ':' || z, ',' ORDER BY a, kind) AS spans, count(*) FILTER (own AND live) AS n_owned, count(*) FILTER (NOT own) AS n_copied FROM j GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned, coalesce(n_copied, 0) AS n_copied FROM t LEFT JOIN w USING (r)"""
+_OP12 = _OP12.replace("{either}", _EITHER).replace("{left}", _CLASS.replace("{0}", "v[i]")).replace("{right}", _CLASS.replace("{0}", "v[i + 1]"))
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": _OP1, "op1_ngram_jaccard_links": _OP1_LINKS, "op2_warc_archive": _OP2, "op4_tool_call_linking": _OP4, "op5_suffix_dedup": _OP5, "op6_embedding_dedup": _OP6, "op12_secret_scan": _OP12, "op13_conversation_trie": _OP13}

@@ -11,6 +11,7 @@ from .embedding_dedup import near_duplicate_vectors
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join, ngram_jaccard_links
 from .quality import quality_rules
+from .secrets import find_secrets
 from .suffix_dedup import suffix_dedup
 from .token_files import token_files_round_trip
 from .tool_calls import link_tool_calls
@@ -97,9 +98,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole text; documents stand for repositories, their sources for owners."""
+    return find_secrets(_read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the trie of all rebuilt conversations."""
     return prefix_trie(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe, op11_embedding_whitening, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op1_ngram_jaccard_links, op2_warc_archive, op3_token_files, op4_tool_call_linking, op5_suffix_dedup, op6_embedding_dedup, op7_quality_rules, op8_toxicity, op9_mix_sources, op10_byte_bpe, op11_embedding_whitening, op12_secret_scan, op13_conversation_trie)}
