@@ -109,14 +109,6 @@ def test_retries():
     assert translation.Retrying(Failing(), sleep=waits.append).translate("x", "", "de") == "ok" and waits == [2.0, 4.0]
 
 
-def test_event_folds_agree(spark):
-    kinds = ["run_started", "chunk_started", "chunk", "chunk_completed", "progress", "chunk", "done", "error"]
-    rows = [(r, k, kinds[(k * 7 + r * 3) % 8 if k else 0], f"c{(k * r) % 3}", "x" * (k % 5), float(k)) for r in range(1, 9) for k in range(30)]
-    df = spark.createDataFrame(rows, "run long, seq long, type string, chunk string, text string, percentage double").withColumn("ts", F.timestamp_seconds("seq"))
-    a, b = (sorted(map(tuple, f(df).collect())) for f in (E.fold_runs, E.fold_in_order))
-    assert a == b
-
-
 def test_frames_of_a_stream(spark):
     pieces = spark.createDataFrame([(1, 0, 'data: {"a":'), (1, 1, "1}\n\nda"), (1, 2, "ta: x\n\n: note\n\ndata: open")], "run long, seq long, text string")
     assert [(r.k, r.payload) for r in E.event_frames(pieces).orderBy("k").collect()] == [(0, '{"a":1}'), (1, "x")]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import annotations, library, sections
-from ..streaming import events as E
 from ..session import shared_folder
+from ..streaming import events as E
+from ..streaming import runs
 from . import translation
 from .views import Query, digest, lit, paper_view, table
 
@@ -288,45 +289,90 @@ _add(visible_frames, f"SELECT * FROM {_FRAMES} WHERE bottom >= 80 AND top <= 106
 
 
 def _run_view(events: DataFrame) -> DataFrame:
-    """User events as translation events: the user is the run, the property the chunk."""
-    kinds = ["chunk_started", "chunk", "chunk_completed", "progress", "chunk"]
-    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 5 + 1).cast("int"))
-    kind = F.when(F.col("event_id") % 97 == 0, "run_started").when(F.col("event_id") % 101 == 0, "done").when(F.col("event_id") % 103 == 0, "error").otherwise(kind)
-    chunk = F.concat(F.lit("chunk-"), (F.get_json_object("props", "$.k").cast("int") % 7).cast("string"))
-    return events.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", kind.alias("type"), chunk.alias("chunk"), F.col("event_id").cast("string").alias("text"), F.round("value", 3).alias("percentage"))
+    """User events as translation events of all types: the user is the run, the property the chunk; some pieces have no id."""
+    n = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("chunk_started", "chunk", "chunk_completed", "progress", "chunk"))), (n % 5 + 1).cast("int"))
+    for step, put in reversed(((97, "run_started"), (101, "done"), (103, "error"), (79, "chunk_planned"), (83, "hydrate_blocks"), (89, "status"), (107, "closed"))):
+        kind = F.when(n % step == 0, put).otherwise(kind)
+    chunk = F.when((kind != "chunk") | (n % 11 != 0), F.concat(F.lit("chunk-"), (F.get_json_object("props", "$.k").cast("int") % 7).cast("string")))
+    state = F.when(n % 7 == 0, "cached").when(n % 3 == 0, "completed")
+    message = F.when(n % 2 == 0, "Chunking document...").otherwise("Refining: the rest")
+    return events.select(F.col("user_id").alias("run"), n.alias("seq"), "ts", kind.alias("type"), chunk.alias("chunk"), n.cast("string").alias("text"), F.round("value", 3).alias("percentage"), state.alias("state"), message.alias("message"))
 
 
-_RUNS = """(SELECT user_id AS run, event_id AS seq, ts, CASE WHEN event_id % 97 = 0 THEN 'run_started' WHEN event_id % 101 = 0 THEN 'done' WHEN event_id % 103 = 0 THEN 'error' ELSE ['chunk_started', 'chunk', 'chunk_completed', 'progress', 'chunk'][event_id % 5 + 1] END AS type,
-  'chunk-' || (json_extract_string(props, '$.k')::INT % 7)::VARCHAR AS chunk, event_id::VARCHAR AS text, round(value, 3) AS percentage FROM events)"""
+_RUNS = """(SELECT run, seq, ts, type, CASE WHEN type <> 'chunk' OR seq % 11 <> 0 THEN 'chunk-' || k::VARCHAR END AS chunk, seq::VARCHAR AS text, percentage, CASE WHEN seq % 7 = 0 THEN 'cached' WHEN seq % 3 = 0 THEN 'completed' END AS state FROM (
+  SELECT user_id AS run, event_id AS seq, ts, CASE WHEN event_id % 97 = 0 THEN 'run_started' WHEN event_id % 101 = 0 THEN 'done' WHEN event_id % 103 = 0 THEN 'error' WHEN event_id % 79 = 0 THEN 'chunk_planned' WHEN event_id % 83 = 0 THEN 'hydrate_blocks' WHEN event_id % 89 = 0 THEN 'status'
+    WHEN event_id % 107 = 0 THEN 'closed' ELSE ['chunk_started', 'chunk', 'chunk_completed', 'progress', 'chunk'][event_id % 5 + 1] END AS type, json_extract_string(props, '$.k')::INT % 7 AS k, round(value, 3) AS percentage FROM events))"""
 
 
 def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fold_runs(_run_view(table(spark, sf_dir, "events")))
+    return runs.fold_runs(_run_view(table(spark, sf_dir, "events")))
+
+
+#: The events of each run taken one after the other, in SQL: a step of the recursion is an event of every run.
+_STEPS = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) AS i FROM {_RUNS}),
+  f(run, i, blocks, hyd, progress, phase) AS (SELECT run, 0::BIGINT, []::STRUCT(id VARCHAR, n BIGINT, state VARCHAR)[], true, 0.0::DOUBLE, 'idle' FROM (SELECT DISTINCT run FROM e)
+   UNION ALL SELECT run, i, CASE WHEN type = 'run_started' THEN []
+     WHEN type = 'chunk_planned' AND NOT known THEN list_append(blocks, {{'id': chunk, 'n': 0, 'state': 'planned'}})
+     WHEN type = 'hydrate_blocks' AND NOT known AND hyd THEN list_append(blocks, {{'id': chunk, 'n': n, 'state': coalesce(said, 'cached')}})
+     WHEN type = 'hydrate_blocks' THEN list_transform(blocks, lambda b: CASE WHEN b.id = chunk THEN {{'id': b.id, 'n': n, 'state': coalesce(said, 'cached')}} ELSE b END)
+     WHEN type = 'chunk_started' THEN list_transform(blocks, lambda b: CASE WHEN b.id = chunk AND b.state <> 'cached' THEN {{'id': b.id, 'n': b.n, 'state': 'streaming'}} ELSE b END)
+     WHEN type = 'chunk_completed' THEN list_transform(blocks, lambda b: CASE WHEN b.id = chunk THEN {{'id': b.id, 'n': b.n, 'state': CASE WHEN said = 'cached' THEN 'cached' ELSE 'completed' END}} ELSE b END)
+     WHEN type = 'chunk' AND NOT known THEN list_append(blocks, {{'id': target, 'n': n, 'state': 'streaming'}})
+     WHEN type = 'chunk' THEN list_transform(blocks, lambda b: CASE WHEN b.id = target THEN {{'id': b.id, 'n': b.n + n, 'state': CASE WHEN b.state = 'cached' THEN 'cached' ELSE 'streaming' END}} ELSE b END) ELSE blocks END,
+    CASE WHEN type = 'run_started' THEN true WHEN type IN ('chunk', 'chunk_planned') AND NOT known THEN false ELSE hyd END,
+    CASE WHEN type = 'done' THEN 100 WHEN type = 'progress' THEN coalesce(percentage, progress) ELSE progress END,
+    CASE type WHEN 'run_started' THEN 'preparing' WHEN 'chunk_planned' THEN 'chunking' WHEN 'hydrate_blocks' THEN 'refining' WHEN 'status' THEN CASE WHEN seq % 2 = 0 THEN 'chunking' ELSE 'refining' END WHEN 'done' THEN 'completed' WHEN 'error' THEN 'error'
+      WHEN 'closed' THEN CASE WHEN phase IN ('completed', 'error') THEN phase ELSE 'error' END WHEN 'progress' THEN phase ELSE 'streaming' END
+    FROM (SELECT *, len(list_filter(blocks, lambda b: b.id = target)) > 0 AS known FROM (SELECT e.run, e.i, e.seq, e.type, e.chunk, length(e.text) AS n, e.state AS said, e.percentage, f.blocks, f.hyd, f.progress, f.phase,
+      CASE WHEN e.chunk IS NULL THEN coalesce(f.blocks[-1].id, 'streaming-translation') ELSE e.chunk END AS target FROM f JOIN e ON e.run = f.run AND e.i = f.i + 1)))"""
+_FOLD = f"""{_STEPS} SELECT run, i AS n_events, len(blocks) AS n_blocks, len(list_filter(blocks, lambda b: b.state IN ('completed', 'cached'))) AS n_completed, coalesce(list_sum(list_transform(blocks, lambda b: b.n)), 0)::BIGINT AS n_chars, progress, phase
+  FROM f WHERE i = (SELECT max(i) FROM e WHERE e.run = f.run)"""
+_add(event_fold, _FOLD)
 
 
-_FOLD = f"""WITH e AS (SELECT * FROM {_RUNS}), s AS (SELECT run, max(seq) AS began FROM e WHERE type = 'run_started' GROUP BY run),
-  c AS (SELECT run, chunk, sum(CASE WHEN type = 'chunk' THEN length(text) ELSE 0 END) AS n, min(seq) FILTER (type = 'chunk') AS born, max(seq) FILTER (type = 'chunk_completed') AS closed, max(seq) FILTER (type <> 'chunk_completed') AS touched FROM e LEFT JOIN s USING (run)
-    WHERE (began IS NULL OR seq >= began) AND type IN ('chunk', 'chunk_started', 'chunk_completed') GROUP BY run, chunk HAVING born IS NOT NULL),
-  b AS (SELECT run, count(*) AS n_blocks, count(*) FILTER (closed > born AND closed > touched) AS n_completed, sum(n) AS n_chars FROM c GROUP BY run),
-  r AS (SELECT run, count(*) AS n_events, arg_max(CASE WHEN type = 'done' THEN 100.0 ELSE percentage END, seq) FILTER (type IN ('done', 'progress')) AS progress,
-    arg_max(CASE type WHEN 'run_started' THEN 'preparing' WHEN 'done' THEN 'completed' WHEN 'error' THEN 'error' ELSE 'streaming' END, seq) FILTER (type <> 'progress') AS phase FROM e GROUP BY run)
-  SELECT run, n_events, coalesce(n_blocks, 0) AS n_blocks, coalesce(n_completed, 0) AS n_completed, coalesce(n_chars, 0)::BIGINT AS n_chars, coalesce(progress, 0)::DOUBLE AS progress, coalesce(phase, 'idle') AS phase FROM r LEFT JOIN b USING (run)"""
-_add(event_fold, _FOLD)
+def event_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each run in order, with their state and text."""
+    blocks = runs.fold_blocks(_run_view(table(spark, sf_dir, "events")))
+    place = F.row_number().over(Window.partitionBy("run").orderBy("born"))
+    return blocks.select("run", place.alias("place"), "chunk", "state", F.length("text").cast("long").alias("n_chars"))
 
 
-def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same states out of a stream that reads the events' file, keeps a run's state between batches and writes a table of updates."""
-    schema = table(spark, sf_dir, "events").schema
-    root = shared_folder(spark, "stream-fold")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
-    updates = E.fold_stream(_run_view(stream), give_up=None)
+_add(event_blocks, f"{_STEPS} SELECT run, unnest(range(1, len(blocks) + 1)) AS place, unnest(blocks).id AS chunk, unnest(blocks).state AS state, unnest(blocks).n AS n_chars FROM f WHERE i = (SELECT max(i) FROM e WHERE e.run = f.run)")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, **how) -> DataFrame:
+    """The updates that a stream over the events' file writes."""
+    root = shared_folder(spark, name)
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(sf_dir)
+    updates = runs.fold_stream(_run_view(stream), **how)
     E.write_updates(updates, f"{root}/updates", f"{root}/checkpoint").awaitTermination()
-    return E.latest_updates(spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{root}/updates"), "run").drop("batch")
+    return spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{root}/updates")
+
+
+def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states out of a stream that keeps each chunk of a run in an entry of its own."""
+    return runs.latest_runs(_streamed(spark, sf_dir, "stream-fold", stall=None, give_up=None))
 
 
 _add(stream_fold, _FOLD)
 
 
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that fall silent for an hour, are given up after a day or break off, by two timers on the events' own time."""
+    return runs.notices(_streamed(spark, sf_dir, "stream-silences", stall=3600, give_up=86400, event_time=True))
+
+
+_add(stream_silences, f"""WITH RECURSIVE e AS MATERIALIZED (SELECT *, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY run ORDER BY seq) AS i, coalesce(lead(epoch_us(ts) // 1000) OVER (PARTITION BY run ORDER BY seq), max(epoch_us(ts) // 1000) OVER ()) AS next_ms, lead(type) OVER (PARTITION BY run ORDER BY seq) AS coming FROM {_RUNS}),
+  f(run, i, phase) AS (SELECT run, 0::BIGINT, 'idle' FROM (SELECT DISTINCT run FROM e) UNION ALL SELECT e.run, e.i, CASE WHEN p = 'given up' THEN p WHEN e.next_ms - e.ms >= 86400000 AND p NOT IN ('completed', 'error') THEN 'given up' ELSE p END
+    FROM (SELECT e.*, CASE WHEN f.phase = 'given up' AND type <> 'run_started' THEN 'given up' ELSE CASE type WHEN 'done' THEN 'completed' WHEN 'error' THEN 'error' WHEN 'closed' THEN CASE WHEN f.phase IN ('completed', 'error') THEN f.phase ELSE 'error' END WHEN 'progress' THEN f.phase ELSE 'going' END END AS p FROM f JOIN e ON e.run = f.run AND e.i = f.i + 1) e),
+  g AS (SELECT e.*, f.phase, coalesce(lag(f.phase) OVER (PARTITION BY e.run ORDER BY e.i), 'idle') AS before FROM f JOIN e USING (run, i)),
+  h AS (SELECT *, before = 'given up' AND type <> 'run_started' AS deaf FROM g)
+ SELECT run, 'slow' AS notice, ms + 3600000 AS at FROM h WHERE NOT deaf AND phase NOT IN ('completed', 'error') AND next_ms - ms >= 3600000
+ UNION ALL SELECT run, 'given up', ms + 86400000 FROM h WHERE NOT deaf AND phase = 'given up'
+ UNION ALL SELECT run, 'broken off', ms FROM h WHERE NOT deaf AND type = 'closed' AND before NOT IN ('completed', 'error')""")
+
+
 def stall_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stalls(_run_view(table(spark, sf_dir, "events")), 600).select("run", "seq", F.round(F.col("gap") * 1e6).cast("long").alias("gap_us"))
 

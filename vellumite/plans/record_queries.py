@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payloads as Y
@@ -11,6 +11,7 @@ from ..operators import annotations, glossary, polish, records, sections, semant
 from ..session import shared_folder
 from ..sources import artifacts
 from ..streaming import events as E
+from ..streaming import runs
 from . import translation
 from .document_queries import _BLOCKS, _PLAN, _TERMS, _TYPED, _line_blocks, _terms
 from .library_queries import _RUNS, _run_view
@@ -359,7 +360,7 @@ def _blocks(spark, sf_dir):
 
 
 def _told(events: DataFrame) -> DataFrame:
-    return events.select("doc_id", F.col("seq").cast("long").alias("seq"), "type", "chunk", digest(F.col("text"), "text"), "percentage", "message")
+    return events.select("doc_id", F.col("seq").cast("long").alias("seq"), "type", "chunk", digest(F.col("text"), "text"), "percentage", "state", "message")
 
 
 def translation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -374,23 +375,62 @@ def translation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _events_sql(lanes: int, keep: bool) -> str:
     first = "CASE WHEN doc_id % 4 = 0 THEN least(2, count(*)) ELSE 0 END" if keep else "0"
-    each = [("b", "1", "0", "'chunk_started'", "chunk_id", "NULL", "NULL", "NULL"), ("b", "2", "0", "'chunk'", "chunk_id", "md5(o)", "NULL", "NULL"), ("b", "2", "1", "'chunk_completed'", "chunk_id", "NULL", "NULL", "NULL"), ("b", "2", "2", "'progress'", "NULL", "NULL", "floor((chunk_idx + 1) / total * 100)", "NULL")]
+    state = "CASE WHEN doc_id % 4 = 0 AND chunk_idx < 2 THEN 'cached' ELSE 'completed' END"
+    each = [
+        ("b", "1", "chunk_idx", "0", "'chunk_started'", "chunk_id", "NULL", "NULL", "NULL", "NULL"), ("b", "2", "chunk_idx", "0", "'chunk'", "chunk_id", "md5(o)", "NULL", "NULL", "NULL"),
+        ("b", "2", "chunk_idx", "1", "'chunk_completed'", "chunk_id", "NULL", "NULL", state, "NULL"), ("b", "2", "chunk_idx", "2", "'progress'", "NULL", "NULL", "floor((chunk_idx + 1) / total * 100)", "NULL", "NULL"),
+    ]
     if lanes == 1:
-        each += [("b", "1", "1", "'status'", "NULL", "NULL", "NULL", "'Refining: ' || title"), ("b", "1", "2", "'status'", "NULL", "NULL", "NULL", "CASE WHEN kind = 'references' THEN 'Skipping reference section' ELSE 'Translating: ' || title END")]
-    of_chunk = " UNION ALL ".join(f"SELECT doc_id, {b}::BIGINT AS p0, {p}::BIGINT AS p1, chunk_idx AS p2, {s} AS p3, {t} AS type, {c}::VARCHAR AS chunk, {x}::VARCHAR AS text, {n}::INT AS percentage, {m}::VARCHAR AS message FROM j WHERE chunk_idx >= first" for b, p, s, t, c, x, n, m in each)
-    batches = f" UNION ALL SELECT doc_id, b, 0, 0, 0, 'status', NULL, NULL, NULL, 'Parallel batch ' || (b + 1)::VARCHAR || '/' || n::VARCHAR || ' · ' || least({lanes}, total - first - b * {lanes})::BIGINT::VARCHAR || ' agents' FROM (SELECT *, ceil((total - first) / {lanes})::BIGINT AS n FROM f), unnest(range(0, n)) AS u(b)" if lanes > 1 else ""
-    return f"""WITH c AS MATERIALIZED (SELECT * FROM ({_PLAN.replace("md5(content) AS digest", "content")})), f AS (SELECT doc_id, count(*) AS total, {first} AS first FROM c GROUP BY doc_id),
- j AS MATERIALIZED (SELECT c.*, total, first, floor((chunk_idx - first) / {lanes}) AS b, CASE WHEN kind = 'references' THEN content ELSE translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS o FROM c JOIN f USING (doc_id)),
- e AS ({of_chunk}{batches} UNION ALL SELECT doc_id, -1, 3, chunk_idx, 0, 'hydrate_blocks', chunk_id, md5(o), NULL, NULL FROM j WHERE chunk_idx < first UNION ALL SELECT doc_id, -1, 0, 0, 0, 'status', NULL, NULL, NULL, 'Chunking document...' FROM f
-  UNION ALL SELECT doc_id, -1, 1, 0, 0, 'run_started', NULL, NULL, NULL, CASE WHEN first > 0 THEN 'resume' ELSE 'fresh' END FROM f UNION ALL SELECT doc_id, -1, 2, 0, 0, 'status', NULL, NULL, NULL, 'Resuming from chunk ' || first::BIGINT::VARCHAR || '...' FROM f WHERE first > 0
-  UNION ALL SELECT doc_id, -1, 4, 0, 0, 'progress', NULL, NULL, floor(first / total * 100)::INT, NULL FROM f UNION ALL SELECT doc_id, 1099511627776, 0, 0, 0, 'done', NULL, NULL, NULL, 'Translation complete.' FROM f)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p0, p1, p2, p3) - 1 AS seq, type, chunk, text, percentage, message FROM e"""
-
-
+        skipped = "CASE WHEN kind = 'references' THEN 'Skipping reference section' ELSE 'Translating: ' || title END"
+        each += [("b", "1", "chunk_idx", k, "'status'", "NULL", "NULL", "NULL", "NULL", m) for k, m in (("1", "'Refining: ' || title"), ("2", skipped))]
+    row = "SELECT doc_id, {}::BIGINT AS p0, {}::BIGINT AS p1, {}::BIGINT AS p2, {}::BIGINT AS p3, {} AS type, {}::VARCHAR AS chunk, {}::VARCHAR AS text, {}::INT AS percentage, {}::VARCHAR AS state, {}::VARCHAR AS message FROM {}"
+    nothing = ["NULL"] * 4
+    parts = [row.format(*e, "j WHERE chunk_idx >= first") for e in each]
+    parts += [row.format("-1", "1", "chunk_idx + 1", "0", "'chunk_planned'", "chunk_id", *nothing, "j"), row.format("-1", "3", "chunk_idx", "0", "'hydrate_blocks'", "chunk_id", "md5(o)", "NULL", "'cached'", "NULL", "j WHERE chunk_idx < first")]
+    parts += [row.format("-1", "0", "0", "0", "'status'", *nothing, "'Chunking document...'", "f"), row.format("-1", "1", "0", "0", "'run_started'", *nothing, "CASE WHEN first > 0 THEN 'resume' ELSE 'fresh' END", "f")]
+    parts += [row.format("-1", "2", "0", "0", "'status'", *nothing, "'Resuming from chunk ' || first::BIGINT::VARCHAR || '...'", "f WHERE first > 0"), row.format("-1", "4", "0", "0", "'progress'", "NULL", "NULL", "floor(first / total * 100)", "NULL", "NULL", "f")]
+    parts += [row.format("1099511627776", "0", "0", "0", "'done'", *nothing, "'Translation complete.'", "f")]
+    if lanes > 1:
+        said = f"'Parallel batch ' || (b + 1)::VARCHAR || '/' || n::VARCHAR || ' · ' || least({lanes}, total - first - b * {lanes})::BIGINT::VARCHAR || ' agents'"
+        parts += [row.format("b", "0", "0", "0", "'status'", *nothing, said, f"(SELECT *, ceil((total - first) / {lanes})::BIGINT AS n FROM f), unnest(range(0, n)) AS u(b)")]
+    return f"""WITH {_CHUNKS_SQL}, f AS (SELECT doc_id, count(*) AS total, {first} AS first FROM c GROUP BY doc_id),
+ j AS MATERIALIZED (SELECT c.*, total, first, floor((chunk_idx - first) / {lanes}) AS b FROM c JOIN f USING (doc_id)), e AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p0, p1, p2, p3) - 1 AS seq, type, chunk, text, percentage, state, message FROM e"""
+
+
+#: Every chunk with its translation by the stub.
+_CHUNKS_SQL = f"""c AS MATERIALIZED (SELECT *, CASE WHEN kind = 'references' THEN content ELSE translate(content, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS o FROM ({_PLAN.replace("md5(content) AS digest", "content")}))"""
 _add(translation_events, _events_sql(1, True))
 _add(translation_batches, _events_sql(3, False))
 
 
+def _folded(blocks: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("run").orderBy("born")) - 1
+    return blocks.select(F.col("run").alias("doc_id"), place.alias("chunk_idx"), F.col("chunk").alias("chunk_id"), "state", digest(F.col("text"), "text"))
+
+
+def resumed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of resumed translations, folded: the blocks that went in, hydrated ones too."""
+    return _folded(runs.fold_blocks(translation.events(_blocks(spark, sf_dir)).withColumnRenamed("doc_id", "run")))
+
+
+def resumed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stream over the events, which takes up each run where the micro-batch before left it."""
+    root = shared_folder(spark, "resumed-stream")
+    told = translation.events(_blocks(spark, sf_dir)).withColumnRenamed("doc_id", "run")
+    for half in (0, 1):  # the events of a run come in order, a file after the other
+        told.where((F.col("seq") >= 9) == bool(half)).write.mode("append").parquet(f"{root}/events/part={half}")
+    stream = spark.readStream.schema(told.schema.add("part", "integer")).option("maxFilesPerTrigger", 64).parquet(f"{root}/events")
+    updates = runs.fold_stream(stream, stall=None, give_up=None)
+    E.write_updates(updates, f"{root}/updates", f"{root}/checkpoint").awaitTermination()
+    return _folded(runs.latest_blocks(spark.read.schema(updates.schema.add("batch", "long")).parquet(f"{root}/updates")))
+
+
+_RESUMED = f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_idx, chunk_id, CASE WHEN doc_id % 4 = 0 AND chunk_idx < 2 THEN 'cached' ELSE 'completed' END AS state, md5(o) AS text FROM c"
+_add(resumed_blocks, _RESUMED)
+_add(resumed_stream, _RESUMED)
+
+
 def translation_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts of the chunks of papers, each with the end of the translation before it."""
     blocks = _blocks(spark, sf_dir)

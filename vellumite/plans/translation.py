@@ -125,42 +125,49 @@ def lanes_of(requested: int | None, in_pieces: bool, default: int = 2) -> int:
 
 
 def events(blocks: DataFrame, lanes: int = 1, keep: bool = True) -> DataFrame:
-    """``(doc_id, seq, type, chunk, text, percentage, message)``: the events that a translation of these blocks sends.
+    """``(doc_id, seq, type, chunk, text, percentage, state, message)``: the events that a translation of these blocks sends.
 
-    ``blocks`` are those of :func:`translate`. The first chunks that are cached are hydrated, the others
-    are started, told in pieces of one and completed, in batches where there are several lanes. Without
-    ``keep`` nothing is resumed, as where no progress is stored. Every event follows from its own
-    chunk and its document's counts: no document is walked in order. Hydrating is one event for each block.
+    ``blocks`` are those of :func:`translate`. The plan comes first, an event for each chunk; the first chunks that are
+    cached are hydrated, an event for each; the others are started, told in pieces of one and completed, in batches where
+    there are several lanes. Without ``keep`` nothing is resumed, as where no progress is stored. Folding the events
+    gives the blocks again. Every event follows from its own chunk and its document's counts, so the
+    blocks are shuffled once, by document.
     """
-    facts = blocks.groupBy("doc_id").agg(F.count("*").alias("total"), F.coalesce(F.min(F.when(F.lit(not keep) | (F.col("state") != "cached"), F.col("chunk_idx"))), F.count("*")).alias("first"))
-    resumed = F.col("first") > 0
-    event = lambda place, kind, chunk=None, text=None, percentage=None, message=None: F.struct(
-        F.array(*[p if isinstance(p, Column) else F.lit(p) for p in place]).cast("array<long>").alias("place"), F.lit(kind).alias("type"), (chunk if chunk is not None else F.lit(None)).cast("string").alias("chunk"),
-        (text if text is not None else F.lit(None)).cast("string").alias("text"), (percentage if percentage is not None else F.lit(None)).cast("int").alias("percentage"), (message if message is not None else F.lit(None)).cast("string").alias("message"),
-    )
-    percent = lambda done: F.floor(done / F.col("total") * 100)
+    of_doc = Window.partitionBy("doc_id")
+    fresh = F.min(F.when(F.lit(not keep) | (F.col("state") != "cached"), F.col("chunk_idx"))).over(of_doc)
+    rows = blocks.withColumn("total", F.count("*").over(of_doc)).withColumn("first", F.coalesce(fresh, F.col("total"))).withColumn("lead", F.col("chunk_idx") == F.min("chunk_idx").over(of_doc))
+    null = F.lit(None)
+
+    def event(place: list, kind: str, chunk: Column = null, text: Column = null, percentage: Column = null, state: Column = null, message: Column = null) -> Column:
+        at = F.array(*(p if isinstance(p, Column) else F.lit(p) for p in place)).cast("array<long>")
+        said = {"chunk": chunk, "text": text, "state": state, "message": message}
+        return F.struct(at.alias("place"), F.lit(kind).alias("type"), *(c.cast("string").alias(n) for n, c in said.items()), percentage.cast("int").alias("percentage"))
+
     status = lambda place, text: event(place, "status", message=text)
-    head = F.array(status([-1, 0, 0, 0], F.lit("Chunking document...")), event([-1, 1, 0, 0], "run_started", message=F.when(resumed, "resume").otherwise("fresh")), event([-1, 4, 0, 0], "progress", percentage=percent(F.col("first"))))
+    percent = lambda done: F.floor(done / F.col("total") * 100)
+    none = F.array().cast("array<struct<place:array<bigint>,type:string,chunk:string,text:string,state:string,message:string,percentage:int>>")
+    resumed, batches = F.col("first") > 0, F.ceil((F.col("total") - F.col("first")) / lanes)
+    numbers = F.when(batches > 0, F.sequence(F.lit(0).cast("long"), batches - 1)).otherwise(F.array().cast("array<bigint>"))
+    agents = lambda b: F.least(F.lit(lanes), F.col("total") - F.col("first") - b * lanes).cast("string")
+    told = F.transform(numbers, lambda b: status([b, 0, 0, 0], F.concat(F.lit("Parallel batch "), (b + 1).cast("string"), F.lit("/"), batches.cast("string"), F.lit(" · "), agents(b), F.lit(" agents"))))
+    head = [status([-1, 0, 0, 0], F.lit("Chunking document...")), event([-1, 1, 0, 0], "run_started", message=F.when(resumed, "resume").otherwise("fresh")), event([-1, 4, 0, 0], "progress", percentage=percent(F.col("first")))]
     resume = F.array(status([-1, 2, 0, 0], F.concat(F.lit("Resuming from chunk "), F.col("first").cast("string"), F.lit("..."))))
-    none = F.array().cast(f"array<{'struct<place:array<bigint>,type:string,chunk:string,text:string,percentage:int,message:string>'}>")
-    batches = F.ceil((F.col("total") - F.col("first")) / lanes)
-    told = F.transform(F.when(batches > 0, F.sequence(F.lit(0).cast("long"), batches - 1)).otherwise(F.array().cast("array<bigint>")), lambda b: status([b, 0, 0, 0], F.concat(
-        F.lit("Parallel batch "), (b + 1).cast("string"), F.lit("/"), batches.cast("string"), F.lit(" · "), F.least(F.lit(lanes), F.col("total") - F.col("first") - b * lanes).cast("string"), F.lit(" agents"))))
     last = F.array(event([1 << 40, 0, 0, 0], "done", message=F.lit("Translation complete.")))
-    of_run = facts.select("doc_id", F.inline(F.concat(head, F.when(resumed, resume).otherwise(none), told if lanes > 1 else none, last)))
-    rows = blocks.join(facts, "doc_id")
-    title = F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("chunk "), (F.col("chunk_idx") + 1).cast("string")))
-    batch, chunk = F.floor((F.col("chunk_idx") - F.col("first")) / lanes), F.col("chunk_id")
-    result = [event([batch, 2, F.col("chunk_idx"), 0], "chunk", chunk, F.col("text")), event([batch, 2, F.col("chunk_idx"), 1], "chunk_completed", chunk), event([batch, 2, F.col("chunk_idx"), 2], "progress", percentage=percent(F.col("chunk_idx") + 1))]
-    begin = [event([batch, 1, F.col("chunk_idx"), 0], "chunk_started", chunk)]
+    of_run = F.concat(F.array(*head), F.when(resumed, resume).otherwise(none), told if lanes > 1 else none, last)
+
+    chunk, k = F.col("chunk_id"), F.col("chunk_idx")
+    batch, title = F.floor((k - F.col("first")) / lanes), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("chunk "), (k + 1).cast("string")))
+    planned = F.array(event([-1, 1, k + 1, 0], "chunk_planned", chunk))
+    hydrated = F.array(event([-1, 3, k, 0], "hydrate_blocks", chunk, F.col("text"), state=F.lit("cached")))
+    begin = [event([batch, 1, k, 0], "chunk_started", chunk)]
     if lanes == 1:
         what = F.when(F.col("kind") == "references", "Skipping reference section").otherwise(F.concat(F.lit("Translating: "), title))
-        begin += [status([batch, 1, F.col("chunk_idx"), 1], F.concat(F.lit("Refining: "), title)), status([batch, 1, F.col("chunk_idx"), 2], what)]
-    hydrated = F.array(event([-1, 3, F.col("chunk_idx"), 0], "hydrate_blocks", chunk, F.col("text")))
-    mine = F.when(F.col("chunk_idx") < F.col("first"), hydrated).otherwise(F.array(*begin, *result))
-    every = of_run.unionByName(rows.select("doc_id", F.inline(mine)))
-    seq = F.row_number().over(Window.partitionBy("doc_id").orderBy("place", "chunk")) - 1
-    return every.withColumn("seq", seq).select("doc_id", "seq", "type", "chunk", "text", "percentage", "message")
+        begin += [status([batch, 1, k, 1], F.concat(F.lit("Refining: "), title)), status([batch, 1, k, 2], what)]
+    result = [event([batch, 2, k, 0], "chunk", chunk, F.col("text")), event([batch, 2, k, 1], "chunk_completed", chunk, state=F.col("state")), event([batch, 2, k, 2], "progress", percentage=percent(k + 1))]
+    mine = F.concat(planned, F.when(k < F.col("first"), hydrated).otherwise(F.array(*begin, *result)), F.when(F.col("lead"), of_run).otherwise(none))
+    every = rows.select("doc_id", F.inline(mine))
+    seq = F.row_number().over(of_doc.orderBy("place", "chunk")) - 1
+    return every.withColumn("seq", seq).select("doc_id", "seq", "type", "chunk", "text", "percentage", "state", "message")
 
 
 def prompt(text: Column, terms: Column, context: Column, language: Column) -> Column:

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,3 +36,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         _OWN[app] = tempfile.mkdtemp(prefix="vellumite-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return f"{(root or f'file://{_OWN[app]}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows of a table written below a folder of :func:`shared_folder`, as read back: it replaces the lineage, so what uses it often computes it once."""
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")

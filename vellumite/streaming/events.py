@@ -1,138 +1,11 @@
-"""Translation events: the fold of a run's stream into its blocks, in batch and as a stream.
-
-An event is a row ``(run, seq, ts, type, chunk, text, percentage)``. The fold is one:
-:class:`RunState` takes events in order; the batch form feeds it the sorted events of a
-run, the stream form keeps it as state between micro-batches.
-"""
+"""Tables of updates that a stream writes, frames, stalls, and windows of event time; :mod:`.runs` has the fold of a run's events."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-#: Seconds without an event before a run counts as stalled, and before it is given up.
-STALL, GIVE_UP = 45, 600
-RESULT = "run long, n_events long, n_blocks long, n_completed long, n_chars long, progress double, phase string"
-
-
-@dataclass
-class RunState:
-    """Blocks as [id, text length, state] in order, progress, phase."""
-
-    blocks: list[list] = field(default_factory=list)
-    progress: float = 0.0
-    phase: str = "idle"
-    n_events: int = 0
-
-    def _find(self, chunk: str | None) -> list | None:
-        return next((b for b in self.blocks if b[0] == chunk), None)
-
-    def take(self, kind: str, chunk: str | None, length: int, percentage: float | None, plan: list[str] | None = None) -> None:
-        self.n_events += 1
-        block = self._find(chunk)
-        if kind == "run_started":
-            self.blocks = [[c, 0, "planned"] for c in plan or []]
-            self.phase = "chunking" if self.blocks else "preparing"
-        elif kind == "hydrate_blocks":
-            known = {c: [c, length, "completed"] for c in plan or []}
-            self.blocks = [known.get(b[0], b) for b in self.blocks] if self.blocks else list(known.values())
-            self.phase = "refining"
-        elif kind == "chunk_started":
-            if block and block[2] != "cached":
-                block[2] = "streaming"
-            self.phase = "streaming"
-        elif kind == "chunk":
-            if block is None and chunk is None and self.blocks:
-                block = self.blocks[-1]
-            if block is None:
-                block = [chunk or "streaming-translation", 0, "streaming"]
-                self.blocks.append(block)
-            block[1] += length
-            block[2] = block[2] if block[2] == "cached" else "streaming"
-            self.phase = "streaming"
-        elif kind == "chunk_completed":
-            if block:
-                block[2] = "completed"
-            self.phase = "streaming"
-        elif kind == "progress":
-            self.progress = self.progress if percentage is None else percentage
-        elif kind == "done":
-            self.progress, self.phase = 100.0, "completed"
-        elif kind == "error":
-            self.phase = "error"
-
-    def row(self, run: int) -> dict:
-        done = sum(b[2] in ("completed", "cached") for b in self.blocks)
-        return {"run": run, "n_events": self.n_events, "n_blocks": len(self.blocks), "n_completed": done, "n_chars": sum(b[1] for b in self.blocks), "progress": self.progress, "phase": self.phase}
-
-
-def _apply(state: RunState, events: pd.DataFrame) -> RunState:
-    for e in events.sort_values("seq").itertuples(index=False):
-        chunk = None if pd.isna(e.chunk) else e.chunk
-        state.take(e.type, chunk, 0 if pd.isna(e.text) else len(e.text), None if pd.isna(e.percentage) else float(e.percentage))
-    return state
-
-
-def fold_runs(events: DataFrame) -> DataFrame:
-    """The last state of each run of a finished table of events.
-
-    Everything but the block states is a sum, and a chunk's state is decided by its own events, so the
-    fold is two aggregations that combine before the shuffle; no run is gathered in one task.
-    """
-    e = F.col
-    start = events.where("type = 'run_started'").groupBy("run").agg(F.max("seq").alias("began"))
-    after = events.join(start, "run", "left").where("began is null or seq >= began")
-    block_events = after.where("type in ('chunk', 'chunk_started', 'chunk_completed') and chunk is not null")
-    born = F.min(F.when(e("type") == "chunk", e("seq")))
-    chunks = block_events.groupBy("run", "chunk").agg(
-        F.sum(F.when(e("type") == "chunk", F.length("text")).otherwise(0)).alias("n_chars"), born.alias("born"), F.max(F.when(e("type") == "chunk_completed", e("seq"))).alias("closed"),
-        F.max(F.when(e("type") != "chunk_completed", e("seq"))).alias("touched"),
-    ).where("born is not null")
-    # a completion before the chunk exists does not count, a later piece opens it again
-    done = (e("closed") > e("born")) & (e("closed") > e("touched"))
-    blocks = chunks.groupBy("run").agg(F.count("*").alias("n_blocks"), F.count_if(done).alias("n_completed"), F.sum("n_chars").alias("n_chars"))
-    phases = {"run_started": "preparing", "chunk": "streaming", "chunk_started": "streaming", "chunk_completed": "streaming", "done": "completed", "error": "error", "hydrate_blocks": "refining"}
-    phase = F.element_at(F.create_map(*(F.lit(x) for p in phases.items() for x in p)), e("type"))
-    percent = F.when(e("type") == "done", 100.0).when(e("type") == "progress", e("percentage"))
-    runs = events.groupBy("run").agg(F.count("*").alias("n_events"), F.max_by(percent, F.when(percent.isNotNull(), e("seq"))).alias("progress"), F.max_by(phase, F.when(phase.isNotNull(), e("seq"))).alias("phase"))
-    out = runs.join(blocks, "run", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select("run", "n_events", zero("n_blocks"), zero("n_completed"), zero("n_chars"), F.coalesce("progress", F.lit(0.0)).alias("progress"), F.coalesce("phase", F.lit("idle")).alias("phase"))
-
-
-def fold_stream(events: DataFrame, give_up: int | None = GIVE_UP) -> DataFrame:
-    """The same fold over a stream: an update of each run that got events, and an error when one falls silent.
-
-    Events of a run come in order, one file or offset after another; within a micro-batch they are
-    sorted by ``seq``. ``give_up`` is in seconds of processing time; None waits for ever, which a stream
-    that ends with its input needs.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            held = json.loads(group.get[0])
-            group.remove()
-            state = RunState(**held)
-            if state.phase not in ("completed", "error"):
-                state.phase = "error"
-                yield pd.DataFrame([state.row(key[0])])
-            return
-        state = RunState(**json.loads(group.get[0])) if group.exists else RunState()
-        state = _apply(state, pd.concat(list(batches)))
-        group.update((json.dumps(asdict(state)),))
-        if give_up is not None:
-            group.setTimeoutDuration(give_up * 1000)
-        yield pd.DataFrame([state.row(key[0])])
-
-    timeout = GroupStateTimeout.NoTimeout if give_up is None else GroupStateTimeout.ProcessingTimeTimeout
-    return events.groupBy("run").applyInPandasWithState(step, RESULT, "state string", "update", timeout)
 
+from .runs import STALL
 
 def write_updates(updates: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Writes the rows of each micro-batch into a folder of its own, so that a batch that is repeated replaces itself; the started query."""
@@ -149,11 +22,6 @@ def latest_updates(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(key, "v.*")
 
 
-def fold_in_order(events: DataFrame) -> DataFrame:
-    """The sequential fold of each run in one Python group; for runs of a size that fits a task, and for tests."""
-    return events.groupBy("run").applyInPandas(lambda key, rows: pd.DataFrame([_apply(RunState(), rows).row(key[0])]), RESULT)
-
-
 def stalls(events: DataFrame, seconds: int = STALL) -> DataFrame:
     """``(run, seq, ts, gap)`` of events that come more than ``seconds`` after the one before."""
     seconds_of = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
