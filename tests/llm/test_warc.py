@@ -2,7 +2,10 @@ import base64
 import hashlib
 from collections import Counter
 
-from vellumite.llm.warc import archive_round_trip, full_payloads, read_records, write_archive
+import pytest
+from pyspark.sql import functions as F
+
+from vellumite.llm.warc import archive_round_trip, full_payloads, read_facts, read_records, write_archive
 
 SCHEMA = "page_id long, url string, html string, id string, payload string, address string"
 ROWS = [
@@ -76,3 +79,17 @@ def test_broken_archive_is_an_error(spark, tmp_path):
     spark.createDataFrame(wrong, "address binary, payload binary").write.mode("overwrite").parquet(f"{root}/payloads")
     with pytest.raises(Exception, match="differs from its address"):
         read_records(spark, root).collect()
+
+
+@pytest.mark.parametrize("kind", ["response", "revisit"])
+@pytest.mark.parametrize(("old", "new"), [(r"\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: \d+", "\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: 999999"), (r"(?s)(utf-8\r\nContent-Length: \d+)", "$10"), (r"\r\nContent-Length: \d+\r\n\r\nHTTP", "\r\n\r\nHTTP")])
+def test_another_length_is_an_error(spark, tmp_path, kind, old, new):
+    """Too long, too short or none, of the block or of the HTTP entity, in records of either kind."""
+    write_archive(spark.createDataFrame([(1, "u", "same"), (2, "u", "same")], "page_id long, url string, html string"), f"{tmp_path}/a")
+    heads = spark.read.parquet(f"{tmp_path}/a/headers").withColumn("header", F.col("header").cast("string"))
+    changed = F.when(F.col("header").contains(f"WARC-Type: {kind}"), F.regexp_replace("header", old, new)).otherwise(F.col("header"))
+    heads.select("address", changed.cast("binary").alias("header")).write.parquet(f"{tmp_path}/b/headers")
+    spark.read.parquet(f"{tmp_path}/a/payloads").write.parquet(f"{tmp_path}/b/payloads")
+    assert len(read_facts(spark, f"{tmp_path}/a").collect()) == 2
+    with pytest.raises(Exception, match="another digest or length"):
+        read_facts(spark, f"{tmp_path}/b").collect()

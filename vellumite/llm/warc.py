@@ -82,15 +82,25 @@ def _verified(spark: SparkSession, root: str) -> DataFrame:
     return payloads.select("address", F.when(sound, F.col("payload")).otherwise(broken).alias("payload"))
 
 
+def _head() -> Column:
+    """The lines before the block."""
+    return F.substring_index(F.col("header").cast("string"), _CRLF * 2, 1)
+
+
+def _http() -> Column:
+    """The lines that begin the block."""
+    return F.split(F.col("header").cast("string"), _CRLF * 2, 2)[1]
+
+
 def _field(name: str) -> Column:
-    head = F.substring_index(F.col("header").cast("string"), _CRLF * 2, 1)
-    return F.nullif(F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(_head(), rf"\r\n{name}: ([^\r\n]*)", 1), F.lit(""))
 
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
-    """``(record_type, record_id, target_uri, refers_to, declared_digest, declared_length, address, payload, header_bytes, record)``.
+    """``(record_type, record_id, target_uri, refers_to, declared_digest, declared_length, address, payload, header_bytes, block_at, http_length, record)``.
 
-    ``record`` is the bytes of the original WARC record: the exact header (``header_bytes`` long) and, of a response, its payload,
+    ``record`` is the bytes of the original WARC record, whose block begins at the byte ``block_at`` and declares an entity of
+    ``http_length``: the exact header (``header_bytes`` long, the block's HTTP header included) and, of a response, its payload,
     which a join on the address brings. A revisit's record has no payload of its own, so ``payload`` is null
     there and no payload is copied to its revisits; :func:`full_payloads` attaches it.
     """
@@ -100,6 +110,7 @@ def read_records(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(
         F.col("kind").alias("record_type"), _field("WARC-Record-ID").alias("record_id"), _field("WARC-Target-URI").alias("target_uri"), _field("WARC-Refers-To").alias("refers_to"),
         _field("WARC-Payload-Digest").alias("declared_digest"), _field("Content-Length").cast("long").alias("declared_length"), "address", "payload", F.octet_length("header").alias("header_bytes"),
+        (F.octet_length(_head()) + 4).alias("block_at"), F.nullif(F.regexp_extract(_http(), r"\r\nContent-Length: (\d+)\r\n", 1), F.lit("")).cast("long").alias("http_length"),
         F.concat("header", F.coalesce("payload", F.lit(b"")), F.lit((_CRLF * 2).encode())).alias("record"),
     )
 
@@ -114,21 +125,19 @@ def read_facts(spark: SparkSession, root: str, id_col: str = "page_id", id_type:
     """``(id, payload_bytes, payload_digest, record_type, refers_to)`` of each record put together by :func:`read_records`.
 
     Length and digest are computed from the record's own bytes; a revisit gets those of the response of its
-    address. A header that declares another digest or length is an error.
+    address. It is an error if a record declares another digest, a ``Content-Length`` other than the bytes of its
+    block, of either kind, or an HTTP length other than the payload's.
     """
     records = read_records(spark, root)
     own = F.when(F.col("record_type") == "response", F.expr("substring(record, header_bytes + 1, octet_length(record) - header_bytes - 4)"))
-    said = F.col("declared_digest")
-    rows = records.select("address", "record_type", "record_id", "refers_to", said.alias("said"), "declared_length", own.alias("body"))
-    rows = rows.select(
-        "address", "record_type", "record_id", "refers_to", "said", F.octet_length("body").cast("long").alias("n"), base32_sha1(F.col("body")).alias("digest"),
-        (F.octet_length("body") <= F.col("declared_length")).alias("fits"),
-    )
+    block = F.octet_length("record") - F.col("block_at") - 4
+    rows = records.select("address", "record_type", "record_id", "refers_to", F.col("declared_digest").alias("said"), "http_length", (block == F.col("declared_length")).alias("fits"), own.alias("body"))
+    rows = rows.select("address", "record_type", "record_id", "refers_to", "said", "http_length", "fits", F.octet_length("body").cast("long").alias("n"), base32_sha1(F.col("body")).alias("digest"))
     facts = Workspace(spark, "warc-facts").table(rows, "facts")
-    stored = facts.where("record_type = 'response'").groupBy("address").agg(F.max("n").alias("payload_bytes"), F.max("digest").alias("payload_digest"), F.bool_and("fits").alias("sound"))
-    met = facts.select("address", "record_type", "record_id", "refers_to", "said").join(stored, "address")
+    stored = facts.where("record_type = 'response'").groupBy("address").agg(F.max("n").alias("payload_bytes"), F.max("digest").alias("payload_digest"))
+    met = facts.select("address", "record_type", "record_id", "refers_to", "said", "http_length", "fits").join(stored, "address")
     name = lambda c: F.url_decode(F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit(""))).cast(id_type)
-    sound = F.col("sound") & (F.col("said") == F.concat(F.lit("sha1:"), "payload_digest"))
+    sound = F.coalesce(F.col("fits") & (F.col("http_length") == F.col("payload_bytes")) & (F.col("said") == F.concat(F.lit("sha1:"), "payload_digest")), F.lit(False))
     return met.select(
         name(F.col("record_id")).alias(id_col), "payload_bytes", F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header declares another digest or length"))).alias("payload_digest"),
         "record_type", name(F.col("refers_to")).alias("refers_to"),
