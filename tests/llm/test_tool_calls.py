@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from vellumite.llm.tool_calls import canonical, link_tool_calls, violations
+from vellumite.llm.tool_calls import canonical, check_schema, link_tool_calls, violations
 
 SCHEMA = "conv_id long, turn long, role string, text string, id string, key string, level int, idx int"
 
@@ -126,3 +126,24 @@ def test_more_keywords(schema, good, bad):
 def test_unknown_keywords_raise(spark, schema):
     with pytest.raises(ValueError, match="not supported"):
         link_tool_calls(spark.createDataFrame([], SCHEMA), {"t": schema})
+
+
+def test_arguments_that_are_hard_to_read(spark):
+    """Half a surrogate pair, numbers of 400 digits and beyond a double, deep nesting: rows like all others."""
+    tools = {"f": {"type": "object", "properties": {"x": {"type": "integer", "multipleOf": 3}, "y": {"type": "number", "multipleOf": 0.01}}, "additionalProperties": {"type": "string", "maxLength": 1}}}
+    arguments = [
+        '{"s":"\\ud800"}', '{"\\udc00":"long"}', '{"x":' + "3" * 400 + "}", '{"x":' + "3" * 399 + "4}", '{"x":' + "3" * 5000 + "}", '{"y":1e40}', '{"y":1e999}', '{"y":-1e400,"x":1e40}', '{"y":0.07}', '{"y":0.075}',
+        '{"z":' + "[" * 200_000 + "]" * 200_000 + "}", "[" * 200_000, '{"x":1.0}', '{"x":NaN}',
+    ]
+    rows = [(k, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": a}]})) for k, a in enumerate(arguments)]
+    found = {r.conv_id: r for r in link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    assert len(found) == len(rows)
+    assert [len(found[k].violations) for k in range(len(rows))] == [0, 1, 0, 1, 1, 0, 1, 2, 0, 1, 1, 1, 1, 1]
+    assert json.loads(found[0].json)["arguments"] == {"s": "\ud800"} and json.loads(found[2].json)["arguments"]["x"] == int("3" * 400)
+    assert json.loads(found[10].json)["arguments"] == arguments[10] and found[1].violations == ["$.\\udc00: maxLength"]
+
+
+@pytest.mark.parametrize("schema", [{"multipleOf": 0}, {"multipleOf": -1}, {"minimum": "1"}, {"maximum": float("inf")}, {"minLength": None}])
+def test_bounds_that_make_no_sense(schema):
+    with pytest.raises(ValueError):
+        check_schema(schema)

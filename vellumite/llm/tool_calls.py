@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import json
 import math
-from decimal import Decimal
+import re
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,8 +33,16 @@ SCHEMAS = 4 << 20
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
+#: Half a surrogate pair, which UTF-8 cannot hold.
+_HALF = re.compile("[\ud800-\udfff]")
+
+
+def _encodable(text: str) -> str:
+    return _HALF.sub(lambda c: f"\\u{ord(c.group()):04x}", text)
+
+
 def canonical(value) -> str:
-    """JSON with sorted keys, no blanks and no needless escapes; whole floats as whole numbers."""
+    """JSON with sorted keys, no blanks and no needless escapes; whole floats as whole numbers, half a surrogate pair as its escape."""
 
     def plain(x):
         if isinstance(x, float):
@@ -44,7 +53,7 @@ def canonical(value) -> str:
             return {str(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _encodable(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
 
 
 #: Keywords that :func:`violations` checks, and those that say nothing about a value.
@@ -65,8 +74,10 @@ def check_schema(schema, at: str = "$") -> None:
     for kind in [kinds] if isinstance(kinds, str) else kinds:
         if kind not in _TYPES and kind not in ("integer", "number"):
             raise ValueError(f"{at}: the type {kind!r} is not supported")
-    if any(isinstance(schema.get(k), bool) for k in _BOUNDS):
+    if any(k in schema and (isinstance(schema[k], bool) or not isinstance(schema[k], int | float) or not math.isfinite(schema[k])) for k in _BOUNDS):
         raise ValueError(f"{at}: bounds must be numbers")
+    if schema.get("multipleOf", 1) <= 0:
+        raise ValueError(f"{at}: multipleOf must be above 0")
     for k in ("additionalProperties", "items", "not"):
         if k in schema:
             check_schema(schema[k], f"{at}.{k}")
@@ -78,7 +89,21 @@ def check_schema(schema, at: str = "$") -> None:
 
 
 def _multiple(value, of) -> bool:
-    return Decimal(str(value)) % Decimal(str(of)) == 0
+    """By the decimals as they are written; infinity, which Python reads from large numbers, is a multiple of nothing."""
+    exact = lambda x: Fraction(x) if isinstance(x, int) else Fraction(str(x))
+    return (isinstance(value, int) or math.isfinite(value)) and exact(value) % exact(of) == 0
+
+
+def _arguments(text: str | None) -> tuple[object, bool]:
+    """The arguments of a call, and whether they are a JSON object; what nests too deeply to be read is none."""
+    if text is None:
+        return {}, True
+    try:
+        value = json.loads(text)
+        canonical(value)
+        return value, isinstance(value, dict)
+    except (ValueError, RecursionError):  # numbers of more digits than Python reads are a ValueError too
+        return text, False
 
 
 def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
@@ -92,7 +117,7 @@ def violations(value, schema: dict | bool, at: str = "$") -> list[str]:
     def fits(kind: str) -> bool:
         number = isinstance(value, int | float) and not isinstance(value, bool)
         if kind == "integer":
-            return number and float(value).is_integer()
+            return number and (isinstance(value, int) or value.is_integer())
         return number if kind == "number" else isinstance(value, _TYPES.get(kind, object))
 
     if kinds and not any(map(fits, kinds)):
@@ -183,7 +208,8 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
     without an id is unanswered. What an assistant's JSON says beside its calls is a message of its own, with
     ``idx`` -1, before them; an empty list of calls makes a message of the whole text. Texts that are no such JSON are messages, a null text has content null,
     arguments that are no JSON object are a violation and kept as a string. A null conversation or turn
-    makes a message; rows of a repeated turn are kept, in the order of their texts.
+    makes a message; rows of a repeated turn are kept, in the order of their texts' hashes. Numbers of any size, half
+    surrogate pairs and deep nesting are no errors: what Python cannot read as JSON is kept as a string and is a violation.
     """
     schemas = tools or {}
     if len(json.dumps(schemas)) > SCHEMAS:
@@ -228,18 +254,15 @@ def link_tool_calls(messages: DataFrame, tools: dict[str, dict] | None = None, c
                 elif r["kind"] == "beside":
                     try:
                         value = {"role": r["role"]} | {k: v for k, v in json.loads(r["content"], strict=False).items() if k != "tool_calls"}
-                    except ValueError:  # Spark reads some texts that are not quite JSON
+                        canonical(value)
+                    except (ValueError, RecursionError):  # Spark reads some texts that are not quite JSON, or nest deeper
                         value = {"role": r["role"], "content": r["content"]}
                 elif r["kind"] == "result":
                     value = {"role": "tool", "tool_call_id": r["call_id"], "content": r["content"]}
                 else:
-                    try:
-                        arguments = json.loads(r["arguments"]) if r["arguments"] is not None else {}
-                        sound = isinstance(arguments, dict)
-                    except ValueError:
-                        arguments, sound = r["arguments"], False
+                    arguments, sound = _arguments(r["arguments"])
                     if r["name"] in schemas:
-                        found = violations(arguments, schemas[r["name"]]) if sound else ["$: not an object"]
+                        found = [*map(_encodable, violations(arguments, schemas[r["name"]]))] if sound else ["$: not an object"]
                     value = {"id": r["call_id"], "name": r["name"], "arguments": arguments}
                     if r["status"] == "linked":
                         value["result"] = r["content"]
