@@ -1,8 +1,12 @@
+import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
+from vellumite.llm import toxicity as scorer
 from vellumite.llm.toxicity import Lexicon, fit, fold, toxicity
 
 from . import messy
@@ -67,3 +71,32 @@ def test_messy_rows(spark):
         assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
         assert all(0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert toxicity(spark.createDataFrame([], messy.SCHEMA), some).collect() == []
+
+
+def test_long_runs_of_marks_and_many_hits():
+    """Runs of 10^6 marks are read once; 10^5 hits and as many exceptions meet by their places."""
+    lexicon = Lexicon({"bad": 1.0, "dumb": 2.0}, {"not bad"}, (-1.0, 1.0, 0.0, 0.0))
+    for mark in "$+|@!":
+        began = time.time()
+        lexicon.features(mark * 1_000_000 + "a " + mark * 1_000_000 + " x" + f"a{mark}" * 300_000)
+        assert time.time() - began < 5
+    began = time.time()
+    folded = fold("not bad bad dumb " * 50_000)
+    assert len(lexicon.hits(folded)) == 100_000 and time.time() - began < 5
+
+
+def test_marks_and_exceptions_as_read_one_by_one():
+    marks = re.compile(r"[!|+$@]+(?=\s|[.,;:?!\"')\]]|\Z)")
+    rng = random.Random(3)
+    lexicon = Lexicon({"ab": 1.0, "b": 2.0, "ca": 1.5}, {"a b", "ca ab", "b"}, (0.0, 1.0, 0.0, 0.0))
+    for _ in range(3000):
+        text = "".join(rng.choice("ab!$+ .)c") for _ in range(rng.randrange(14)))
+        assert fold(text) == f" {marks.sub(' ', text).lower().translate(scorer._FOLD)} "
+        folded, spared, found = fold(text), [], {}
+        for end, (length, weight, exception) in lexicon.machine().iter(folded):
+            if exception:
+                spared.append((end - length, end))
+            elif end - length + 1 not in found or weight > found[end - length + 1][1]:
+                found[end - length + 1] = (end + 1, weight)
+        want = sorted((s, e, w) for s, (e, w) in found.items() if not any(a <= s and e <= b + 1 for a, b in spared))
+        assert sorted(lexicon.hits(folded)) == want

@@ -10,6 +10,8 @@ documents labelled clean are exceptions, as are phrases that the caller names.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -54,12 +56,21 @@ def _table() -> dict[int, str | None]:
 
 _FOLD = _table()
 #: Marks at the end of a word are marks, whatever letter they may stand for.
-_END_MARKS = re.compile(r"[!|+$@]+(?=\s|[.,;:?!\"')\]]|\Z)")
+_MARKS, _AFTER = re.compile(r"[!|+$@]++"), re.compile(r"\s|[.,;:?\"')\]]|\Z")
+
+
+def _end_marks(run: re.Match) -> str:
+    """A run of marks, each read once: all of them go at a word's end, else those before the last ``!``."""
+    marks = run.group()
+    if _AFTER.match(run.string, run.end()):
+        return " "
+    cut = marks.rfind("!")
+    return f" {marks[cut:]}" if cut > 0 else marks
 
 
 def fold(text: str) -> str:
     """The text in folded letters, words separated by blanks and a blank at either end."""
-    return f" {_END_MARKS.sub(' ', text).lower().translate(_FOLD)} "
+    return f" {_MARKS.sub(_end_marks, text).lower().translate(_FOLD)} "
 
 
 @dataclass
@@ -104,7 +115,10 @@ class Lexicon:
                 if start not in found or weight > found[start][1]:
                     found[start] = (end + 1, weight)
         if spared:
-            found = {s: x for s, x in found.items() if not any(a <= s and x[0] <= b + 1 for a, b in spared)}
+            begins = [a for a, _ in sorted(spared)]
+            reach = list(itertools.accumulate((b for _, b in sorted(spared)), max))  # the furthest end of the exceptions so far
+            furthest = lambda s: reach[k - 1] if (k := bisect.bisect_right(begins, s)) else -1
+            found = {s: x for s, x in found.items() if x[0] > furthest(s) + 1}
         return [(s, e, w) for s, (e, w) in found.items()]
 
     def features(self, text: str) -> tuple[float, float, float]:
