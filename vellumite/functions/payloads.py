@@ -83,8 +83,12 @@ def stream_unsupported(status: Column, message: Column) -> Column:
 
 
 def heading_gap(piece: Column) -> Column:
-    """A blank line before headings within a piece of a stream."""
-    return F.regexp_replace(piece, rf"([^\n]){P.S}*(#{{1,6}}{P.S})", "$1\n\n$2")
+    """A blank line before headings within a piece of a stream, in place of the blanks after the character before.
+
+    Blanks are read once, from that character; where there is none, or it was taken with the heading before, the first of them is kept.
+    """
+    first = rf"\G(\n*+[{P.WS}&&[^\n]])|([^{P.WS}])"
+    return F.regexp_replace(piece, rf"(?:{first}){P.S}*+(#{{1,6}}{P.S})", "$1$2\n\n$3")
 
 
 def natural_key(name: Column) -> Column:

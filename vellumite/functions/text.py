@@ -45,8 +45,8 @@ def squeeze(text: Column) -> Column:
 
 
 def dehyphenate(text: Column) -> Column:
-    """Joins a word that a line end divides after a hyphen."""
-    return F.regexp_replace(text, rf"([A-Za-z0-9_]+)-{P.S}*\n{P.S}*([A-Za-z0-9_]+)", "$1$2")
+    """Joins a word that a line end divides after a hyphen. A word is read from its beginning alone, blanks up to the first line end."""
+    return F.regexp_replace(text, rf"(?<![A-Za-z0-9_])([A-Za-z0-9_]++)-[{P.WS}&&[^\n]]*+\n{P.S}*+([A-Za-z0-9_]+)", "$1$2")
 
 
 def heading_spacing(text: Column) -> Column:
@@ -55,8 +55,9 @@ def heading_spacing(text: Column) -> Column:
 
 def list_spacing(text: Column) -> Column:
     """A space behind list markers at line starts; bold text and decimals are markers to it as well."""
-    bullets = F.regexp_replace(text, rf"(?m)^({P.S}*[-*+])({P.NS})", "$1 $2")
-    return F.regexp_replace(bullets, rf"(?m)^({P.S}*\d+[.)])({P.NS})", "$1 $2")
+    indent = rf"[{P.WS}&&[^\n\r\u2028\u2029]]*+"  # lines before a marker's own need not be read again
+    bullets = F.regexp_replace(text, rf"(?m)^({indent}[-*+])({P.NS})", "$1 $2")
+    return F.regexp_replace(bullets, rf"(?m)^({indent}\d++[.)])({P.NS})", "$1 $2")
 
 
 def collapse_blank_lines(text: Column) -> Column:
@@ -71,7 +72,7 @@ def join_lines(text: Column) -> Column:
 
 def chinese_spacing(text: Column) -> Column:
     """Drops blanks between Han characters, CJK punctuation and brackets."""
-    steps = [(f"({HAN}){_INLINE}({HAN})", "$1$2"), (f"({HAN}){_INLINE}([{_CLOSE}])", "$1$2"), (f"([{_OPEN}]){_INLINE}({HAN})", "$1$2"), (f"({HAN}){_INLINE}([{_OPEN}])", "$1$2"), (f"([{_CLOSE}]){_INLINE}({HAN})", "$1$2"), (f"{_INLINE}([，。！？；：、])", "$1")]
+    steps = [(f"({HAN}){_INLINE}({HAN})", "$1$2"), (f"({HAN}){_INLINE}([{_CLOSE}])", "$1$2"), (f"([{_OPEN}]){_INLINE}({HAN})", "$1$2"), (f"({HAN}){_INLINE}([{_OPEN}])", "$1$2"), (f"([{_CLOSE}]){_INLINE}({HAN})", "$1$2"), (f"(?<![ \t\u00a0]){_INLINE}+([，。！？；：、])", "$1")]
     return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
 
 
