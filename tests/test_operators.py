@@ -222,3 +222,20 @@ def test_services():
     stub, told = S.StubParser(3), []
     states = S.parsed(stub, {"x.pdf": b"1", "bad.pdf": b"2"}, sleep=slept.append, told=told.append)
     assert [s["state"] for s in states] == ["done", "failed"] and len(told) == 3 and stub.sent == {"put://x.pdf": b"1", "put://bad.pdf": b"2"}
+
+
+def test_terms_of_each_chunk(spark):
+    """Given terms anywhere and first, stored ones at word boundaries; a chunk is translated with its own alone."""
+    df = spark.createDataFrame([(1, "# A\nthe bert model is small\n# B\nembeddings of berth and BERT\n# References\nbert")], "doc_id long, text string")
+    stored = spark.createDataFrame([(0, "bert", "B-Modell", "name"), (1, "small", "klein", None), (2, "bed", "Bett", None)], "place int, source string, target string, category string")
+    given = spark.createDataFrame([(0, "bed", "Einbett", "own"), (1, "Bert", "b-modell", "own"), (2, "xyz", "nie", None)], "place int, source string, target string, category string")
+    found = {r.chunk_idx: [(t.source, t.target) for t in r.terms] for r in glossary.chunk_terms(sections.chunks(df), stored, given).collect()}
+    assert found == {0: [("Bert", "b-modell"), ("small", "klein")], 1: [("bed", "Einbett"), ("Bert", "b-modell")], 2: [("Bert", "b-modell")]}
+
+    class Seen(translation.Stub):
+        def translate(self, text, context, language):
+            return text
+
+    only_small = spark.createDataFrame([(1, 0, [("small", "KLEIN", "name")])], "doc_id long, chunk_idx int, terms array<struct<source:string,target:string,category:string>>")
+    texts = [r.text for r in translation.translate(df, Seen(), "German", only_small).orderBy("chunk_idx").collect()]
+    assert "KLEIN" in texts[0] and texts[1].startswith("# B\nembeddings of berth and BERT")

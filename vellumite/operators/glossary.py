@@ -82,6 +82,26 @@ def contained_terms(texts: DataFrame, terms: DataFrame, id_col: str = "doc_id",
     return tested.select(id_col, "t.source", "t.target")
 
 
+def chunk_terms(chunks: DataFrame, stored: DataFrame, given: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_idx"), text_col: str = "content") -> DataFrame:
+    """``(keys, terms)`` of each chunk that has any: ``array<struct<source, target, category>>`` in the order of precedence.
+
+    Given terms count wherever a chunk contains them and come first, stored ones at word boundaries; of a (source, target)
+    in any case the first stays. Both tables are ``(place, source, target, category)``, in the order of ``place``. What is
+    gathered are the terms of one chunk.
+    """
+    texts = chunks.select(*keys, F.concat_ws(":", *keys).alias("_id"), F.col(text_col).alias("_text"))
+    found = None
+    for rank, (terms, match) in enumerate(((given, contained_terms), (stored, match_terms))):
+        once = terms.groupBy("source", "target").agg(F.min("place").alias("place"), F.min_by("category", "place").alias("category"))
+        met = match(texts.select("_id", "_text"), once, "_id", "_text").join(once, ["source", "target"])
+        met = met.select("_id", F.struct(F.lit(rank).alias("rank"), F.col("place").cast("string").alias("place"), "source", "target", "category").alias("t"))
+        found = met if found is None else found.unionByName(met)
+    firsts = found.groupBy("_id", F.lower("t.source").alias("_s"), F.lower("t.target").alias("_t")).agg(F.min("t").alias("t"))
+    term = lambda t: F.struct(t["source"].alias("source"), t["target"].alias("target"), t["category"].alias("category"))
+    held = firsts.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list("t")), term).alias("terms"))
+    return texts.select(*keys, "_id").join(held, "_id").drop("_id")
+
+
 def first_wins(terms: DataFrame, order: list[Column]) -> DataFrame:
     """One row of each (source, target) in any case, the first by ``order``."""
     key = F.concat_ws("::", F.lower("source"), F.lower("target"))

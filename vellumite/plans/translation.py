@@ -60,20 +60,24 @@ def translated_expression(text: Column, language: Column) -> Column:
     return X.typography(F.translate(text, string.ascii_lowercase, string.ascii_uppercase), language)
 
 
-def translate(docs: DataFrame, translator: Translator, language: str, terms: list[G.Term] = (), done: DataFrame | None = None, most: int = sections.CHUNK, lanes: int = 1) -> DataFrame:
+def translate(docs: DataFrame, translator: Translator, language: str, terms: list[G.Term] | DataFrame = (), done: DataFrame | None = None, most: int = sections.CHUNK, lanes: int = 1) -> DataFrame:
     """``(doc_id, chunk_idx, chunk_id, kind, title, state, text)`` of every chunk of ``(doc_id, text)``.
 
     References stay as they are. Chunks in ``done`` (doc_id, chunk_idx, text) are cached: they are not
     sent again. Documents run in parallel, the chunks of one in order, since each sees the tail of the
-    one before; terms (a list that the caller bounds) are locked before and corrected after. With several
+    one before; terms are locked before and corrected after: a list that the caller bounds for every chunk, or a table
+    ``(doc_id, chunk_idx, terms)`` with those of each chunk, as :func:`..operators.glossary.chunk_terms` finds them. With several
     ``lanes`` the chunks of a batch all see the last one of the batch before.
     """
     plan = sections.chunks(docs, most=most)
     have = done.select("doc_id", "chunk_idx", F.col("text").alias("cached")) if done is not None else None
     rows = plan.join(have, ["doc_id", "chunk_idx"], "left") if have is not None else plan.withColumn("cached", F.lit(None).cast("string"))
-    kept = list(terms)
+    by_chunk = isinstance(terms, DataFrame)
+    everywhere = [] if by_chunk else list(terms)
+    none = F.lit(None).cast("array<struct<source:string,target:string,category:string>>")
+    rows = rows.join(terms.select("doc_id", "chunk_idx", "terms"), ["doc_id", "chunk_idx"], "left") if by_chunk else rows.withColumn("terms", none)
 
-    def one(text: str, kind: str, context: str) -> str:
+    def one(text: str, kind: str, context: str, kept: list[G.Term]) -> str:
         if kind == "references":
             return text
         masked = G.mask(text)
@@ -89,12 +93,12 @@ def translate(docs: DataFrame, translator: Translator, language: str, terms: lis
             cached = not pd.isna(r.cached)
             if cached or (k - begun) % lanes == 0:
                 context, begun = (texts[-1] if texts else ""), k + cached
-            texts.append(r.cached if cached else one(r.content, r.kind, context[-CONTEXT:]))
+            texts.append(r.cached if cached else one(r.content, r.kind, context[-CONTEXT:], everywhere + [(t["source"], t["target"], t["category"]) for t in (r.terms if r.terms is not None else [])]))
             states.append("cached" if cached else "completed")
         return rows[["doc_id", "chunk_idx", "chunk_id", "kind", "title"]].assign(state=states, text=texts)
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunk_idx int, chunk_id string, kind string, title string, state string, text string"
-    out = rows.select("doc_id", "chunk_idx", "chunk_id", "kind", "title", "content", "cached").groupBy("doc_id").applyInPandas(run, schema)
+    out = rows.select("doc_id", "chunk_idx", "chunk_id", "kind", "title", "content", "cached", "terms").groupBy("doc_id").applyInPandas(run, schema)
     return out.withColumn("text", X.typography(F.col("text"), F.lit(language)))
 
 
