@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import payloads as Y
 from ..functions import text as X
 from ..operators import annotations, glossary, polish, records, sections, semantics
-from ..session import shared_folder
-from ..sources import artifacts
+from ..session import shared_folder, written
+from ..sources import archives, artifacts
 from ..streaming import events as E
 from ..streaming import runs
 from . import translation
@@ -497,3 +497,52 @@ def win_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(win_closed, "SELECT * FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+
+
+# ---- archives of parsed documents ----------------------------------------------------------------------------------------
+
+
+def _zipped(root: str):
+    """Writes a parser's result of each document as an archive of its own below ``root``; some lack Markdown, some are cut off."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            paths = []
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    if doc_id % 5:
+                        z.writestr("doc/full.md" if doc_id % 2 else "full.md", f"![a figure](images/{doc_id}.png)\n\n{text or ''}")
+                    z.writestr("doc/notes/readme.txt", "no Markdown")
+                    z.writestr("__MACOSX/full.md", "of the system")
+                    z.writestr("doc/layout.json" if doc_id % 3 else "doc/auto/layout.json", "{}")
+                content = raw.getvalue()
+                path = f"{folder}/{doc_id}.zip"
+                with store.open_output_stream(path) as out:
+                    out.write(content[: len(content) // 2] if doc_id % 7 == 0 else content)
+                paths.append(f"{root}/{doc_id}.zip")
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(paths, pa.string())], names=["doc_id", "archive"])
+
+    return run
+
+
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From archives to cache entries: each document as a parser's result, unpacked, its images addressed, its primary Markdown read."""
+    root = shared_folder(spark, "parsed")
+    made = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(_zipped(f"{root}/zip"), "doc_id long, archive string")
+    out = archives.entries(written(made, root, "archives"))
+    return out.select("doc_id", "state", "error", "path", F.when(~F.col("markdown").rlike(r"[\\$]"), F.md5("markdown")).alias("digest"), "layout")
+
+
+_add(archive_entries, r"""WITH d AS (SELECT doc_id, doc_id % 7 = 0 AS cut, doc_id % 5 = 0 AS bare, CASE WHEN doc_id % 2 = 1 THEN 'doc/' ELSE '' END AS folder, coalesce(text, '') AS text FROM documents),
+ m AS (SELECT *, '![a figure](/api/media/' || doc_id || '/' || folder || 'images/' || doc_id || '.png)' || chr(10) || chr(10) || text AS md FROM d)
+SELECT doc_id, CASE WHEN cut OR bare THEN 'failed' ELSE 'done' END AS state, CASE WHEN cut THEN 'Result processing failed' WHEN bare THEN 'No markdown file found in ZIP' END AS error, CASE WHEN NOT cut AND NOT bare THEN folder || 'full.md' END AS path,
+ CASE WHEN NOT cut AND NOT bare AND NOT regexp_matches(md, '[\\$]') THEN md5(md) END AS digest, CASE WHEN NOT cut THEN '/api/media/' || doc_id || CASE WHEN doc_id % 3 <> 0 THEN '/doc/layout.json' ELSE '/doc/auto/layout.json' END END AS layout FROM m""")
