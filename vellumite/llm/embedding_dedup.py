@@ -3,9 +3,9 @@
 Vectors of one label and dimension get centroids of their own, fitted on a sample, and go
 to the cell of the nearest one. Two unit vectors with a cosine of t or more that lie on
 different sides of a plane through the origin are each at most ``sqrt(1 - t t)`` away from
-it. A vector is therefore also shown, as a guest, to every cell whose border with its own
-is that near, and each vector meets all its neighbours in its own cell: no link is lost,
-whatever the centroids are. There are about ``sqrt(n) / 8`` cells to n vectors, so the rows
+it. A vector is therefore also shown, as a guest, to every cell of a lesser number whose border
+with its own is that near: a pair meets in one cell, that of the lesser number, where one of the two is at home,
+and no link is lost, whatever the centroids are. There are about ``sqrt(n) / 8`` cells to n vectors, so the rows
 placed and the products both grow slower than the square. Cells are compared in blocks, so
 a large cell is many tasks. Equal vectors count as one with a multiplicity.
 """
@@ -35,7 +35,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     rng = np.random.default_rng(seed)
     centroids = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        home = np.argmax(x @ centroids.T, 1)
+        home = np.concatenate([np.argmax(x[i : i + PLACED] @ centroids.T, 1) for i in range(0, len(x), PLACED)])
         total = np.zeros_like(centroids)
         np.add.at(total, home, x)
         size = np.linalg.norm(total, axis=1)
@@ -84,7 +84,7 @@ def _fitted(label_kind: pa.DataType):
 
 
 def _placed(reach: float):
-    """The vectors of a group in their own cells and, as guests, in those whose border is near."""
+    """The vectors of a group in their own cells and, as guests, in those of lesser numbers whose border is near."""
 
     def run(some: pa.Table, model: pa.Table) -> pa.Table:
         some = some.combine_chunks()
@@ -96,7 +96,7 @@ def _placed(reach: float):
         near = _matrix(some["vec"], dim) @ centroids.T
         best = np.argmax(near, 1)
         apart = np.sqrt(np.maximum(0, 2 - 2 * centroids @ centroids.T))
-        row, cell = np.nonzero(near[np.arange(len(near)), best][:, None] - near <= (reach + 1e-9) * apart[best] + 1e-12)
+        row, cell = np.nonzero((near[np.arange(len(near)), best][:, None] - near <= (reach + 1e-9) * apart[best] + 1e-12) & (np.arange(len(centroids)) <= best[:, None]))
         out = some.select(names).take(pa.array(row))
         return out.append_column("cell", pa.array(cell.astype(np.int32))).append_column("home", pa.array(cell == best[row]))
 
@@ -129,6 +129,7 @@ def _compared(threshold: float):
         ids, cls, copies = ids[order], cls[order], copies[order]
         x = _matrix(table["vec"], dim)[order]
         left, right = (np.flatnonzero(table[c].to_numpy(zero_copy_only=False)[order]) for c in ("is_left", "is_right"))
+        guest = ~table["home"].to_numpy(zero_copy_only=False)[order][right]  # at home a vector counts its links itself
         links = np.zeros(len(ids), np.int64)
         root = np.arange(len(ids))
         for i in range(0, len(left), 256):
@@ -136,6 +137,7 @@ def _compared(threshold: float):
             hit = x[rows] @ x[right].T >= threshold
             hit &= cls[rows][:, None] != cls[right]
             links[rows] += hit @ copies[right]
+            links[right[guest]] += copies[rows] @ hit[:, guest]
             a, b = np.nonzero(hit)
             root = _unite(root, rows[a], right[b])
         some = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
@@ -184,7 +186,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         "when home then array(struct(block as i, k as j, true as is_left, false as is_right), struct(k as i, block as j, false as is_left, true as is_right)) "
         "else array(struct(k as i, block as j, false as is_left, true as is_right)) end))"
     )
-    dealt = rows.select("label", "dim", "cell", "cls", "id", "copies", "vec", F.inline(meet))
+    dealt = rows.select("label", "dim", "cell", "cls", "id", "copies", "vec", "home", F.inline(meet))
     found = ws.table(dealt.groupBy("label", "dim", "cell", "i", "j").applyInArrow(_compared(threshold), "cls long, links long, a long, b long"), "links")
     comp = components(ws, found.where("a <> b").select("a", "b"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
