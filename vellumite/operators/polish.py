@@ -41,8 +41,8 @@ def residual_issues(blocks: DataFrame, source: Column | None = None) -> DataFram
     ).where("n >= 2 and c >= 2")
     figures = figures.select("doc_id", F.concat(F.lit("figure-"), "first_id").alias("issue_id"), F.lit("figure-grouping").alias("kind"), "heading", "first", "last", F.col("first").alias("at"))
     media = F.col("kind").isin("figure", "table")
-    ahead = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    after = F.first(F.when(~media, F.struct("place", "kind", "text")), ignorenulls=True).over(ahead)
+    behind = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # read backwards, for frames that shrink are summed anew for each row
+    after = F.last(F.when(~media, F.struct("place", "kind", "text")), ignorenulls=True).over(behind)
     pairs = rows.withColumn("next", after).where((F.col("kind") == "paragraph") & (F.col("next.kind") == "paragraph") & (F.col("next.place") > F.col("place") + 1) & X.continues_paragraph(F.col("text"), F.col("next.text")))
     interrupts = pairs.select("doc_id", F.concat(F.lit("interrupt-"), "id").alias("issue_id"), F.lit("media-interruption").alias("kind"), "heading", F.col("place").alias("first"), F.col("next.place").alias("last"), F.col("place").alias("at"))
     out = figures.unionByName(interrupts)

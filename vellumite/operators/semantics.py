@@ -186,8 +186,8 @@ def merge_interrupted(blocks: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id").orderBy("ord")
     media = F.col("kind").isin("figure", "table")
     rows = blocks.withColumn("place", F.row_number().over(by)).withColumn("solid", F.when(~media, F.struct("place", "kind", "text", "id")))
-    ahead = by.rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first("solid", ignorenulls=True).over(ahead))
+    behind = Window.partitionBy("doc_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)  # read backwards, for frames that shrink are summed anew for each row
+    rows = rows.withColumn("next", F.last("solid", ignorenulls=True).over(behind))
     pair = (F.col("kind") == "paragraph") & (F.col("next.kind") == "paragraph") & (F.col("next.place") > F.col("place") + 1) & X.continues_paragraph(F.col("text"), F.col("next.text"))
     rows = rows.withColumn("pair", F.coalesce(pair, F.lit(False)))
     solids = rows.where(~media).withColumn("prev_pair", F.coalesce(F.lag("pair").over(by), F.lit(False)))
