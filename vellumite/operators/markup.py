@@ -81,7 +81,7 @@ TABLE_SIGN, MATH_SIGN, ESCAPED_SIGN = "<table", r"[\\$]", "&lt;|\"<table"
 
 
 def layout_walk(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """``(id, ordinal, kind, text)`` of captions, texts and titles in layout trees of any depth."""
+    """``(id, ordinal, kind, text)`` of captions, texts and titles in layout trees of any depth; what is no JSON has none."""
     import json
 
     items = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())]))
@@ -89,13 +89,28 @@ def layout_walk(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     def one(raw):
         try:
             return [{"kind": k, "text": t} for k, t in G.walk_layout(json.loads(raw))]
-        except ValueError:
+        except (ValueError, RecursionError):
             return []
 
     walked = _fold(items, one)(F.col(json_col))
     return df.select(F.col(id_col), F.posexplode(walked).alias("ordinal", "item")).select(id_col, "ordinal", "item.kind", "item.text")
 
 
+def layout_structure(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """``(id, ordinal, block_id, kind, raw_type, text, markdown, heading_level, caption, group_caption)``: the blocks of a layout alone, where no content list is.
+
+    Titles are headings of level 2, captions stand for their image or table; all blocks count as of the first page.
+    """
+    rows = layout_walk(df, id_col, json_col)
+    kind = F.element_at(F.create_map(*(F.lit(x) for p in P.LAYOUT_KINDS.items() for x in p)), F.col("kind"))
+    title, caption = F.col("kind") == "title", F.col("kind").isin("image_caption", "table_caption")
+    return rows.select(
+        id_col, "ordinal", F.concat(F.lit("pp-0-"), F.col("ordinal").cast("string")).alias("block_id"), kind.alias("kind"), F.col("kind").alias("raw_type"), "text",
+        F.when(title, F.concat(F.lit("## "), "text")).otherwise(F.col("text")).alias("markdown"), F.when(title, 2).alias("heading_level"),
+        F.when(caption, F.col("text")).alias("caption"), F.when(F.col("kind") == "image_caption", F.col("text")).alias("group_caption"),
+    )
+
+
 def allowed_tag(name: Column) -> Column:
     """May a rendered document hold this tag; other ones are shown as text."""
     return F.lower(name).isin(*P.ALLOWED_TAGS)

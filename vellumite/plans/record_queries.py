@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import payloads as Y
 from ..functions import text as X
-from ..operators import annotations, glossary, polish, records, sections, semantics
+from ..operators import annotations, glossary, markup, polish, records, sections, semantics
 from ..session import shared_folder, written
 from ..sources import archives, artifacts
 from ..streaming import events as E
@@ -546,3 +547,49 @@ _add(archive_entries, r"""WITH d AS (SELECT doc_id, doc_id % 7 = 0 AS cut, doc_i
  m AS (SELECT *, '![a figure](/api/media/' || doc_id || '/' || folder || 'images/' || doc_id || '.png)' || chr(10) || chr(10) || text AS md FROM d)
 SELECT doc_id, CASE WHEN cut OR bare THEN 'failed' ELSE 'done' END AS state, CASE WHEN cut THEN 'Result processing failed' WHEN bare THEN 'No markdown file found in ZIP' END AS error, CASE WHEN NOT cut AND NOT bare THEN folder || 'full.md' END AS path,
  CASE WHEN NOT cut AND NOT bare AND NOT regexp_matches(md, '[\\$]') THEN md5(md) END AS digest, CASE WHEN NOT cut THEN '/api/media/' || doc_id || CASE WHEN doc_id % 3 <> 0 THEN '/doc/layout.json' ELSE '/doc/auto/layout.json' END END AS layout FROM m""")
+
+
+# ---- structure from layouts alone, and what a polish run reports -----------------------------------------------------------
+
+
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a layout tree: a node for each line, titles and captions among them, one in three a level deeper, some no JSON."""
+    span = lambda c: F.struct(c.alias("content"))
+    kind = lambda k: F.element_at(F.array(*map(F.lit, ("title", "text", "image_caption", "table_caption", "footer"))), (k % 5 + 1).cast("int"))
+    leaf = lambda line, k: F.struct(kind(k).alias("type"), F.array(span(line), span(F.lit("  end "))).alias("spans"))
+    node = lambda line, k: F.struct(F.lit("group").alias("type"), F.struct(F.array(leaf(line, k)).alias("blocks")).alias("deeper"), F.when(k % 3 == 0, F.array(leaf(F.lit("first"), k + 1))).alias("blocks"))
+    pages = F.to_json(F.struct(F.array(F.struct(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), node).alias("para_blocks"))).alias("pdf_info")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 0, "{broken").otherwise(pages).alias("layout"))
+
+
+def layout_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of layout trees, in the order of their nodes."""
+    out = markup.layout_structure(_layouts(spark, sf_dir), "doc_id", "layout")
+    return out.select("doc_id", "ordinal", "block_id", "kind", "raw_type", digest(F.col("markdown")), "heading_level", digest(F.col("caption"), "caption"))
+
+
+_add(layout_structure, f"""WITH n AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents WHERE doc_id % 11 <> 0),
+ l AS (SELECT doc_id, k, 0 AS inner_, 'first' AS line, k + 1 AS t FROM n WHERE k % 3 = 0 UNION ALL SELECT doc_id, k, 1, line, k FROM n),
+ s AS (SELECT *, ['title', 'text', 'image_caption', 'table_caption', 'footer'][t % 5 + 1] AS raw_type, {trim_sql(f"regexp_replace(line || '   end ', {lit(f'{P.S}{{2,}}')}, ' ', 'g')")} AS text FROM l),
+ o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k, inner_) - 1 AS ordinal FROM s WHERE raw_type <> 'footer' AND text <> '')
+SELECT doc_id, ordinal, 'pp-0-' || ordinal AS block_id, CASE raw_type WHEN 'title' THEN 'heading' WHEN 'text' THEN 'paragraph' WHEN 'image_caption' THEN 'image' ELSE 'table' END AS kind, raw_type, md5(CASE WHEN raw_type = 'title' THEN '## ' || text ELSE text END) AS digest,
+ CASE WHEN raw_type = 'title' THEN 2 END AS heading_level, CASE WHEN raw_type LIKE '%caption' THEN md5(text) END AS caption FROM o""")
+
+
+def usable_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as profiles of services that can analyse; every fifth is a plain translation service."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "deeplx").otherwise("openai").alias("kind"), F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("translate"))).otherwise(F.array(F.lit("translate"), F.lit("analyse"))).alias("capabilities"))
+    each = [translation.usable_profiles(s, c).select("s_suppkey", F.lit(c).alias("capability")) for c in ("translate", "analyse")]
+    return each[0].unionByName(each[1])
+
+
+_add(usable_profiles, "SELECT s_suppkey, 'translate' AS capability FROM supplier UNION ALL SELECT s_suppkey, 'analyse' FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0")
+
+
+def event_frames_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as frames for a browser, null members left out."""
+    rows = _run_view(table(spark, sf_dir, "events")).select("run", "seq", "type", "chunk", "state")
+    return E.sse(rows, ["run", "seq"])
+
+
+_add(event_frames_out, f"""SELECT run, seq, 'data: {{"type":"' || type || '"' || CASE WHEN chunk IS NULL THEN '' ELSE ',"chunk":"' || chunk || '"' END || CASE WHEN state IS NULL THEN '' ELSE ',"state":"' || state || '"' END || '}}' || chr(10) || chr(10) AS frame FROM {_RUNS}""")
