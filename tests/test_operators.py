@@ -239,3 +239,13 @@ def test_terms_of_each_chunk(spark):
     only_small = spark.createDataFrame([(1, 0, [("small", "KLEIN", "name")])], "doc_id long, chunk_idx int, terms array<struct<source:string,target:string,category:string>>")
     texts = [r.text for r in translation.translate(df, Seen(), "German", only_small).orderBy("chunk_idx").collect()]
     assert "KLEIN" in texts[0] and texts[1].startswith("# B\nembeddings of berth and BERT")
+
+
+def test_gate_and_summary(spark):
+    from vellumite.operators import polish
+
+    issues = spark.createDataFrame([(1, "b", 5), (1, "a", 2), (2, "c", 1)], "doc_id long, kind string, at int")
+    gate = {r.doc_id: (r.use_model, r.reason) for r in polish.model_gate(issues, spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert gate == {1: (True, "a"), 2: (False, "no-issue-windows")}
+    rows = spark.createDataFrame([(["figure-gap", "figure-gap", "x"], 2), ([], 0)], "issues array<string>, n int")
+    assert [r.s for r in rows.select(polish.summary(F.col("issues"), F.col("n")).alias("s")).collect()] == [["Repaired: figure gap", "Repaired: x", "Open structures: 2"], ["Nothing needed repair."]]

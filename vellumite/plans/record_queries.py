@@ -593,3 +593,66 @@ def event_frames_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(event_frames_out, f"""SELECT run, seq, 'data: {{"type":"' || type || '"' || CASE WHEN chunk IS NULL THEN '' ELSE ',"chunk":"' || chunk || '"' END || CASE WHEN state IS NULL THEN '' ELSE ',"state":"' || state || '"' END || '}}' || chr(10) || chr(10) AS frame FROM {_RUNS}""")
+
+
+def _saved(root: str):
+    """Writes each page as a file of its own below ``root``."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(root)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                with store.open_output_stream(f"{folder}/{page_id:012d}.pdf") as out:
+                    out.write((html or "").encode())
+            yield pa.RecordBatch.from_arrays([batch["page_id"]], names=["page_id"])
+
+    return run
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page uploaded as a file: named by its bytes, copies once, and whether it waits for the parser; the first half of the names is parsed."""
+    root = shared_folder(spark, "uploads")
+    written(table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(_saved(f"{root}/files"), "page_id long"), root, "saved")
+    found = artifacts.uploads(spark, f"{root}/files").select("doc_id", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.octet_length("content").cast("long").alias("n_bytes"))
+    waits = artifacts.unparsed(found, found.where("doc_id < '8'")).select("doc_id", F.lit(True).alias("waits"))
+    return found.join(waits, "doc_id", "left").select("doc_id", "name", "n_bytes", F.coalesce("waits", F.lit(False)).alias("waits"))
+
+
+_add(uploads, "SELECT h AS doc_id, min(name) AS name, min(n) AS n_bytes, h >= '8' AS waits FROM (SELECT sha256(coalesce(html, '')) AS h, lpad(page_id::VARCHAR, 12, '0') || '.pdf' AS name, octet_length(encode(coalesce(html, ''))) AS n FROM pages) GROUP BY h")
+
+
+def selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A selection in every text with what stands around it."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    start = (F.col("doc_id") * 37 % F.greatest(F.lit(1), F.length("text"))).cast("int")
+    s = annotations.snapshot(F.col("text"), start, F.least(F.length("text"), start + 60), 40, 300)
+    return d.select("doc_id", s.alias("s")).select("doc_id", *(digest(F.col(f"s.{c}"), c) for c in ("exact", "prefix", "suffix", "context")))
+
+
+_add(selections, """SELECT doc_id, md5(substr(text, a + 1, z - a)) AS exact, md5(substr(text, greatest(0, a - 40) + 1, least(a, 40))) AS prefix, md5(substr(text, z + 1, 40)) AS suffix, md5(substr(text, greatest(0, a - 300) + 1, least(n, z + 300) - greatest(0, a - 300))) AS context
+ FROM (SELECT *, least(n, a + 60) AS z FROM (SELECT doc_id, text, length(text) AS n, (doc_id * 37 % greatest(1, length(text)))::INT AS a FROM documents WHERE text IS NOT NULL))""")
+
+
+def polish_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents a model would help, by the issues that their line blocks leave open; a third has no window left."""
+    blocks = _line_blocks(spark, sf_dir)
+    issues = polish.residual_issues(blocks)
+    windows = polish.issue_windows(blocks, issues)
+    return polish.model_gate(issues, windows.where("doc_id % 3 <> 0"))
+
+
+_add(polish_gates)
+
+
+def polish_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the deep run changed in each text, as its messages say."""
+    polished = markup_view(spark, sf_dir).select("doc_id", markup.polish_deep(F.col("text")).alias("p"))
+    said = polish.summary(F.col("p.issues"), F.when(F.col("doc_id") % 4 == 0, 2).otherwise(0))
+    return polished.select("doc_id", digest(F.col("p.text")), F.array_join(said, "; ").alias("summary"))
+
+
+_add(polish_reports)

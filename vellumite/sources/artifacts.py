@@ -109,11 +109,6 @@ def parser_options(conf: dict[str, str]) -> dict:
     return {"model": conf.get("model", "vlm"), "extra_formats": list(dict.fromkeys(formats)), **flags}
 
 
-def read_json(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``payload`` as VARIANT; a text that is no JSON gives null."""
-    return df.withColumn("payload", F.try_parse_json(text_col))
-
-
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)`` of whole text files; a folder without any gives none."""
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
