@@ -407,7 +407,7 @@ _add(translation_batches, _events_sql(3, False))
 
 def _glossaries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Words of parts as stored terms, the last words of quotes as given ones; their place is the source."""
-    shape = lambda df, category: df.where("source <> ''").distinct().select(F.col("source").alias("place"), "source", F.upper("source").alias("target"), F.lit(category).alias("category"))
+    shape = lambda df, category: df.where("source <> ''").distinct().select(F.col("source").alias("place"), "source", F.concat(F.lit("to "), "source").alias("target"), F.lit(category).alias("category"))
     words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("source"))
     heads = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"(\S+)$", 1).alias("source"))
     return shape(words.union(table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"^(\S+)", 1))), "part"), shape(heads, "quote")
@@ -425,8 +425,8 @@ _add(chunk_glossary, rf"""WITH c AS MATERIALIZED ({_PLAN.replace("md5(content) A
  s AS (SELECT source, lower(source) AS low, regexp_replace(source, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') AS e, regexp_extract(lower(source), '{_BOUND}+') AS run FROM stored), w AS (SELECT doc_id, chunk_idx, unnest(list_distinct(regexp_extract_all(lower(content), '{_BOUND}+'))) AS run FROM c),
  f AS (SELECT doc_id, chunk_idx, 0 AS rank, source, 'quote' AS category FROM c JOIN given ON contains(lower(content), lower(source)) UNION ALL
   SELECT c.doc_id, c.chunk_idx, 1, s.source, 'part' FROM s JOIN w USING (run) JOIN c USING (doc_id, chunk_idx) WHERE s.low = s.run OR contains(lower(content), s.low) AND regexp_matches(content, '(?i)' || CASE WHEN regexp_matches(s.source, '^{_BOUND}') THEN '(?:^|[^\p{{L}}\p{{N}}_])' ELSE '' END || e || CASE WHEN regexp_matches(s.source, '{_BOUND}$') THEN '(?:[^\p{{L}}\p{{N}}_]|$)' ELSE '' END)),
- d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx, lower(source), lower(upper(source)) ORDER BY rank, source) AS again FROM f)
-SELECT doc_id, chunk_idx, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY rank, source) - 1 AS place, source, upper(source) AS target, category FROM d WHERE again = 1""")
+ d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_idx, lower(source) ORDER BY rank, source) AS again FROM f)
+SELECT doc_id, chunk_idx, row_number() OVER (PARTITION BY doc_id, chunk_idx ORDER BY rank, source) - 1 AS place, source, 'to ' || source AS target, category FROM d WHERE again = 1""")
 
 
 def translate_with_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,23 +106,24 @@ def _states(now: DataFrame, births: DataFrame, pieces: DataFrame) -> DataFrame:
     return rows.select("run", "chunk", "born", "hydrated", state.alias("state"))
 
 
-def _folded(every: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The blocks, and the parts of their texts: ``(run, chunk, seq, text)`` from the last event on that replaced a text."""
+def _folded(every: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The events, the blocks, and the parts of their texts: ``(run, chunk, seq, text)`` from the last event on that replaced a text."""
     folder = shared_folder(every.sparkSession, "run-fold")
+    every = written(every, folder, "events")  # what sends them works once
     now = _epoch(every)
     births = written(_births(now), folder, "births")
     pieces = written(_pieces(now, births), folder, "pieces")
     blocks = written(_states(now, births, pieces), folder, "blocks")
     parts = pieces.unionByName(now.where("type = 'hydrate_blocks' and chunk is not null").select("run", "chunk", "seq", "text"))
-    return blocks, parts.join(blocks.select("run", "chunk", F.coalesce("hydrated", "born").alias("from")), ["run", "chunk"]).where("seq >= from").drop("from")
+    return every, blocks, parts.join(blocks.select("run", "chunk", F.coalesce("hydrated", "born").alias("from")), ["run", "chunk"]).where("seq >= from").drop("from")
 
 
 def fold_blocks(events: DataFrame) -> DataFrame:
     """``(run, chunk, born, state, text)`` of every block after the last event; ``born`` orders a run's blocks.
 
-    What is grouped at most is the text of one block. Blocks and pieces are tables in the shared folder on the way.
+    What is grouped at most is the text of one block. Events, blocks and pieces are tables in the shared folder on the way.
     """
-    blocks, parts = _folded(told(events))
+    _, blocks, parts = _folded(told(events))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda p: p["text"]), "")
     texts = parts.groupBy("run", "chunk").agg(text.alias("text"))
     return blocks.join(texts, ["run", "chunk"], "left").select("run", "chunk", "born", "state", F.coalesce("text", F.lit("")).alias("text"))
@@ -130,8 +131,7 @@ def fold_blocks(events: DataFrame) -> DataFrame:
 
 def fold_runs(events: DataFrame) -> DataFrame:
     """``(run, n_events, n_blocks, n_completed, n_chars, progress, phase)`` of each run of a finished table of events."""
-    every = told(events)
-    blocks, parts = _folded(every.withColumn("text", F.length("text").cast("string")))  # no text is moved for counts
+    every, blocks, parts = _folded(told(events).withColumn("text", F.length("text").cast("string")))  # no text is moved for counts
     sizes = parts.groupBy("run").agg(F.sum(F.col("text").cast("long")).alias("n_chars"))
     counts = blocks.groupBy("run").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("state").isin("completed", "cached")).alias("n_completed"))
     percent = F.when(F.col("type") == "done", 100.0).when(F.col("type") == "progress", F.col("percentage"))
