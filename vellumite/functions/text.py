@@ -141,7 +141,7 @@ def asset_path(path: Column, prefix: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    out = F.lit("不可用")
+    out = F.lit(P.NO_SIZE)
     for k, unit in reversed(list(enumerate(["B", "KB", "MB", "GB"]))):
         value = n / float(1024**k)
         text = F.concat(F.when(value >= 100, F.format_string("%.0f", value)).otherwise(F.format_string("%.1f", value)), F.lit(f" {unit}"))
@@ -178,8 +178,8 @@ def status_label(status: Column) -> Column:
 
 def prompt_label(action: Column, question: Column) -> Column:
     asked = js_trim(F.coalesce(question, F.lit("")))
-    qa = F.when(asked != "", F.concat(F.lit("问答: "), asked)).otherwise("问答")
-    return F.when(action == "qa", qa).when(action == "explain", "解释术语").when(action == "summarize", "总结内容").when(action == "rewrite", "风格改写").otherwise("提取关键信息")
+    qa = F.when(asked != "", F.concat(F.lit(P.QUESTION_LABEL_WITH), asked)).otherwise(P.QUESTION_LABEL)
+    return F.when(action == "qa", qa).otherwise(_lookup(action, P.PROMPT_LABELS, F.lit(P.OTHER_LABEL)))
 
 
 def document_key(file_hash: Column, language: Column, tab: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 
 TRANSIENT = ["uploading", "parsing", "translating"]
@@ -52,7 +53,7 @@ def recovered_status(previous: Column, history: Column, has_source: Column, has_
 
 
 def interrupted_message(status: Column) -> Column:
-    return F.when(status == "translating", "上次翻译已中断，已切换为可恢复状态。").when(status == "parsing", "上次解析未正常结束，请重新发起解析。").when(status == "uploading", "上次上传未完成，请重新上传文件。")
+    return F.element_at(F.create_map(*(F.lit(x) for pair in P.INTERRUPTED.items() for x in pair)), status)
 
 
 def control_state(parsed: Column, status: Column, finished: Column, resumable: Column) -> Column:
