@@ -3,9 +3,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vellumite.llm import kernels as K
 from vellumite.llm import quality, toxicity
 from vellumite.llm.mixing import mix_sources, schedule, source_targets
 
@@ -54,6 +56,55 @@ def test_forest_by_walking_each_tree(tables):
         assert got == pytest.approx(2 ** (-mean / whole), rel=1e-9)
 
 
+def test_forest_from_every_label(spark):
+    """Spans, splits, steps and limit against a slow reading of all of 9,000 labelled rows."""
+
+    def text(i):
+        words = [f"w{i}x{k}" for k in range(60)]
+        marks = i % 23 if i % 30 == 0 else i % 7 if i % 50 == 1 else 0
+        return " ".join([w.upper() if k < i % 41 else w for k, w in enumerate(words)] + ["#"] * marks)
+
+    texts = [text(i) for i in range(9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 30 != 0)) for i in range(9000)], "doc_id int, quality int")  # ids of another type
+    forest = quality.fit(docs, labels)
+    counts, stats = quality.measure(*K.flat(pa.array(texts)))
+    good = np.arange(9000) % 30 != 0
+    assert not quality.base_fails(counts).any()
+    low, high = np.quantile(stats[good], [quality.TAIL, 1 - quality.TAIL], axis=0)
+    assert forest.low == pytest.approx(low, rel=1e-12) and forest.high == pytest.approx(high, rel=1e-12)
+    rows = forest.excess(stats[good])
+
+    def expected(n):
+        return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else float(n > 1)
+
+    for tree in range(0, quality.TREES, 8):
+        held = {0: rows}
+        while held:
+            node, x = held.popitem()
+            level, size, f, v = int(math.log2(node + 1)), len(x) * quality.SAMPLE / len(rows), forest.feature[tree, node], forest.value[tree, node]
+            if level == forest.depth or size < 2:
+                assert f == -1 and forest.steps[tree, node] == pytest.approx(level + expected(size), rel=1e-9)
+                continue
+            assert x[:, f].min() <= v <= max(1.0, x[:, f].max())
+            for child, part in ((2 * node + 1, x[x[:, f] <= v]), (2 * node + 2, x[x[:, f] > v])):
+                if len(part):
+                    held[child] = part
+                else:
+                    assert forest.feature[tree, child] == -1 and forest.steps[tree, child] == level + 1
+    score = forest.score(stats)
+    levels = np.append(np.unique(score), 1.0)
+    cost = [quality.GOOD_WEIGHT * np.mean(score[good] > x) + np.mean(score[~good] <= x) for x in levels[:-1]]
+    gaps = [(b - a, (a + b) / 2) for a, b, c in zip(levels[:-1], levels[1:], cost, strict=True) if c <= min(cost) + 1e-9]
+    assert forest.limit == pytest.approx(max(gaps)[1], rel=1e-12)
+
+
+def test_kept_rows_are_those_of_the_verdict(tables):
+    docs, labels = tables
+    kept = sorted(r.doc_id for r in quality.quality_rules(docs, labels).where("kept").collect())
+    assert sorted(r.doc_id for r in quality.keep_good(docs, labels).collect()) == kept and kept
+
+
 def test_lexicon_is_the_same_however_labels_are_dealt(tables):
     docs, labels = tables
     a, b = (toxicity.fit(d, x, fit_rows=150) for d, x in ((docs, labels), (docs.repartition(5), labels.repartition(7).orderBy(F.desc("doc_id")))))
