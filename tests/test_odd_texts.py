@@ -5,6 +5,7 @@ import shutil
 import pandas as pd
 
 from vellumite import catalog
+from vellumite.operators import semantics
 
 from .compare import duck, rows
 
@@ -35,3 +36,17 @@ def test_capitals_of_terms(spark, sf_dir, tmp_path):
     root = _with(tmp_path, sf_dir, benchmark=quotes, documents=docs)
     _same(spark, root, "term_contained")
     _same(spark, root, "term_match")
+
+
+def test_blocks_of_odd_texts(spark, sf_dir, tmp_path):
+    """Missing and empty texts, empty first lines, other line ends, an id twice, and a text longer than JSON readers take as they are set."""
+    docs = _docs([None, "", " ", "\nrest", "　\nrest", "x\r- y", "x - y", "one\n- one", "• • x", "-", "twice", "a" * 20_000_001])
+    docs = pd.concat([docs, docs[10:11].assign(text="again")])
+    _same(spark, _with(tmp_path, sf_dir, documents=docs), "json_blocks")
+
+
+def test_empty_items(spark):
+    """Empty titles and formulas are no blocks but use up an ordinal; null items and pages do not."""
+    pages = '[[{"type":"title","content":{"level":2}},null,{"type":"equation_interline","content":{"math_content":" "}}],null,[{"type":"title","content":{"level":2,"title_content":[{"type":"text","content":"T"}]}}]]'
+    out = semantics.from_content_list(spark.createDataFrame([(1, pages)], "doc_id long, content_list string"))
+    assert [(r.id, r.page, r.ord, r.markdown) for r in out.collect()] == [("cl-2-2", 2, 2, "## T")]
