@@ -3,9 +3,10 @@
 import shutil
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from vellumite import catalog
-from vellumite.operators import semantics
+from vellumite.operators import annotations, semantics
 
 from .compare import duck, rows
 
@@ -50,3 +51,13 @@ def test_empty_items(spark):
     pages = '[[{"type":"title","content":{"level":2}},null,{"type":"equation_interline","content":{"math_content":" "}}],null,[{"type":"title","content":{"level":2,"title_content":[{"type":"text","content":"T"}]}}]]'
     out = semantics.from_content_list(spark.createDataFrame([(1, pages)], "doc_id long, content_list string"))
     assert [(r.id, r.page, r.ord, r.markdown) for r in out.collect()] == [("cl-2-2", 2, 2, "## T")]
+
+
+def test_notes_meet_their_own_blocks(spark):
+    """The same line in every document: each note meets the lines of its own document, and no text is sent for others' quotes."""
+    blocks = spark.range(400).select(F.col("id").alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(k).alias("block_idx"), F.lit(t).alias("text")) for k, t in enumerate(("other", "a common line", "a common line again")))))).select("doc_id", "col.*")
+    notes = spark.range(400).select(F.col("id").alias("doc_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("note_id"), F.lit(None).cast("string").alias("exact"), F.lit(" common line ").alias("selected"))
+    found = annotations.localised(notes.unionByName(notes.limit(1).select("doc_id", F.lit("c").alias("note_id"), F.lit("missing").alias("exact"), "selected")), blocks, ["doc_id"])
+    assert found.count() == 800 and {r.block_idx for r in found.collect()} == {1}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and all("doc_id" in line for line in plan.splitlines() if "Join Inner" in line)
