@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from vellumite import catalog
-from vellumite.operators import annotations, semantics
+from vellumite.operators import annotations, glossary, sections, semantics
+from vellumite.plans import translation
 
 from .compare import duck, rows
 
@@ -61,3 +62,23 @@ def test_notes_meet_their_own_blocks(spark):
     assert found.count() == 800 and {r.block_idx for r in found.collect()} == {1}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and all("doc_id" in line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_texts_are_sent_once_for_terms(spark):
+    """Few terms go to the texts: words and characters of chunks are not shuffled, the chunks once; translation sends none again."""
+    docs = spark.createDataFrame([(1, "# A\nthe bert model is small\n# B\nBERT"), (2, "# A\nnothing")], "doc_id long, text string")
+    terms = spark.createDataFrame([(0, "bert", "B-Modell", "name"), (1, "small", "klein", None)], "place int, source string, target string, category string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = glossary.chunk_terms(sections.chunks(docs), terms, terms)
+        assert {(r.doc_id, r.chunk_idx, len(r.terms)) for r in found.collect()} == {(1, 0, 2), (1, 1, 1)}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+        assert sum("BroadcastHashJoin [key" in x for x in plan) == 2
+        assert sum("Exchange hashpartitioning(_id" in x and "Reused" not in x for x in plan) == 1
+        out = translation.translate(docs, translation.Stub(), "French", found)
+        assert {(r.doc_id, r.chunk_idx): r.text.split("\n")[-1] for r in out.collect()} == {(1, 0): "THE B-Modell MODEL IS SMALL".replace("SMALL", "klein"), (1, 1): "B-Modell", (2, 0): "NOTHING"}
+        joins = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" in joins and not any("LeftOuter" in x and "chunk_idx" in x for x in joins.splitlines())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
