@@ -3,11 +3,13 @@
 import shutil
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vellumite import catalog
 from vellumite.operators import annotations, glossary, sections, semantics
 from vellumite.plans import translation
+from vellumite.streaming import pieces, runs
 
 from .compare import duck, rows
 
@@ -82,3 +84,54 @@ def test_texts_are_sent_once_for_terms(spark):
         assert "CoGroup" in joins and not any("LeftOuter" in x and "chunk_idx" in x for x in joins.splitlines())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+class _State:
+    """A state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = None, 0
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def containsKey(self, key):
+        self.asked += 1
+        return False
+
+    def updateValue(self, key, value):
+        self.held = (self.held or {}) | {key: value}
+
+
+class _Handle:
+    def __init__(self):
+        self.run, self.blocks = _State(), _State()
+
+    def getValueState(self, name, schema):
+        return self.run
+
+    def getMapState(self, name, key, value):
+        return self.blocks
+
+
+def test_new_runs_ask_for_no_blocks():
+    """Events come and go as rows; a run that begins has no blocks in the store, so none is looked up."""
+    event = Row("run", "seq", "type", "chunk", "text", "percentage", "state", "phase", "at")
+    events = [event(1, k, *e, None, None, None, None) for k, e in enumerate([("run_started", None, ""), ("chunk_planned", "a", ""), ("chunk_planned", "b", ""), ("chunk", "a", "x"), ("chunk", "b", "y"), ("chunk", "a", "z")])]
+    processor, handle = runs.RunProcessor(None, None, False), _Handle()
+    processor.init(handle)
+    out = list(processor.handleInputRows((1,), iter(events[::-1]), None))
+    assert [(r.chunk, r.text) for r in out if r.chunk] == [("a", "xz"), ("b", "y")] and out[0].n_blocks == 2
+    assert handle.blocks.asked == 0 and len(handle.blocks.held) == 2
+
+
+def test_pieces_come_as_rows():
+    piece, handle = Row("run", "seq", "text", "last", "fragments"), _Handle()
+    processor = pieces.Restored()
+    processor.init(handle)
+    rows = [piece(1, 1, "1@@ b", True, None), piece(1, 0, "a @@", False, [{"marker": "@@1@@", "content": "code", "kind": "x"}])]
+    out = list(processor.handleInputRows((1,), iter(rows), None))
+    assert "".join(r.text for r in sorted(out, key=lambda r: r.seq)) == "a code b" and {r.run for r in out} == {1}
