@@ -10,8 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -24,13 +23,13 @@ SINKS = {"shown": 180, "stored": 2000}
 LAST_WORDS = ("done", "error", "closed")
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values("seq", kind="stable")
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda e: e.seq)
 
 
 def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str = "none") -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append" if mode == "none" else "update", mode)
+    return rows.groupBy(key).transformWithState(processor, schema, "append" if mode == "none" else "update", mode)
 
 
 # ---- frames -------------------------------------------------------------------------
@@ -47,11 +46,10 @@ class Frames(StatefulProcessor):
         self.open = handle.getValueState("open", "tail string, k long")
 
     def handleInputRows(self, key, rows, timerValues):
-        tail, k = self.open.get() if self.open.exists() else ("", 0)
-        out, tail = frames_of(tail, "".join(_in_order(rows)["text"]))
-        told = [(key[0], k + i, f.removeprefix("data: ")) for i, f in enumerate(out) if f.startswith("data: ")]
+        tail, k = self.open.get() or ("", 0)
+        out, tail = frames_of(tail, "".join(e.text for e in _in_order(rows)))
         self.open.update((tail, k + len(out)))
-        yield pd.DataFrame(told, columns=["run", "k", "payload"]).astype({"run": "int64", "k": "int64"})
+        yield from (Row(run=key[0], k=k + i, payload=f.removeprefix("data: ")) for i, f in enumerate(out) if f.startswith("data: "))
 
     def close(self) -> None:
         pass
@@ -74,19 +72,19 @@ class Restored(StatefulProcessor):
         self.held = handle.getValueState("held", "fragments string, rest string")
 
     def handleInputRows(self, key, rows, timerValues):
-        fragments, rest = self.held.get() if self.held.exists() else ("[]", "")
+        fragments, rest = self.held.get() or ("[]", "")
         told, stream = [], None
-        for e in _in_order(rows).itertuples(index=False):
+        for e in _in_order(rows):
             if e.fragments is not None:
                 fragments = json.dumps([[f["marker"], f["content"], f["kind"]] for f in e.fragments])
                 stream = None
             if stream is None:
                 stream = G.StreamUnmasker(json.loads(fragments), rest)
             if text := stream.feed(e.text, bool(e.last)):
-                told.append((key[0], e.seq, text))
+                told.append(Row(run=key[0], seq=e.seq, text=text))
             rest = stream.rest
         self.held.update((fragments, rest))
-        yield pd.DataFrame(told, columns=["run", "seq", "text"]).astype({"run": "int64", "seq": "int64"})
+        yield from told
 
     def close(self) -> None:
         pass
@@ -138,7 +136,7 @@ class Throttled(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "sink string", "since long, seq long")
 
-    def _told(self, run: int, sinks: Throttle, before: set[str]) -> pd.DataFrame:
+    def _told(self, run: int, sinks: Throttle, before: set[str]) -> list[Row]:
         for sink in before - sinks.waiting.keys():
             self.waiting.removeKey((sink,))
         for sink, waits in sinks.waiting.items():
@@ -147,7 +145,7 @@ class Throttled(StatefulProcessor):
             self.handle.deleteTimer(timer)
         for due in {since + self.periods[sink] for sink, (since, _) in sinks.waiting.items()}:
             self.handle.registerTimer(due)
-        return pd.DataFrame([(run, *o) for o in sinks.out], columns=["run", "sink", "at", "seq"]).astype({"run": "int64", "at": "int64", "seq": "int64"})
+        return [Row(run=run, sink=sink, at=at, seq=seq) for sink, at, seq in sinks.out]
 
     def _sinks(self) -> tuple[Throttle, set[str]]:
         held = {k[0]: (v[0], v[1]) for k, v in self.waiting.iterator()}
@@ -158,14 +156,14 @@ class Throttled(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         sinks, before = self._sinks()
-        for e in _in_order(rows).itertuples(index=False):
+        for e in _in_order(rows):
             sinks.take(int(e.seq), int(e.at) if self.timed else self._now(timerValues), bool(e.last))
-        yield self._told(key[0], sinks, before)
+        yield from self._told(key[0], sinks, before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         sinks, before = self._sinks()
         sinks.due(max(expiredTimerInfo.getExpiryTimeInMs(), self._now(timerValues)))
-        yield self._told(key[0], sinks, before)
+        yield from self._told(key[0], sinks, before)
 
     def close(self) -> None:
         pass
